@@ -42,8 +42,8 @@ def blocks_for(df: DataFrame, rows: int) -> int:
 
 
 def text_only(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Key and text, whatever other columns df has; a null text is empty."""
-    return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """Key and text, whatever other columns df has; a null text is empty; rows without a key take no part."""
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def slices(batches, column: str = "text", limit: int = SLICE):
