@@ -3,7 +3,7 @@
 Each byte is mapped to a character of its own, each token to the piece of its bytes' characters,
 scored by its negative rank, so that sentencepiece merges in the order of the ranks; normalisation
 is the identity. Texts are split into pre-tokens first; each distinct pre-token is encoded once per
-Python worker (the memo is emptied at `MEMO` entries). Decoding maps ids back to bytes.
+Python worker (a memo of two generations of about `MEMO` entries). Decoding maps ids back to bytes.
 
 Defined cases: a null text is empty and has no ids; texts of any length; repeated rows give equal
 results; extra columns are ignored.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from tracklake.llm.common import rows, slices, text_only
 
-MEMO = 600_000
+MEMO = 80_000
 # White space as the Unicode property has it, which the pattern's \s stands for.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
 # A byte's character: letters from U+0100 on, none of which sentencepiece treats apart.
@@ -72,6 +72,22 @@ def serialise(tokens: list[bytes]) -> bytes:
     return bytes(out + _field(3, 2, normalizer))
 
 
+def recall(own, parts: list[str], learn) -> None:
+    """Brings all parts into own.memo: from the generation before, or by learn."""
+    if len(own.memo) > MEMO:
+        own.old, own.memo = own.memo, {}
+    memo, old = own.memo, own.old
+    new = []
+    for p in dict.fromkeys(parts):
+        if p not in memo:
+            if p in old:
+                memo[p] = old[p]
+            else:
+                new.append(p)
+    if new:
+        learn(new)
+
+
 class Codec:
     """Encodes pre-tokens to ids joined by spaces, and back."""
 
@@ -82,10 +98,9 @@ class Codec:
         self.bytes_of = {str(i): t for i, t in enumerate(self.tokens)}
         self.gap = f" {len(self.tokens)} "
         self.memo: dict[str, str] = {}
+        self.old: dict[str, str] = {}
 
     def learn(self, new: list[str]) -> None:
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
         ask = []
         for token in new:
             raw = token.encode()
@@ -104,8 +119,7 @@ class Codec:
         try:
             return " ".join([memo[p] for p in parts])
         except KeyError:
-            new = [p for p in dict.fromkeys(parts) if p not in memo]
-            self.learn(new if len(memo) + len(new) <= MEMO else list(dict.fromkeys(parts)))
+            recall(self, parts, self.learn)
             return " ".join([self.memo[p] for p in parts])
 
     def decode(self, ids: str) -> bytes:

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracklake.llm.bpe import WHITE
+from tracklake.llm.bpe import WHITE, recall
 from tracklake.llm.common import blocks_for, cut, rows, slices, text_only
 
-WINDOW, END, BLOCK, MEMO = 2048, 1, 8192, 600_000
+WINDOW, END, BLOCK = 2048, 1, 8192
 # The tokenizer's own split, before lower-casing.
 SPLIT = regex.compile(rf"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 
@@ -44,9 +44,10 @@ class Words:
         self.tokenizer.encode_special_tokens = True
         self.ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def learn(self, new: list[str]) -> list[bytes]:
-        """Ids of each pre-token: encoded as one text, cut after the ids that end a word."""
+    def learn(self, new: list[str]) -> None:
+        """Notes the ids of each pre-token: encoded as one text, cut after the ids that end a word."""
         ids = array("I", self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids)
         at, out = 0, []
         for k, i in enumerate(ids, 1):
@@ -55,7 +56,7 @@ class Words:
                 at = k
         if len(out) != len(new) or at != len(ids):
             out = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        return out
+        self.memo.update(zip(new, out, strict=True))
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -67,12 +68,8 @@ class Words:
         try:
             return b"".join([memo[p] for p in parts])
         except KeyError:
-            new = [p for p in dict.fromkeys(parts) if p not in memo]
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(dict.fromkeys(parts))
-            memo.update(zip(new, self.learn(new), strict=True))
-            return b"".join([memo[p] for p in parts])
+            recall(self, parts, self.learn)
+            return b"".join([self.memo[p] for p in parts])
 
 
 @lru_cache(2)
