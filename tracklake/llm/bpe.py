@@ -72,9 +72,9 @@ def serialise(tokens: list[bytes]) -> bytes:
     return bytes(out + _field(3, 2, normalizer))
 
 
-def recall(own, parts: list[str], learn) -> None:
+def recall(own, parts: list[str], learn, most: int) -> None:
     """Brings all parts into own.memo: from the generation before, or by learn."""
-    if len(own.memo) > MEMO:
+    if len(own.memo) > most:
         own.old, own.memo = own.memo, {}
     memo, old = own.memo, own.old
     new = []
@@ -119,7 +119,7 @@ class Codec:
         try:
             return " ".join([memo[p] for p in parts])
         except KeyError:
-            recall(self, parts, self.learn)
+            recall(self, parts, self.learn, MEMO)
             return " ".join([self.memo[p] for p in parts])
 
     def decode(self, ids: str) -> bytes:

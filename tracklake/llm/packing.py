@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 from tracklake.llm.bpe import WHITE, recall
 from tracklake.llm.common import blocks_for, cut, rows, slices, text_only
 
-WINDOW, END, BLOCK = 2048, 1, 8192
+WINDOW, END, BLOCK, MEMO = 2048, 1, 8192, 200_000
 # The tokenizer's own split, before lower-casing.
 SPLIT = regex.compile(rf"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 
@@ -68,7 +68,7 @@ class Words:
         try:
             return b"".join([memo[p] for p in parts])
         except KeyError:
-            recall(self, parts, self.learn)
+            recall(self, parts, self.learn, MEMO)
             return b"".join([self.memo[p] for p in parts])
 
 
