@@ -6,36 +6,18 @@ over documents. Slices hold at most `limit` bytes of text (or one longer text).
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.sources.tables import cut  # noqa: F401  (used by the operators)
+
 SLICE = 1 << 20
 U = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tracklake-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder and read again: survives lost executors, ends lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def blocks_for(df: DataFrame, rows: int) -> int:
     """How many blocks of about `rows` rows df needs."""
     return max(1, -(-df.count() // rows))

@@ -61,4 +61,21 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_rules, op2_packing, op3_pii, op4_bpe, op5_suffix_dedup, op6_media, op7_ann, op8_language, op9_near_dedup, op10_resample)}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op9_near_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(seen) AS c FROM r GROUP BY node) c USING (doc_id)""",
+    "op5_suffix_dedup": r"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, hex(b) AS h, octet_length(b) AS n FROM d),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM h)),
+f AS (SELECT w, min(doc_id) AS m FROM w GROUP BY w),
+g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w JOIN f USING (w) WHERE doc_id > m),
+r AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM (SELECT *, sum(CASE WHEN i <= p + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM g) GROUP BY doc_id, g),
+k AS (SELECT doc_id, substr(h, 2 * coalesce(lag(e) OVER o, 0) + 1, 2 * (s - coalesce(lag(e) OVER o, 0))) AS before, s, e FROM r JOIN h USING (doc_id) WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+j AS (SELECT doc_id, string_agg(before, '' ORDER BY s) AS head, max(e) AS e, CAST(sum(e - s) AS BIGINT) AS removed, count(*) AS spans FROM k GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * e + 1), h))) AS kept_sha256 FROM h LEFT JOIN j USING (doc_id)""",
+}
