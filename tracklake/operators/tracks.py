@@ -89,7 +89,7 @@ def in_stages(tracks: DataFrame, group: str, stages: list[Column], most: int) ->
 
 def output_order(tracks: DataFrame, group: str, key: Column, order: str) -> DataFrame:
     """Adds place: tracks of a group by their key, then in the order they came."""
-    return tracks.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(key, order)))
+    return tracks.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(key, order)).cast("long"))
 
 
 def tree_delays(edges: DataFrame, rounds: int = 64) -> DataFrame:
