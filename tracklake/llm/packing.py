@@ -4,7 +4,9 @@ A document's ids are cut into full windows and a rest. Within a block of documen
 of the id, about `BLOCK` documents each) the pieces arrive in the order of their ids; a piece goes to
 the fill level, or to a new window, for which the sum over all levels of the squared count of
 partially filled windows becomes least. The counts live in an array by level, with a stack of open
-windows for each level. Windows left open at the block's end are padded.
+windows for each level. One document in `FLUID`, by a hash of its id, comes last in its block: the rests
+of these fill the windows that are open then, the widest gap first, and are cut where a gap ends.
+Windows still open at the block's end are padded, as a rule one a block.
 
 Defined cases: a null or empty text has the end id alone; very long texts fill several windows;
 repeated rows are packed as rows of their own; extra columns are ignored; an empty table gives an
@@ -13,6 +15,7 @@ empty result.
 
 from __future__ import annotations
 
+import heapq
 import unicodedata
 import zlib
 from array import array
@@ -26,9 +29,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracklake.llm.bpe import WHITE, recall
-from tracklake.llm.common import blocks_for, cut, rows, slices, text_only
+from tracklake.llm.common import U, blocks_for, cut, mix, rows, slices, text_only
 
-WINDOW, END, BLOCK, MEMO = 2048, 1, 8192, 200_000
+WINDOW, END, BLOCK, MEMO, FLUID = 2048, 1, 8192, 200_000, 8
 # The tokenizer's own split, before lower-casing.
 SPLIT = regex.compile(rf"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 
@@ -81,22 +84,25 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, path: str) -> DataFrame:
-    """The pieces of each document: full windows, then the rest."""
-    schema = [(c.split()[0], pa.int64()) for c in PIECES.split(", ")]
+    """The pieces of each document: full windows, then the rest; ids: those of a rest that may be cut."""
+    schema = [(c.split()[0], pa.int64()) for c in PIECES.split(", ")] + [("ids", pa.binary())]
     end = array("I", [END]).tobytes()
 
     def run(batches):
         own = tokenizer(path)
         for b in slices(batches):
-            out = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            out, kept = [], []
+            doc_ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            fluid = mix(doc_ids.view(np.uint64)) % U(FLUID) == 0
+            for doc, text, cut_it in zip(doc_ids.tolist(), b.column("text").to_pylist(), fluid.tolist(), strict=True):
                 ids = own.ids(text) + end
                 for s in range(0, len(ids), 4 * WINDOW):
                     part = ids[s : s + 4 * WINDOW]
                     out.append((doc, s // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
-            yield rows(schema, *np.array(out, dtype=np.int64).T)
+                    kept.append(part if cut_it and len(part) < 4 * WINDOW else None)
+            yield rows(schema, *np.array(out, dtype=np.int64).T, kept)
 
-    return text_only(docs).mapInArrow(run, PIECES)
+    return text_only(docs).mapInArrow(run, PIECES + ", ids binary")
 
 
 class Levels:
@@ -107,6 +113,7 @@ class Levels:
         self.count = np.zeros(window + 1, np.int64)  # of the windows at each level; 0 and the last stay 0
         self.open: list[list[int]] = [[] for _ in range(window)]
         self.made = 0
+        self.gaps: list[tuple[int, int]] | None = None
 
     def place(self, size: int) -> tuple[int, int]:
         """Window number and offset for the next piece."""
@@ -134,25 +141,50 @@ class Levels:
         return number, level
 
 
+    def pour(self, size: int) -> list[tuple[int, int, int]]:
+        """Window number, offset and length of each part of a piece that may be cut; after this, place is not called."""
+        if self.gaps is None:
+            self.gaps = [(level - self.window, n) for level, numbers in enumerate(self.open) for n in numbers]  # less the gap
+            heapq.heapify(self.gaps)
+        out = []
+        while size:
+            if not self.gaps:
+                self.gaps.append((-self.window, self.made))
+                self.made += 1
+            gap, number = heapq.heappop(self.gaps)
+            part = min(size, -gap)
+            out.append((number, self.window + gap, part))
+            size -= part
+            if gap + part:
+                heapq.heappush(self.gaps, (gap + part, number))
+        return out
+
+
 def pack(parts: DataFrame, blocks: int) -> DataFrame:
     """The pieces with sequence_id and offset."""
-    schema = [(f"{c.split()[0]}", pa.int64()) for c in PIECES.split(", ")] + [("sequence_id", pa.int64()), ("offset", pa.int64())]
+    schema = [(c.split()[0], pa.int64()) for c in PIECES.split(", ")] + [("sequence_id", pa.int64()), ("offset", pa.int64())]
 
     def run(batches):
         block, levels = None, Levels()
         for b in batches:
-            own, size = b.column("block").to_pylist(), b.column("length").to_pylist()
-            places = []
-            for k, n in zip(own, size, strict=True):
+            out = []
+            for k, doc, start, size, crc, total, ids in zip(*(b.column(c).to_pylist() for c in ("block", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")), strict=True):
                 if k != block:
                     block, levels = k, Levels()
-                number, offset = levels.place(n)
-                places.append(((k << 40) + number, offset))
-            if places:
-                yield rows(schema, *(b.column(c) for c, _ in schema[:-2]), *map(list, zip(*places, strict=True)))
+                if ids is None:
+                    number, offset = levels.place(size)
+                    out.append((doc, start, size, crc, total, (k << 40) + number, offset))
+                    continue
+                at = 0
+                for number, offset, n in levels.pour(size):
+                    out.append((doc, start + at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), total, (k << 40) + number, offset))
+                    at += n
+            if out:
+                yield rows(schema, *np.array(out, dtype=np.int64).T)
 
     dealt = parts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    return dealt.repartition(blocks, "block").sortWithinPartitions("block", "doc_id", "start").mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    last = F.col("ids").isNotNull()
+    return dealt.repartition(blocks, "block").sortWithinPartitions("block", last, "doc_id", "start").mapInArrow(run, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str) -> DataFrame:
