@@ -16,6 +16,7 @@ empty result.
 from __future__ import annotations
 
 import heapq
+import re
 import unicodedata
 import zlib
 from array import array
@@ -38,6 +39,8 @@ SPLIT = regex.compile(rf"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|\p{{L}}+|\p{
 # Characters outside these blocks of letters, punctuation and symbols go to the tokenizer with their whole text.
 UNSURE = regex.compile(r"[^\x00-\u012f\u0131-\u017e\u0180-\u024f\u0391-\u03a1\u03b1-\u03c9\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20ac\u3040-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 
+SPLIT_ASCII = re.compile(r"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[A-Za-z]+|[0-9]|[^\t-\r\x20A-Za-z0-9]+")
+
 
 class Words:
     """Ids of texts by a word tokenizer whose pre-tokens are encoded each by itself, once per worker."""
@@ -61,18 +64,20 @@ class Words:
             out = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         self.memo.update(zip(new, out, strict=True))
 
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [None if unsure(t) else (SPLIT_ASCII if t.isascii() else SPLIT).findall(t) for t in texts]
+        recall(self, set().union(*filter(None, split)), self.learn, MEMO)
+        get = self.memo.__getitem__
+        # where parts is None, normalising may join or split pre-tokens, or the libraries' Unicode versions differ
+        return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, split, strict=True)]
+
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not text.isascii() and (UNSURE.search(text) or not unicodedata.is_normalized("NFC", text)):
-            # normalising may join or split pre-tokens, or the Unicode versions of the two libraries differ
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        parts = SPLIT.findall(text)
-        memo = self.memo
-        try:
-            return b"".join([memo[p] for p in parts])
-        except KeyError:
-            recall(self, parts, self.learn, MEMO)
-            return b"".join([self.memo[p] for p in parts])
+        return self.many([text])[0]
+
+
+def unsure(text: str) -> bool:
+    return not text.isascii() and (UNSURE.search(text) is not None or not unicodedata.is_normalized("NFC", text))
 
 
 @lru_cache(2)
@@ -90,12 +95,12 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         own = tokenizer(path)
-        for b in slices(batches):
+        for b in slices(batches, limit=1 << 18):
             out, kept = [], []
             doc_ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             fluid = mix(doc_ids.view(np.uint64)) % U(FLUID) == 0
-            for doc, text, cut_it in zip(doc_ids.tolist(), b.column("text").to_pylist(), fluid.tolist(), strict=True):
-                ids = own.ids(text) + end
+            for doc, ids, cut_it in zip(doc_ids.tolist(), own.many(b.column("text").to_pylist()), fluid.tolist(), strict=True):
+                ids += end
                 for s in range(0, len(ids), 4 * WINDOW):
                     part = ids[s : s + 4 * WINDOW]
                     out.append((doc, s // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
