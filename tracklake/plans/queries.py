@@ -394,7 +394,7 @@ def output_track_order(spark, d):
     return tracks.output_order(lines, "l_orderkey", F.concat_ws("_", "l_returnflag", "l_linestatus"), "l_linenumber").select("l_orderkey", "l_linenumber", "place")
 
 
-@query("SELECT l_orderkey AS pair, avg(l_extendedprice) >= avg(l_quantity * 1000) AS a_wins, round(avg(l_extendedprice), 1) AS mean_a, round(avg(l_quantity * 1000), 1) AS mean_b FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS pair, avg(l_extendedprice) >= avg(l_quantity * 1000) AS a_wins, round(avg(l_extendedprice), 6) AS mean_a, round(avg(l_quantity * 1000), 6) AS mean_b FROM lineitem GROUP BY l_orderkey")
 def better_video(spark, d):
     scores = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pair"), F.col("l_extendedprice").alias("score_a"), (F.col("l_quantity") * 1000).alias("score_b"))
-    return selection.better_video(scores).withColumns({"mean_a": F.round("mean_a", 1), "mean_b": F.round("mean_b", 1)})
+    return selection.better_video(scores).withColumns({"mean_a": F.round("mean_a", 6), "mean_b": F.round("mean_b", 6)})
