@@ -16,6 +16,7 @@ import hashlib
 import re
 import struct
 from functools import lru_cache
+from itertools import filterfalse
 
 import public_tokenizers
 import pyarrow as pa
@@ -80,15 +81,18 @@ def serialise(tokens: list[bytes]) -> bytes:
     return bytes(out + _field(3, 2, normalizer))
 
 
-def recall(own, parts: set[str], learn, most: int) -> None:
-    """Brings all parts into own.memo: from the generation before, or by learn."""
+def recall(own, split: list[list[str]], learn, most: int) -> None:
+    """Brings all pre-tokens of split into own.memo: from the generation before, or by learn."""
     if len(own.memo) > most:
         own.old, own.memo = own.memo, {}
-    new = parts - own.memo.keys()
-    if own.old:
-        again = new & own.old.keys()
-        own.memo.update((p, own.old[p]) for p in again)
-        new -= again
+    memo, old = own.memo, own.old
+    new: set[str] = set()
+    for parts in split:
+        new.update(filterfalse(memo.__contains__, parts))
+    if old:
+        again = [p for p in new if p in old]
+        memo.update((p, old[p]) for p in again)
+        new.difference_update(again)
     if new:
         learn(list(new))
 
@@ -122,7 +126,7 @@ class Codec:
     def encode(self, texts: list[str], split) -> list[str]:
         """Each text's ids, joined by spaces; split: gives a text's pre-tokens."""
         parts = [split(t) for t in texts]
-        recall(self, set().union(*parts), self.learn, MEMO)
+        recall(self, parts, self.learn, MEMO)
         get = self.memo.__getitem__
         return [" ".join(map(get, p)) for p in parts]
 

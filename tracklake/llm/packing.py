@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 from tracklake.llm.bpe import WHITE, recall
 from tracklake.llm.common import U, blocks_for, cut, mix, rows, slices, text_only
 
-WINDOW, END, BLOCK, MEMO, FLUID = 2048, 1, 8192, 200_000, 8
+WINDOW, END, BLOCK, MEMO, FLUID = 2048, 1, 8192, 300_000, 8
 # The tokenizer's own split, before lower-casing.
 SPLIT = regex.compile(rf"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 
@@ -53,7 +53,15 @@ class Words:
         self.old: dict[str, bytes] = {}
 
     def learn(self, new: list[str]) -> None:
-        """Notes the ids of each pre-token: encoded as one text, cut after the ids that end a word."""
+        """Notes the ids of each pre-token: encoded as one text, cut after the ids that end a word.
+
+        Only the lower-case form of ASCII ones is encoded, as the tokenizer lower-cases.
+        """
+        low = [p.lower() if p.isascii() else p for p in new]
+        every, new = list(zip(new, low, strict=True)), list({p for p in low if p not in self.memo})
+        if not new:
+            self.memo.update((p, self.memo[q]) for p, q in every)
+            return
         ids = array("I", self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids)
         at, out = 0, []
         for k, i in enumerate(ids, 1):
@@ -63,11 +71,13 @@ class Words:
         if len(out) != len(new) or at != len(ids):
             out = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         self.memo.update(zip(new, out, strict=True))
+        memo = self.memo
+        memo.update([(p, memo[q]) for p, q in every if p is not q])
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [None if unsure(t) else (SPLIT_ASCII if t.isascii() else SPLIT).findall(t) for t in texts]
-        recall(self, set().union(*filter(None, split)), self.learn, MEMO)
+        recall(self, [p for p in split if p], self.learn, MEMO)
         get = self.memo.__getitem__
         # where parts is None, normalising may join or split pre-tokens, or the libraries' Unicode versions differ
         return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, split, strict=True)]
