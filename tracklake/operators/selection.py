@@ -29,24 +29,38 @@ def beaten(a: dict, b: dict, rules: dict) -> str | None:
 def dominant(tracks: DataFrame, group: str, order: str, rule_text: str) -> DataFrame:
     """Adds keep to tracks (group, order, format, channels, rate, bitrate): sequential elimination in each group.
 
-    A group is one file's tracks of a language, a handful of rows.
+    A group is one file's tracks of a language, a handful of rows; a task goes through its groups in one sorted pass.
     """
     rules = parse(rule_text)
     columns = tracks.columns
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        rows, keep = pdf.to_dict("records"), [True] * len(pdf)
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, keep = pdf[["format", "channels", "rate", "bitrate"]].to_dict("records"), [True] * len(pdf)
+        code = pd.factorize(pdf[group], use_na_sentinel=False)[0].tolist()
         for i in range(len(rows)):
-            for j in range(i + 1, len(rows)):
-                if keep[i] and keep[j]:
+            j = i + 1
+            while keep[i] and j < len(rows) and code[j] == code[i]:
+                if keep[j]:
                     out = beaten(rows[i], rows[j], rules)
                     if out:
                         keep[i if out == "a" else j] = False
+                j += 1
         return pdf.assign(keep=keep)[[*columns, "keep"]]
 
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            code = pd.factorize(pdf[group], use_na_sentinel=False)[0]
+            ready = code != code[-1] if len(code) else code == 0
+            held = pdf[~ready]  # the last group may go on in the next batch
+            if ready.any():
+                yield decide(pdf[ready])
+        if held is not None and len(held):
+            yield decide(held)
+
     schema = tracks.withColumn("keep", F.lit(True)).schema
-    return tracks.groupBy(group).applyInPandas(run, schema)
+    return tracks.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, schema)
 
 
 def better_video(scores: DataFrame) -> DataFrame:
