@@ -2,7 +2,7 @@
 
 import pandas as pd
 
-from tracklake.operators import refine, rewriting
+from tracklake.operators import merging, refine, rewriting
 from tracklake.streaming.keyed import changes
 
 RANGE = "k int, begin_s double, end_s double, fps_main double, fps_target double, gap_begin int, gap_end int, scene_s array<double>, lag_s double"
@@ -68,3 +68,11 @@ def test_keyed_state_over_batches(spark, tmp_path):
     changes(stream).writeStream.foreachBatch(lambda b, _: seen.append(b.toPandas())).outputMode("update").option("checkpointLocation", f"{tmp_path}/p").trigger(availableNow=True).start().awaitTermination()
     rows = sorted(tuple(r) for f in seen for r in f[["folder_id", "episode", "nom", "version"]].itertuples(index=False))
     assert rows == [(1, 1, "b", 1), (1, 1, "f", 2), (2, 5, "c", 1), (2, 5, "e", 2)]
+
+
+def test_cliques_by_first_fit(spark):
+    members = spark.createDataFrame([("x", m) for m in (3, 1, 2, 4, 4, 5)] + [("y", 7)], "grp string, member int")
+    pairs = spark.createDataFrame([("x", 1, 3), ("x", 1, 4), ("x", 2, 4), ("x", 2, 5), ("x", 4, 5), ("z", 1, 2)], "grp string, i int, j int")
+    got = {(r.grp, r.member): r.clique for r in merging.cliques(members, pairs).collect()}
+    assert got == {("x", 1): 1, ("x", 3): 1, ("x", 2): 2, ("x", 4): 2, ("x", 5): 2, ("y", 7): 7}
+    assert merging.cliques(members.where("false"), pairs).count() == 0

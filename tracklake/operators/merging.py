@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,25 +17,21 @@ def compatible_pairs(measured: DataFrame) -> DataFrame:
 
 
 def cliques(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Greedy cliques from the lowest index: grp, member, clique. A group is one language of one merge, a few tracks."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        linked = {(int(a), int(b)) for a, b in zip(right["i"], right["j"], strict=True)}
-        out: dict[int, int] = {}
-        for start in sorted(map(int, left["member"])):
-            if start in out:
-                continue
-            own = [start]
-            for other in sorted(map(int, left["member"])):
-                if other not in out and other > start and all((a, other) in linked for a in own):
-                    own.append(other)
-            out |= dict.fromkeys(own, start)
-        grp = left["grp"].iloc[0] if len(left) else None
-        return pd.DataFrame({"grp": [grp] * len(out), "member": list(out), "clique": list(out.values())})
-
-    kind = dict(members.dtypes)["grp"]
-    pairs = pairs.select(F.col("grp").alias("pair_grp"), "i", "j")
-    return members.groupBy("grp").cogroup(pairs.groupBy("pair_grp")).applyInPandas(run, f"grp {kind}, member long, clique long")
+    """Greedy cliques from the lowest index: grp, member, clique. A group is one language of one merge, a few tracks.
+
+    Members come in order; each joins the first clique whose members are all linked with it, or opens one, named after it.
+    """
+    own = members.groupBy("grp").agg(F.array_sort(F.collect_set(F.col("member").cast("long"))).alias("_members"))
+    linked = pairs.groupBy("grp").agg(F.collect_set(F.struct(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))).alias("_links"))
+    both = own.join(linked, "grp", "left").withColumn("_links", F.coalesce("_links", F.expr("cast(array() as array<struct<i: bigint, j: bigint>>)")))
+
+    def place(made, m):
+        fits = F.transform(made, lambda c: F.forall(c, lambda x: F.array_contains(F.col("_links"), F.struct(x.alias("i"), m.alias("j")))))
+        first = F.array_position(fits, True)
+        return F.when(first == 0, F.concat(made, F.array(F.array(m)))).otherwise(F.transform(made, lambda c, k: F.when(k + 1 == first, F.concat(c, F.array(m))).otherwise(c)))
+
+    made = F.aggregate("_members", F.expr("cast(array() as array<array<bigint>>)"), place)
+    return both.select("grp", F.explode(made).alias("_c")).select("grp", F.explode("_c").alias("member"), F.col("_c")[0].alias("clique"))
 
 
 def tournament(files: DataFrame) -> DataFrame:
