@@ -110,6 +110,24 @@ def test_near_duplicates_of_a_base_with_unlike_copies(spark):
     assert got == components(made, 3, 85)
 
 
+@pytest.mark.parametrize("n,edits", [(100, 5), (700, 5)])
+def test_near_duplicates_of_copies_without_their_base(spark, monkeypatch, n, edits):
+    """Few of the copies are alike enough, and no text is the hub of those links."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    r = random.Random(n)
+    base = [f"w{i}" for i in range(300)]
+    made = []
+    for i in range(n):
+        v = list(base)
+        for k in r.sample(range(300), edits):
+            v[k] = f"c{i}x{k}"
+        made.append((i, " ".join(v)))
+    want = components(made, 3, 85)
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dedup.near_duplicates(df, 3, 85).collect()}
+    assert got == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90)], "a long, b long")
     got = {r.node: r.root for r in near_dedup.components(edges).collect()}

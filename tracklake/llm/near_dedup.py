@@ -8,7 +8,10 @@ prefix, and each member with the run's `LEADERS` most central ones (a base of ma
 with most of them, though the copies may be less alike to each other). Pairs that their signatures
 rule out are left. Links are confirmed on the full shingle sets: first each text's with the most
 central one it met, then those between texts that are not connected yet, so a group of n copies costs
-about n confirmations.
+about n confirmations. Runs that have more than `REGION` texts at `DEEP` values are then completed: runs
+that share a text make a cluster, and in a cluster every pair of texts that are still not connected is
+compared on the full sets, block by block. So every pair that shares a run of `DEEP` values is tested,
+save those that their signatures rule out in a small run.
 
 Defined cases: null or empty text, or white space only: an empty set, linked with nothing. Equal
 sets are linked. Repeated rows of a doc_id are one document if their texts agree. Extra columns are
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from tracklake.llm.common import U, cut, mix, rows, shingles, slices, starts, text_only, utf8, words
 
 VALUES, TREES, DEPTH, REGION, LEADERS, SALTS = 64, 16, 8, 24, 3, 32
+DEEP, BLOCK = 4, 512
 MULTIPLY = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * U(0xD1342543DE82EF95)) | U(1)
 
 SETS = "doc_id long, n long, fp1 long, fp2 long, sig binary"
@@ -112,14 +116,27 @@ def _sizes(lcp: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 LEVELS = (2, 4, 8)
 
 
+RUN = ["tree", *(f"s{i}" for i in range(DEEP))]
+CENTRAL = "doc_id long, c long, " + ", ".join(f"{c} int" for c in RUN)
+
+
 def _centrality(batches):
-    schema = [("doc_id", pa.int64()), ("c", pa.int64())]
+    """doc_id, c: the sizes of a text's runs. With a tree: a piece of a run of DEEP values, its least doc_id and size;
+    a run may go on in another batch or task, so the first and last piece of a batch are given out whatever their size."""
+    schema = [("doc_id", pa.int64()), ("c", pa.int64()), *((c, pa.int32()) for c in RUN)]
     for b in _whole(batches):
-        lcp = _runs(b)
+        if not b.num_rows:
+            continue
+        lcp, doc = _runs(b), b.column("doc_id").to_numpy(zero_copy_only=False)
         sizes = [_sizes(lcp, level)[1] for level in LEVELS]  # the deep runs tell a base from copies that share most of it
         big = sizes[0] > 2
         if big.any():
-            yield rows(schema, b.column("doc_id").to_numpy(zero_copy_only=False)[big], sum(sizes)[big])
+            yield rows(schema, doc[big], sum(sizes)[big], *(pa.nulls(int(big.sum()), pa.int32()) for _ in RUN))
+        head = np.flatnonzero(lcp < DEEP)
+        size = np.diff(np.append(head, len(doc)))
+        some = size > REGION
+        some[[0, -1]] = True
+        yield rows(schema, np.minimum.reduceat(doc, head)[some], size[some], *(b.column(c).to_numpy(zero_copy_only=False)[head[some]] for c in RUN))
 
 
 def _candidates(percent: int):
@@ -217,6 +234,73 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _keys(k: int):
+    """The shingles of each text, eight bytes each."""
+    schema = [("doc_id", pa.int64()), ("keys", pa.binary())]
+
+    def run(batches):
+        for b in slices(batches):
+            n = b.num_rows
+            key = shingles(*words(*utf8(b.column("text"))), n, k)
+            at = starts((key >> U(52)).astype(np.int64), n)
+            key &= U((1 << 52) - 1)
+            yield rows(schema, b.column("doc_id").to_numpy(zero_copy_only=False), [key[i:j].tobytes() for i, j in zip(at, at[1:])])
+
+    return run
+
+
+def _between(percent: int):
+    """Links between the two sides of a block; of those between the same two components one is enough."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, root, left = (table.column(c).to_numpy() for c in ("doc_id", "root", "left"))
+        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+        count = np.array([len(x) for x in keys])
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        _, at, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[at]
+        row = np.repeat(np.arange(len(keys)), count)[column >= 0]
+        column = column[column >= 0]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        shared = np.zeros((len(x), len(y)), np.int64)
+        wide = 4096
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+            i, j = np.searchsorted(column, (c, c + wide))
+            part = np.zeros((len(keys), wide), np.float32)
+            part[row[i:j], column[i:j] - c] = 1
+            shared += (part[x] @ part[y].T).astype(np.int64)
+        ok = (100 * shared >= percent * (count[x][:, None] + count[y] - shared)) & (root[x][:, None] != root[y])
+        i, j = np.nonzero(ok)
+        if not len(i):
+            return schema.empty_table()
+        i, j = x[i], y[j]
+        _, one = np.unique(np.stack([np.minimum(root[i], root[j]), np.maximum(root[i], root[j])]), axis=1, return_index=True)
+        i, j = i[one], j[one]
+        return pa.table([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], schema=schema)
+
+    return run
+
+
+def between(members: DataFrame, roots: DataFrame, texts: DataFrame, k: int, percent: int, anchors: bool) -> DataFrame:
+    """Links between the components of each cluster (members: cluster, doc_id). All texts out of a cluster's largest
+    component meet all its texts; anchors: one block of a cluster of several blocks meets all its texts instead."""
+    m = members.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    n = m.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    n = n.groupBy("cluster").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("root", F.struct("n", -F.col("root"))).alias("main")).where("n > top")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    if anchors:
+        n = n.where(F.col("n") - F.col("top") > BLOCK)
+    n = n.select("cluster", "main", blocks.alias("ys"), (F.lit(1) if anchors else F.ceil((F.col("n") - F.col("top")) / BLOCK)).alias("xs"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("ys"))
+    m = cut(m.join(n, "cluster").select("cluster", "doc_id", "root", "xs", "ys", block.alias("y"), (block == 0 if anchors else F.col("root") != F.col("main")).alias("out")))
+    x = m.where("out").select("cluster", "doc_id", "root", F.lit(True).alias("left"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("xs")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)).alias("y"))
+    y = m.select("cluster", "doc_id", "root", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), (F.col("xs") - 1).cast("long"))).alias("x"), "y")
+    keys = cut(texts.join(m.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_keys(k), "doc_id long, keys binary"))
+    return x.union(y).join(keys, "doc_id").groupBy("cluster", "x", "y").applyInArrow(_between(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     sets = cut(text_only(docs).mapInArrow(_sets(k), SETS))
@@ -234,7 +318,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         return central.mapInArrow(_trees(with_bits), TREE).repartitionByRange(*order).sortWithinPartitions(*order, "doc_id")
 
     plain = cut(reps.select("doc_id", "sig", F.lit(0).cast("long").alias("central")))
-    central = forest(plain, False).mapInArrow(_centrality, "doc_id long, c long").groupBy("doc_id").agg(F.sum("c").alias("c"))
+    sizes = cut(forest(plain, False).mapInArrow(_centrality, CENTRAL))
+    large = cut(sizes.where("tree is not null").groupBy(*RUN).agg(F.sum("c").alias("size"), F.min("doc_id").alias("low")).where(F.col("size") > REGION))
+    central = sizes.where("tree is null").groupBy("doc_id").agg(F.sum("c").alias("c"))
     ranked = plain.drop("central").join(central, "doc_id", "left").select("doc_id", "sig", F.coalesce("c", F.lit(0)).alias("central"))
     pairs = cut(forest(ranked, True).mapInArrow(_candidates(percent), "a long, b long, leader long, central long"))
     member = F.when(F.col("leader") == F.col("a"), F.col("b")).otherwise(F.col("a"))
@@ -248,7 +334,16 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     left = cut(left.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"))
     more = cut(confirmed(left.join(first, ["a", "b"], "left_anti"), texts, k, percent))
     if more.limit(1).count():
-        roots = components(found.union(more))
+        found = found.union(more)
+        roots = components(found)
+    if large.limit(1).count():
+        together = plain.mapInArrow(_trees(False), TREE).select(*RUN, "doc_id").join(large, RUN)
+        members = cut(components(together.select(F.col("doc_id").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")))
+        for anchors in (True, False):
+            more = cut(between(members, roots, texts, k, percent, anchors))
+            if more.limit(1).count():
+                found = found.union(more)
+                roots = components(found)
     merged = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("component_id")).distinct()
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(merged, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.col("component_id") == F.col("doc_id"))
