@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -128,6 +129,26 @@ def test_near_duplicates_of_copies_without_their_base(spark, monkeypatch, n, edi
     assert got == want
 
 
+def test_small_runs_stay_whole(spark, monkeypatch):
+    """Neither the batches nor the tasks of the sorted trees cut a run of four values that isn't a large one."""
+    monkeypatch.setattr(near_dedup, "HELD", 50)
+    order = ["tree", *(f"s{i}" for i in range(near_dedup.DEPTH))]
+    made = [(0, 1, 1, run, 1, j, 0, 0, 0) for run in range(40) for j in range(3)] + [(0, 1, 1, 99, 1, j, 0, 0, 0) for j in range(300)]
+    table = pa.table(dict(zip(order, map(list, zip(*made)), strict=True)))
+    out = list(near_dedup._whole(table.to_batches(max_chunksize=25)))
+    assert sum(b.num_rows for b in out) == len(made)
+    assert not any(a.column("s2")[-1] == b.column("s2")[0] != pa.scalar(99) for a, b in zip(out, out[1:]))
+    trees = spark.createDataFrame(made, ", ".join(f"{c} int" for c in order))
+    large = spark.createDataFrame([(0, 1, 1, 99, 1)], ", ".join(f"{c} int" for c in near_dedup.RUN))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = near_dedup.dealt(trees, large).select("s2", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == len(made) and len({r.task for r in parts}) > 1
+    assert len({(r.s2, r.task) for r in parts if r.s2 != 99}) == 40 and len({r.task for r in parts if r.s2 == 99}) > 1
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90)], "a long, b long")
     got = {r.node: r.root for r in near_dedup.components(edges).collect()}

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tracklake.llm.common import U, cut, mix, rows, shingles, slices, starts, text_only, utf8, words
 
 VALUES, TREES, DEPTH, REGION, LEADERS, SALTS = 64, 16, 8, 24, 3, 32
-DEEP, BLOCK = 4, 512
+DEEP, BLOCK, HELD = 4, 512, 200_000
 MULTIPLY = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * U(0xD1342543DE82EF95)) | U(1)
 
 SETS = "doc_id long, n long, fp1 long, fp2 long, sig binary"
@@ -89,17 +89,19 @@ def _runs(b: pa.RecordBatch) -> np.ndarray:
 
 
 def _whole(batches):
-    """Batches rearranged so that none but very long runs of the first two values are cut."""
+    """Batches rearranged so that none but very long runs of the first two values are cut, and those only between runs of
+    DEEP values, or in one that alone is so long (it is completed later)."""
     held: pa.RecordBatch | None = None
     for b in batches:
         if held is not None:
             b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
             held = None
-        last = np.flatnonzero(_runs(b) < 2) if b.num_rows else []
-        k = last[-1] if len(last) else 0
-        if k == 0 and b.num_rows < 200_000:
+        lcp = _runs(b) if b.num_rows else np.zeros(0, int)
+        k = max(np.flatnonzero(lcp < 2), default=0)
+        if k == 0 and b.num_rows < HELD:
             held = b
             continue
+        k = k or max(np.flatnonzero(lcp < DEEP), default=0)
         k = k or b.num_rows
         yield b.slice(0, k)
         held = b.slice(k) if k < b.num_rows else None
@@ -301,6 +303,13 @@ def between(members: DataFrame, roots: DataFrame, texts: DataFrame, k: int, perc
     return x.union(y).join(keys, "doc_id").groupBy("cluster", "x", "y").applyInArrow(_between(percent), "a long, b long")
 
 
+def dealt(trees: DataFrame, large: DataFrame) -> DataFrame:
+    """The rows of the trees by ranges: a run of DEEP values is in one task, unless it is a large one, which is completed later."""
+    marked = trees.join(large.select(*RUN, F.lit(True).alias("large")), RUN, "left")
+    rest = [F.when(F.col("large"), F.col(f"s{i}")) for i in range(DEEP, DEPTH)]
+    return marked.repartitionByRange(*RUN, *rest).select(*trees.columns)
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     sets = cut(text_only(docs).mapInArrow(_sets(k), SETS))
@@ -314,15 +323,13 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     texts = text_only(docs)
     order = ["tree", *(f"s{i}" for i in range(DEPTH))]
 
-    def forest(central: DataFrame, with_bits: bool) -> DataFrame:
-        return central.mapInArrow(_trees(with_bits), TREE).repartitionByRange(*order).sortWithinPartitions(*order, "doc_id")
-
     plain = cut(reps.select("doc_id", "sig", F.lit(0).cast("long").alias("central")))
-    sizes = cut(forest(plain, False).mapInArrow(_centrality, CENTRAL))
+    sizes = cut(plain.mapInArrow(_trees(False), TREE).repartitionByRange(*order).sortWithinPartitions(*order, "doc_id").mapInArrow(_centrality, CENTRAL))
     large = cut(sizes.where("tree is not null").groupBy(*RUN).agg(F.sum("c").alias("size"), F.min("doc_id").alias("low")).where(F.col("size") > REGION))
     central = sizes.where("tree is null").groupBy("doc_id").agg(F.sum("c").alias("c"))
     ranked = plain.drop("central").join(central, "doc_id", "left").select("doc_id", "sig", F.coalesce("c", F.lit(0)).alias("central"))
-    pairs = cut(forest(ranked, True).mapInArrow(_candidates(percent), "a long, b long, leader long, central long"))
+    ordered = dealt(ranked.mapInArrow(_trees(True), TREE), large).sortWithinPartitions(*order, "doc_id")
+    pairs = cut(ordered.mapInArrow(_candidates(percent), "a long, b long, leader long, central long"))
     member = F.when(F.col("leader") == F.col("a"), F.col("b")).otherwise(F.col("a"))
     first = pairs.where("leader is not null").groupBy(member.alias("member")).agg(F.max_by("leader", F.struct("central", -F.col("leader"))).alias("leader"))
     first = first.select(F.least("member", "leader").alias("a"), F.greatest("member", "leader").alias("b")).distinct()
