@@ -4,18 +4,19 @@ A document's ids are cut into full windows and a rest. Within a block of documen
 of the id, about `BLOCK` documents each) the pieces arrive in the order of their ids; a piece goes to
 the fill level, or to a new window, for which the sum over all levels of the squared count of
 partially filled windows becomes least. The counts live in an array by level, with a stack of open
-windows for each level. One document in `FLUID`, by a hash of its id, comes last in its block: the rests
-of these fill the windows that are open then, the widest gap first, and are cut where a gap ends.
+windows for each level. One document in `FLUID`, by a hash of its id, comes last in its block; its rest
+may be cut. The same rule places it: at each level the choices are to go there whole or, where the gap is
+smaller, to fill it with a first part, and what is left is placed again.
 Windows still open at the block's end are padded, as a rule one a block.
 
-Defined cases: a null or empty text has the end id alone; very long texts fill several windows;
-repeated rows are packed as rows of their own; extra columns are ignored; an empty table gives an
-empty result.
+Defined cases: a null or empty text has the end id alone; very long texts fill several windows; the names of
+special tokens in a text become those tokens, as the tokenizer does by default; of equally good levels the
+fullest is taken; repeated rows are packed as rows of their own, in any order; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import unicodedata
 import zlib
@@ -29,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracklake.llm.bpe import WHITE, recall
+from tracklake.llm.bpe import recall
 from tracklake.llm.common import U, blocks_for, cut, mix, rows, slices, text_only
 
 WINDOW, END, BLOCK, MEMO, FLUID = 2048, 1, 8192, 300_000, 8
-# The tokenizer's own split, before lower-casing.
-SPLIT = regex.compile(rf"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
+# The tokenizer's own split, before lower-casing, for texts without UNSURE characters (of these, three digits and three
+# fractions are the only numbers beyond 0-9).
+SPLIT = re.compile(r"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\t-\r\x20\x85\xa0]|_)+")
 
 # Characters outside these blocks of letters, punctuation and symbols go to the tokenizer with their whole text.
 UNSURE = regex.compile(r"[^\x00-\u012f\u0131-\u017e\u0180-\u024f\u0391-\u03a1\u03b1-\u03c9\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20ac\u3040-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
@@ -47,7 +49,7 @@ class Words:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -76,10 +78,10 @@ class Words:
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if unsure(t) else (SPLIT_ASCII if t.isascii() else SPLIT).findall(t) for t in texts]
+        split = [None if unsure(t) or self.special.search(t) else (SPLIT_ASCII if t.isascii() else SPLIT).findall(t) for t in texts]
         recall(self, [p for p in split if p], self.learn, MEMO)
         get = self.memo.__getitem__
-        # where parts is None, normalising may join or split pre-tokens, or the libraries' Unicode versions differ
+        # where parts is None, special tokens are to be found, normalising may join or split pre-tokens, or the libraries' Unicode versions differ
         return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, split, strict=True)]
 
     def ids(self, text: str) -> bytes:
@@ -128,51 +130,33 @@ class Levels:
         self.count = np.zeros(window + 1, np.int64)  # of the windows at each level; 0 and the last stay 0
         self.open: list[list[int]] = [[] for _ in range(window)]
         self.made = 0
-        self.gaps: list[tuple[int, int]] | None = None
 
-    def place(self, size: int) -> tuple[int, int]:
-        """Window number and offset for the next piece."""
+    def place(self, size: int, cuttable: bool = False) -> tuple[int, int, int]:
+        """Window number, offset and length of the next piece, or of its first part if it is cuttable and a gap holds no more."""
         if size == self.window:
             self.made += 1
-            return self.made - 1, 0
+            return self.made - 1, 0, size
         c = self.count
         room = self.window - size  # the highest level with room
         # moving a window from level h to h + size changes the sum by 2 (c[h+size] - c[h]) + 2; a new one by 2 c[size] + 1
-        change = 2 * (c[size + 1 : self.window + 1] - c[1 : room + 1]) + 2
-        if room:
-            change[-1] -= 1  # a full window leaves the sum
-        change = np.where(c[1 : room + 1] > 0, change, np.iinfo(np.int64).max)
-        best = int(change[::-1].argmin()) if room else 0  # of equals the fullest level
-        level = room - best
-        if room and change[level - 1] <= 2 * c[size] + 1:
+        high = self.window - 1 if cuttable else room
+        change = np.empty(high, np.int64)
+        change[:room] = 2 * (c[size + 1 : self.window + 1] - c[1 : room + 1]) + 2
+        change[room - 1 :] = 1 - 2 * c[room : high + 1]  # a full window leaves the sum
+        change = np.where(c[1 : high + 1] > 0, change, np.iinfo(np.int64).max)
+        level = high - int(change[::-1].argmin())  # of equals the fullest level
+        is_open = c[level] > 0
+        if is_open and (cuttable or change[level - 1] <= 2 * c[size] + 1):
             c[level] -= 1
             number = self.open[level].pop()
         else:
             level, number = 0, self.made
             self.made += 1
+        size = min(size, self.window - level)
         if level + size < self.window:
             c[level + size] += 1
             self.open[level + size].append(number)
-        return number, level
-
-
-    def pour(self, size: int) -> list[tuple[int, int, int]]:
-        """Window number, offset and length of each part of a piece that may be cut; after this, place is not called."""
-        if self.gaps is None:
-            self.gaps = [(level - self.window, n) for level, numbers in enumerate(self.open) for n in numbers]  # less the gap
-            heapq.heapify(self.gaps)
-        out = []
-        while size:
-            if not self.gaps:
-                self.gaps.append((-self.window, self.made))
-                self.made += 1
-            gap, number = heapq.heappop(self.gaps)
-            part = min(size, -gap)
-            out.append((number, self.window + gap, part))
-            size -= part
-            if gap + part:
-                heapq.heappush(self.gaps, (gap + part, number))
-        return out
+        return number, level, size
 
 
 def pack(parts: DataFrame, blocks: int) -> DataFrame:
@@ -186,13 +170,10 @@ def pack(parts: DataFrame, blocks: int) -> DataFrame:
             for k, doc, start, size, crc, total, ids in zip(*(b.column(c).to_pylist() for c in ("block", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")), strict=True):
                 if k != block:
                     block, levels = k, Levels()
-                if ids is None:
-                    number, offset = levels.place(size)
-                    out.append((doc, start, size, crc, total, (k << 40) + number, offset))
-                    continue
                 at = 0
-                for number, offset, n in levels.pour(size):
-                    out.append((doc, start + at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), total, (k << 40) + number, offset))
+                while at < size:
+                    number, offset, n = levels.place(size - at, ids is not None)
+                    out.append((doc, start + at, n, crc if n == size else zlib.crc32(ids[4 * at : 4 * (at + n)]), total, (k << 40) + number, offset))
                     at += n
             if out:
                 yield rows(schema, *np.array(out, dtype=np.int64).T)
