@@ -7,7 +7,9 @@ codec, duration and the byte ranges of sync samples without looking at the paylo
 gathers the bytes of all samples.
 
 Defined cases: a null text is empty and is stored as 64 zeros; equal texts give equal bytes; texts
-of any length below 4 GB; a file with a broken box raises ValueError; extra columns are ignored.
+of any length below 4 GB; a file with a broken box raises ValueError; repeated rows give equal rows; an empty
+table gives an empty result; extra columns are ignored. `digests` reads each file back in the task that made it, so
+no media bytes leave the task.
 """
 
 from __future__ import annotations
@@ -121,17 +123,34 @@ def tables(data) -> list[dict]:
     return tracks
 
 
-def describe(data) -> dict:
-    """Codec, duration in seconds, samples, and the byte ranges of sync samples, of the first track."""
-    t = tables(data)[0]
+def described(track: dict) -> dict:
+    """Codec, duration in seconds, samples, and the byte ranges of sync samples, of a track's tables."""
+    t = track
     sync = t.get("sync") or range(1, len(t["sizes"]) + 1)  # without a table all samples are sync samples
     ranges = [(t["offsets"][i - 1], t["offsets"][i - 1] + t["sizes"][i - 1]) for i in sync]
     return {"codec": t["codec"].strip(), "seconds": sum(n * d for n, d in t["times"]) / t["rate"], "samples": len(t["sizes"]), "keyframes": ranges}
 
 
+def gathered(data, track: dict) -> bytes:
+    """The bytes of all samples of a track, in order."""
+    return b"".join([bytes(data[o : o + n]) for o, n in zip(track["offsets"], track["sizes"], strict=True)])
+
+
+def describe(data) -> dict:
+    """What the boxes of the first track tell, without a look at the payload."""
+    return described(tables(data)[0])
+
+
 def payload(data) -> bytes:
-    t = tables(data)[0]
-    return b"".join([bytes(data[o : o + n]) for o, n in zip(t["offsets"], t["sizes"], strict=True)])
+    return gathered(data, tables(data)[0])
+
+
+def stored(text: str) -> tuple[int, bytes, bytes, dict]:
+    """Bytes of a text, its media file, and what is read back from that: payload and description."""
+    raw = text.encode()
+    media = mux(raw + bytes(-len(raw) % UNIT if raw else UNIT))
+    track = tables(media)[0]
+    return len(raw), media, gathered(media, track), described(track)
 
 
 MEDIA = "doc_id long, n_bytes long, media binary, payload binary, codec string, seconds double, samples long, keyframes array<struct<start:long,end:long>>"
@@ -146,10 +165,8 @@ def store(docs: DataFrame) -> DataFrame:
         for b in slices(batches):
             out = []
             for text in b.column("text").to_pylist():
-                raw = text.encode()
-                media = mux(raw + bytes(-len(raw) % UNIT if raw else UNIT))
-                d = describe(media)
-                out.append((len(raw), media, payload(media), d["codec"], d["seconds"], d["samples"], [{"start": s, "end": e} for s, e in d["keyframes"]]))
+                n, media, back, d = stored(text)
+                out.append((n, media, back, d["codec"], d["seconds"], d["samples"], [{"start": s, "end": e} for s, e in d["keyframes"]]))
             yield rows(schema, b.column("doc_id"), *map(list, zip(*out, strict=True)))
 
     return text_only(docs).mapInArrow(run, MEDIA)
@@ -160,12 +177,13 @@ def digests(docs: DataFrame) -> DataFrame:
     schema = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
-            for n, media, back, codec, seconds, samples, keys in zip(*(b.column(c).to_pylist() for c in ("n_bytes", "media", "payload", "codec", "seconds", "samples", "keyframes")), strict=True):
-                feature = f"codec={codec};seconds={seconds:.6f};samples={samples};keyframes={len(keys)};first={keys[0]['start']}-{keys[0]['end']};last={keys[-1]['start']}-{keys[-1]['end']}"
+            for text in b.column("text").to_pylist():
+                n, media, back, d = stored(text)
+                first, last = d["keyframes"][0], d["keyframes"][-1]
+                feature = f"codec={d['codec']};seconds={d['seconds']:.6f};samples={d['samples']};keyframes={len(d['keyframes'])};first={first[0]}-{first[1]};last={last[0]}-{last[1]}"
                 out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            if out:
-                yield rows(schema, b.column("doc_id"), *map(list, zip(*out, strict=True)))
+            yield rows(schema, b.column("doc_id"), *map(list, zip(*out, strict=True)))
 
-    return store(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return text_only(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
