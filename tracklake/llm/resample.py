@@ -1,15 +1,16 @@
 """Quality by importance resampling.
 
 Two generative models over `BUCKETS` hashed word n-grams (one and two words, lower case) are fitted:
-one to target texts (labelled good), one to all texts. A document's log weight is the mean over its
-n-grams of the log ratio of the two models; a Gumbel draw from a hash of doc_id is added to it
-(divided by `HEAT`), and the top k documents by that sum are a sample without replacement by weight.
+one to target texts (labelled good), one to all texts. A document's log weight is the log of the ratio of its
+probabilities under the two models, i.e. the sum over its n-grams of the log ratio of their shares; a Gumbel draw
+from a hash of doc_id is added to it, and the top k documents by that sum are a sample without replacement by weight.
 
 k is the share of good texts among the labelled ones, times the number of documents, unless given.
 The target is fitted to at most about `SAMPLE` labelled documents chosen by a hash of doc_id; the
 counts of all texts, and k, cover all rows. Defined cases: a null text is empty; a text without words
 has log weight 0; ties go to the smaller doc_id; without good labels both models are equal; repeated
-rows are rows of their own; extra columns are ignored.
+rows are rows of their own (equal ones have equal keys, so a tie at the bar keeps all of that doc_id); an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tracklake.llm.common import U, cut, mix, rows, slices, starts, utf8, words
 
-BUCKETS, SAMPLE, HEAT, NARROW = 16384, 20_000, 0.02, 10_000
+BUCKETS, SAMPLE, NARROW = 16384, 20_000, 10_000
 
 
 def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,18 +59,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.log(t / t.sum()) - np.log(n / n.sum()) if any(r.t for r in found) else np.zeros(BUCKETS)
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, heat: float = HEAT, seed: int = 11) -> DataFrame:
+def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 11) -> DataFrame:
     """doc_id, log_weight and key."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS numbers
 
     def run(batches):
         for b in slices(batches):
             doc, h = hashed(b.column("text"))
-            n = np.bincount(doc, minlength=b.num_rows)
-            weight = np.bincount(doc, weights=shared.value[h], minlength=b.num_rows) / np.maximum(n, 1)
+            weight = np.bincount(doc, weights=shared.value[h], minlength=b.num_rows)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             u = ((mix(mix(ids.astype(np.int64).view(np.uint64)) + U(seed)) >> U(11)).astype(np.float64) + 0.5) / (1 << 53)
-            yield rows([("doc_id", pa.int64()), ("log_weight", pa.float64()), ("key", pa.float64())], ids, weight, weight / heat - np.log(-np.log(u)))
+            yield rows([("doc_id", pa.int64()), ("log_weight", pa.float64()), ("key", pa.float64())], ids, weight, weight - np.log(-np.log(u)))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, log_weight double, key double")
 
