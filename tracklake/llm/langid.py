@@ -6,9 +6,10 @@ by the out-of-place distance: the sum over its own n-grams of how far each is fr
 profile, `TOP` if it is not there. The score is one less the distance's share of the largest possible.
 
 Profiles are fitted to a bounded sample: about `SAMPLE` labelled texts a language, chosen by a hash of
-doc_id. Defined cases: a text that is null or has no letter gives `und` with score 0; ties go to the
-language first in the alphabet; without any labelled text all are `und`; repeated rows give equal
-results; extra columns are ignored.
+doc_id, of the `LANGS` languages with most texts. Defined cases: a text that is null or has no letter gives `und`
+with score 0; n-grams of equal count rank by their hash; ties go to the language first in the alphabet; without any
+labelled text all are `und`; repeated rows give equal results; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tracklake.llm.common import U, mix, rows, slices, text_only
 
-TOP, SAMPLE = 300, 2000
+TOP, SAMPLE, LANGS = 300, 2000, 4096
 GRAM = (1 << 31) - 1
 _letters: list[np.ndarray] = []
 
@@ -80,14 +81,12 @@ def ranked(d: np.ndarray, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray,
 def fit(labelled: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """For each language (column lang) its profile: n-grams in order, and their ranks."""
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = labelled.groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("count"))
-    langs = {r.lang: r.s for r in sizes.select("lang", share.alias("s")).collect()}  # one row a language
-    if not langs:
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
+    shares = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n")).alias("share")).collect()  # a row a language, at most LANGS
+    if not shares:
         return []
-    wanted = F.lit(False)
-    for lang, s in langs.items():
-        wanted |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(s * (1 << 30)))
+    shares = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, share double"))
+    chosen = labelled.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def run(batches):
         schema = [("lang", pa.string()), ("h", pa.int64()), ("n", pa.int64())]
@@ -98,7 +97,7 @@ def fit(labelled: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
                 _, h, n = counted([text])
                 yield rows(schema, [one] * len(h), h, n)
 
-    counts = labelled.where(wanted).mapInArrow(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    counts = chosen.select("text", "lang").mapInArrow(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "h"))
     top = counts.withColumn("rank", place - 1).where(F.col("rank") < TOP).collect()  # TOP rows a language
     out = []
