@@ -6,33 +6,46 @@ vector with its code. The inner product with a query is estimated from the bits
 error bound says how far off it may be, and the vectors whose upper bound reaches the k-th best lower
 bound are reranked by exact inner products of the original vectors in double precision.
 
-Candidates are dealt in blocks, queries in blocks; each pair of blocks is one group, which keeps its
-best k; the best k over all groups follow by a window. No row is dropped before its bound is known.
-
-Defined cases: vectors that are null, zero, or hold null, infinite or NaN components, or whose length
-isn't that of the first valid vector, take no part; ties go to the smaller id; repeated rows of an id
-count once (any of them); extra columns are ignored; an empty table gives an empty result.
+Of equal vectors only the k + 1 smallest ids can be among a query's k nearest, so only these are searched. Queries are
+dealt in parts, codes in shards; a task streams a shard's codes past a part's queries and keeps the rows whose upper
+bound reaches the k-th best lower bound so far. Only codes and scalars are copied to the parts; the original vectors are
+fetched for the rows that are left, by a salted join. A query for which a shard leaves more than `DENSE` rows (near
+copies that the bounds can't tell apart) meets the shard's original vectors instead, in blocks, and takes its k best there.
+
+The work is one pass over all codes for each query, as the queries are a fixed share of the rows; what is shuffled are
+codes x parts, queries x shards and the rows left.
+
+Defined cases: vectors that are null, zero, or hold null, infinite or NaN components take no part, nor do those whose
+length isn't the most frequent one (of equally frequent lengths the largest); ties go to the smaller id; of several
+vectors under one id the smallest, component by component, counts; with fewer than k others all are given; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracklake.llm.common import blocks_for, cut
+from tracklake.llm.common import blocks_for, cut, looked_up, rows
 
-BASE_BLOCK, QUERY_BLOCK, BOUND = 4096, 512, 3.5
+PART, SHARD, LEAST_SHARD, CHUNK, DENSE, HELD, BOUND = 2048, 131_072, 4096, 1024, 512, 2_000_000, 3.5
 
-CODES = "vec_id long, vector array<float>, code binary, norm double, fit double"
+CODES = "vec_id long, code binary, norm double, fit double"
+FOUND = "query_id long, vec_id long, part int, shard int, low double, high double"
 
 
 def valid(table: DataFrame) -> DataFrame:
-    """vec_id and vector of the rows that take part."""
+    """vec_id and vector of the rows that take part, once an id."""
+    own = table.schema["embedding"].dataType.elementType.typeName()
     v = F.col("vector")
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector")).where(sound & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
+    every = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{'float' if own == 'float' else 'double'}>").alias("vector")).where(sound & F.col("vec_id").isNotNull())
+    common = every.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("times")).orderBy(F.desc("times"), F.desc("n")).first()
+    return every.where(F.size("vector") == (common.n if common else 0)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -40,73 +53,192 @@ def rotation(dims: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """A list column of equal lengths as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+
+
+def center(vectors: DataFrame, dims: int) -> np.ndarray:
+    """The mean vector: sums by task, then one row a dimension."""
+
+    def run(batches):
+        total = np.zeros(dims)
+        n = 0
+        for b in batches:
+            x = matrix(b.column("vector"), dims)
+            total += x.sum(axis=0)
+            n += len(x)
+        if n:
+            yield rows([("pos", pa.int32()), ("total", pa.float64()), ("n", pa.int64())], np.arange(dims), total, np.full(dims, n))
+
+    found = vectors.select("vector").mapInArrow(run, "pos int, total double, n long").groupBy("pos").agg((F.sum("total") / F.sum("n")).alias("mean")).collect()
+    return np.array([r["mean"] for r in sorted(found, key=lambda r: r.pos)])
+
+
 def encode(vectors: DataFrame, mean: np.ndarray, turn: np.ndarray) -> DataFrame:
+    schema = [("vec_id", pa.int64()), ("code", pa.binary()), ("norm", pa.float64()), ("fit", pa.float64())]
+
     def run(batches):
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            x = np.stack(b["vector"].to_numpy()).astype(np.float64) - mean
+            x = matrix(b.column("vector"), len(mean)) - mean
             norm = np.linalg.norm(x, axis=1)
             o = (x / np.where(norm, norm, 1)[:, None]) @ turn
             fit = np.abs(o).sum(axis=1) / np.sqrt(x.shape[1])
-            yield b.assign(code=[c.tobytes() for c in np.packbits(o > 0, axis=1)], norm=norm, fit=fit)
-
-    return vectors.mapInPandas(run, CODES)
-
-
-def best(query_id: np.ndarray, q: np.ndarray, base: pd.DataFrame, mean: np.ndarray, turn: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest of a block for each query of a block."""
-    dims = len(mean)
-    ids = base["vec_id"].to_numpy()
-    exact = np.stack(base["vector"].to_numpy()).astype(np.float64)
-    bits = np.unpackbits(np.frombuffer(b"".join(base["code"]), np.uint8).reshape(len(ids), -1), axis=1, count=dims)
-    norm, fit = base["norm"].to_numpy(), np.maximum(base["fit"].to_numpy(), 1e-9)
-    code = (bits * 2.0 - 1) / np.sqrt(dims)
-    out = []
-    for s in range(0, len(q), 64):
-        some = q[s : s + 64]
-        estimate = (some @ mean)[:, None] + (some @ turn @ code.T) * (norm / fit)
-        error = np.linalg.norm(some, axis=1)[:, None] * norm * np.sqrt(np.maximum(0, 1 - fit**2)) / fit * BOUND / np.sqrt(max(1, dims - 1)) + 1e-9
+            yield rows(schema, b.column("vec_id"), [c.tobytes() for c in np.packbits(o > 0, axis=1)], norm, fit)
+
+    return vectors.mapInArrow(run, CODES)
+
+
+class Search:
+    """The queries of a part while a shard's codes pass by."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, most: int):
+        self.ids, self.k, self.dims, self.most = ids, k, len(mean), most
+        self.offset, self.turned, self.size = (q @ mean)[:, None], q @ turn, np.linalg.norm(q, axis=1)[:, None]
+        self.best = np.full((len(ids), k), -np.inf)  # the k best lower bounds so far
+        self.dense = np.zeros(len(ids), bool)
+        self.kept: list[tuple] = []  # query, vec_id, low, high
+
+    def see(self, ids: np.ndarray, code: list[bytes], norm: np.ndarray, fit: np.ndarray) -> None:
+        bits = np.unpackbits(np.frombuffer(b"".join(code), np.uint8).reshape(len(ids), -1), axis=1, count=self.dims)
+        fit = np.maximum(fit, 1e-9)
+        estimate = self.offset + (self.turned @ ((bits * 2.0 - 1) / np.sqrt(self.dims)).T) * (norm / fit)
+        error = self.size * (norm * np.sqrt(np.maximum(0, 1 - fit**2)) / fit * BOUND / np.sqrt(max(1, self.dims - 1))) + 1e-9
         low = estimate - error
-        own = ids == query_id[s : s + 64, None]
-        low[own] = -np.inf
-        if low.shape[1] > k:
-            least = np.partition(low, -k, axis=1)[:, -k]
-        else:
-            least = np.full(len(some), -np.inf)
-        for i in range(len(some)):
-            pick = np.flatnonzero((estimate[i] + error[i] >= least[i]) & ~own[i])
-            score = np.einsum("ij,j->i", exact[pick], some[i])
-            order = np.lexsort((ids[pick], -score))[:k]
-            out.append((np.full(len(order), query_id[s + i]), ids[pick][order], score[order]))
-    q_id, v_id, score = (np.concatenate(c) for c in zip(*out, strict=True))
-    return pd.DataFrame({"query_id": q_id, "vec_id": v_id, "score": score})
-
-
-def nearest(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
+        low[self.ids[:, None] == ids] = -np.inf
+        self.best = np.partition(np.concatenate([self.best, low], axis=1), -self.k, axis=1)[:, -self.k :]
+        q, i = np.nonzero((estimate + error >= self.best.min(axis=1)[:, None]) & (low > -np.inf) & ~self.dense[:, None])
+        self.kept.append((q, ids[i], low[q, i], estimate[q, i] + error[q, i]))
+        if sum(len(x[0]) for x in self.kept) > HELD:
+            self.prune()
+
+    def prune(self) -> None:
+        """Leaves out what can no longer be among the best, and the queries that are left with too many rows."""
+        if not self.kept:
+            return
+        q, ids, low, high = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+        on = high >= self.best.min(axis=1)[q]
+        self.dense |= np.bincount(q[on], minlength=len(self.ids)) > self.most
+        on &= ~self.dense[q]
+        self.kept = [(q[on], ids[on], low[on], high[on])]
+
+
+def found(asked: DataFrame, codes: DataFrame, dims: int, mean: np.ndarray, turn: np.ndarray, k: int, most: int) -> DataFrame:
+    """The rows left of each query and shard; vec_id is null for a query that its shard leaves too many.
+
+    asked: part, shard, vec_id, vector; codes: part, shard, vec_id, code, norm, fit.
+    """
+    schema = [("query_id", pa.int64()), ("vec_id", pa.int64()), ("part", pa.int32()), ("shard", pa.int32()), ("low", pa.float64()), ("high", pa.float64())]
+
+    def run(batches):
+        at, ids, vectors, search = None, [], [], None
+
+        def done():
+            if search is None:
+                return
+            search.prune()
+            for q, vec, low, high in search.kept:
+                yield rows(schema, search.ids[q], vec, np.full(len(q), at[0]), np.full(len(q), at[1]), low, high)
+            d = search.ids[search.dense]
+            if len(d):
+                yield rows(schema, d, pa.nulls(len(d), pa.int64()), np.full(len(d), at[0]), np.full(len(d), at[1]), pa.nulls(len(d), pa.float64()), pa.nulls(len(d), pa.float64()))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "shard", "kind")])
+            edges = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(edges, edges[1:], strict=False):
+                part, shard, kind = group[:, s].tolist()
+                if (part, shard) != at:
+                    yield from done()
+                    at, ids, vectors, search = (part, shard), [], [], None
+                b = batch.slice(s, e - s)
+                if kind == 0:
+                    ids.append(b.column("vec_id").to_numpy())
+                    vectors.append(matrix(b.column("vector"), dims))
+                    continue
+                if not ids:
+                    continue
+                search = search or Search(np.concatenate(ids), np.concatenate(vectors), mean, turn, k, most)
+                for i in range(0, b.num_rows, CHUNK):
+                    c = b.slice(i, CHUNK)
+                    search.see(c.column("vec_id").to_numpy(), c.column("code").to_pylist(), c.column("norm").to_numpy(), c.column("fit").to_numpy())
+        yield from done()
+
+    none = F.lit(None)
+    left = asked.select("part", "shard", F.lit(0).alias("kind"), "vec_id", "vector", none.cast("binary").alias("code"), none.cast("double").alias("norm"), none.cast("double").alias("fit"))
+    right = codes.select("part", "shard", F.lit(1).alias("kind"), "vec_id", none.cast(asked.schema["vector"].dataType).alias("vector"), "code", "norm", "fit")
+    return left.union(right).repartition("part", "shard").sortWithinPartitions("part", "shard", "kind").mapInArrow(run, FOUND)
+
+
+def in_blocks(dense: DataFrame, vectors: DataFrame, dims: int, k: int) -> DataFrame:
+    """The k best of a shard's original vectors for each dense query: query_id, vec_id, score.
+
+    dense: part, shard, block, vec_id, vector; vectors: the same of the shard's rows, a block of about LEAST_SHARD.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        ids, base = right.column("vec_id").to_numpy(), matrix(right.column("vector").combine_chunks(), dims)
+        queries, q = left.column("vec_id").to_numpy(), matrix(left.column("vector").combine_chunks(), dims)
+        out = []
+        for s in range(0, len(q), 256):
+            score = q[s : s + 256] @ base.T
+            score[queries[s : s + 256, None] == ids] = -np.inf
+            for i, row in enumerate(score):
+                pick = np.flatnonzero(row >= (np.partition(row, -k)[-k] if len(row) > k else -np.inf) - 1e-9 * (1 + np.abs(row).max(where=row > -np.inf, initial=0)))
+                pick = pick[row[pick] > -np.inf]
+                exact = np.einsum("ij,j->i", base[pick], q[s + i])
+                order = np.lexsort((ids[pick], -exact))[:k]
+                out.append((np.full(len(order), queries[s + i]), ids[pick][order], exact[order]))
+        return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], schema=schema)
+
+    return dense.groupBy("part", "shard", "block").cogroup(vectors.groupBy("part", "shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
+
+
+@F.pandas_udf(T.DoubleType())
+def inner(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Inner products in double precision."""
+    if not len(x):
+        return pd.Series([], dtype=float)
+    return pd.Series(np.einsum("ij,ij->i", np.stack(x).astype(np.float64), np.stack(y).astype(np.float64)))
+
+
+def nearest(table: DataFrame, every: int = 20, k: int = 20, most: int = DENSE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`."""
-    vectors = valid(table)
-    first = vectors.select(F.size("vector").alias("n")).first()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if first is None:
-        return table.sparkSession.createDataFrame([], empty)
-    dims = first.n
-    vectors = cut(vectors.where(F.size("vector") == dims))
-    mean = vectors.select(F.posexplode("vector")).groupBy("pos").agg(F.avg(F.col("col").cast("double")).alias("m")).collect()  # one row a dimension
-    mean = np.array([r.m for r in sorted(mean, key=lambda r: r.pos)])
-    turn = rotation(dims)
-    codes = cut(encode(vectors, mean, turn))
+    spark = table.sparkSession
+    vectors = cut(valid(table))
+    some = vectors.limit(1).select(F.size("vector").alias("n")).first()
+    if some is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    mean, turn = center(vectors, some.n), rotation(some.n)
+    copies = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
+    base = cut(vectors.withColumn("copy", copies).where(F.col("copy") <= k + 1).drop("copy"))
+    codes = cut(encode(base, mean, turn))
     queries = vectors.where(F.col("vec_id") % every == 0)
-    n, m = blocks_for(codes, BASE_BLOCK), blocks_for(queries, QUERY_BLOCK)
-    block = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
-    base = codes.withColumn("block", block(n)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    asked = queries.withColumn("part", block(m)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return best(left["vec_id"].to_numpy(), np.stack(left["vector"].to_numpy()).astype(np.float64), right, mean, turn, k)
-
-    found = asked.groupBy("block", "part").cogroup(base.groupBy("block", "part")).applyInPandas(run, "query_id long, vec_id long, score double")
+    parts, n = blocks_for(queries, PART), codes.count()
+    shards = max(-(-n // SHARD), min(-(-n // LEAST_SHARD), -(-2 * spark.sparkContext.defaultParallelism // parts)))
+    dealt = lambda name, count: F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(count)).cast("int").alias(name)
+    over = lambda name, count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
+    asked = queries.select("vec_id", "vector", dealt("part", parts), over("shard", shards))
+    left = cut(found(asked, codes.select("*", dealt("shard", shards), over("part", parts)), some.n, mean, turn, k, most))
+
+    # the k-th best lower bound over all shards settles most rows; null where a query has fewer
+    bound = F.nth_value("low", k).over(Window.partitionBy("query_id").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rest = left.where("vec_id is not null").withColumn("bound", bound).where("bound is null or high >= bound").select("query_id", "vec_id")
+    rest = looked_up(rest, "vec_id", "query_id", base.withColumnRenamed("vector", "x"))
+    exact = looked_up(rest, "query_id", "vec_id", queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("y"))).select("query_id", "vec_id", inner("x", "y").alias("score"))
+
+    many = left.where("vec_id is null").select("query_id", "part", "shard")
+    if many.limit(1).count():
+        blocks = -(-min(n, SHARD) // LEAST_SHARD)
+        dense = looked_up(many.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "query_id", "block", queries.select(F.col("vec_id").alias("query_id"), "vector")).withColumnRenamed("query_id", "vec_id")
+        met = base.select("vec_id", "vector", dealt("shard", shards), dealt("block", blocks)).join(cut(many.select("part", "shard").distinct()), "shard")
+        exact = exact.union(in_blocks(dense, met, some.n, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
