@@ -2,8 +2,8 @@
 
 A level's members beat those of all later levels: without a factor always, with one by that factor
 (factors along a chain multiply, and a level without one makes the earlier ones unconditional).
-Members joined by `=` have no relation. Where the level just before has no factor, what a weaker
-format beats always or by more than 5 is beaten by the better one too.
+Where the level just before has no factor, what a weaker format beats always or by more than 5 is beaten by the
+better one too. Members joined by `=` have no relation, whatever else gave them one.
 """
 
 from __future__ import annotations
@@ -34,10 +34,11 @@ def parse(text: str) -> dict[tuple[str, str], bool | float]:
             own = float(factor) if factor.strip() else ALWAYS
             earlier = [(m, ALWAYS if own is ALWAYS or by is ALWAYS else by * own) for m, by in earlier]
             earlier.append((names, own))
-    for pair in equal:
-        found.pop(pair, None)
     for best, weak in closing:
         inherit(found, best, weak, {best, weak})
+        found[best, weak], found[weak, best] = True, False
+    for pair in equal:
+        found.pop(pair, None)
     return found
 
 
@@ -67,10 +68,22 @@ def relation(spark: SparkSession, text: str) -> DataFrame:
 
 
 def compare(rules: dict, challenger: tuple[str, float], base: tuple[str, float]) -> int:
-    """1 if the challenger's rate times its factor reaches the base's, 0 if not, 2 where both are good."""
-    by = rules.get((challenger[0], base[0]))
+    """1 if the challenger's rate times its factor is above the base's, 0 if below, 2 where both are good."""
+    by = rules.get((challenger[0].lower(), base[0].lower()))
     if by is None:
         return 2
     if isinstance(by, bool):
         return int(by)
-    return int(challenger[1] * by >= base[1])
+    return 2 if challenger[1] * by == base[1] else int(challenger[1] * by > base[1])
+
+
+def better_entry(rules: dict, challenger: tuple[str, float], base: tuple[str, float]) -> bool:
+    """Whether a track takes the place of another: by rate among equal formats, else by the rules, the base on a tie."""
+    if challenger[0] == base[0]:
+        return base[1] < challenger[1]
+    return compare(rules, challenger, base) == 1
+
+
+def better_encoding(base_rate: float, base_level: float, rate: float, level: float) -> bool:
+    """Whether an encoding by the same encoder is better: a twentieth of its rate more for each level above the other's."""
+    return base_rate < rate * (1 + 0.05 * (level - base_level))
