@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions.scalars import tempo
+from tracklake.operators import spread
 
 LOW, HIGH, COHERENT = 0.85, 0.95, 0.12
 
@@ -24,21 +25,23 @@ def bad_ranges(rows: DataFrame, group: str) -> DataFrame:
 
 def drift(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """Least-squares slope (0 where x doesn't vary), intercept, mean squared residual and tempo of each group."""
-    s = rows.groupBy(group).agg(*(e.alias(n) for n, e in (("n", F.count("*")), ("sx", F.sum(x)), ("sy", F.sum(y)), ("sxx", F.sum(F.col(x) * F.col(x))), ("sxy", F.sum(F.col(x) * F.col(y))))))
-    flat = F.abs(F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) < 1e-12
-    s = s.withColumn("slope", F.when(flat, 0.0).otherwise(F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))))
-    s = s.withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n"))
-    r = F.col(y) - (F.col("slope") * F.col(x) + F.col("intercept"))
-    left = rows.join(s, group).groupBy(group).agg(F.avg(r * r).alias("mse"))
-    return s.join(left, group).select(group, "slope", "intercept", "mse", tempo(F.col("slope"), F.col("mse") <= COHERENT).alias("tempo"))
+    both = F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull())
+    s = rows.groupBy(group).agg(both.alias("n"), F.regr_slope(y, x).alias("s"), F.regr_avgx(y, x).alias("x"), F.regr_avgy(y, x).alias("y"), F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.regr_syy(y, x).alias("syy"))
+    flat = F.col("n") * F.col("sxx") < 1e-12
+    s = s.withColumn("slope", F.when(flat, 0.0).otherwise(F.col("s"))).withColumn("intercept", F.col("y") - F.col("slope") * F.col("x"))
+    left = F.when(flat, F.col("syy")).otherwise(F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)))
+    s = s.withColumn("mse", left / F.col("n"))
+    return s.select(group, "slope", "intercept", "mse", tempo(F.col("slope"), F.col("mse") <= COHERENT).alias("tempo"))
 
 
-def banded_nearest(left: DataFrame, right: DataFrame, band: int) -> DataFrame:
+def banded_nearest(left: DataFrame, right: DataFrame, band: int, own: bool = True) -> DataFrame:
     """For each frame i of left the frame j of right within the band whose hash differs least, the lowest of equals.
 
-    Rows: clip, frame, hash. Each left frame meets only the frames of its band, joined by (clip, frame).
+    Rows: clip, frame, hash. Each left frame meets only the frames of its band, joined by (clip, frame). own: false
+    leaves the frame of the same number out, for a clip against itself.
     """
     l = left.select("clip", F.col("frame").alias("i"), F.col("hash").alias("x"), F.explode(F.sequence(F.col("frame") - band, F.col("frame") + band)).alias("j"))
+    l = l if own else l.where("i <> j")
     r = right.select("clip", F.col("frame").alias("j"), F.col("hash").alias("y"))
     d = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("long")
     return l.join(r, ["clip", "j"]).withColumn("d", d).groupBy("clip", "i").agg(F.min_by(F.struct("j", "d"), F.struct("d", "j")).alias("m")).select("clip", "i", "m.j", "m.d")
@@ -46,8 +49,7 @@ def banded_nearest(left: DataFrame, right: DataFrame, band: int) -> DataFrame:
 
 def trailing_sum(rows: DataFrame, width: int) -> DataFrame:
     """Adds the sum of d over the last `width` frames of the clip."""
-    w = Window.partitionBy("clip").orderBy("i").rowsBetween(-(width - 1), 0)
-    return rows.withColumn("total", F.sum("d").over(w))
+    return spread.trailing_sum(rows, "clip", "i", "d", width, "total")
 
 
 def widest_gap(rows: DataFrame, half: int) -> DataFrame:

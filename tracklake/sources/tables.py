@@ -13,17 +13,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: the session's checkpoint folder, else the context's.
+
+    Where neither is set, a temporary folder serves a local master; on a cluster that would not be shared, so it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tracklake-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again: survives lost executors, ends lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that `cut` has written so far in this process; results that still read them must be done with."""
+    paths, _written[:] = list(_written), []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        place = hadoop(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
