@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracklake.functions import scalars, signals
-from tracklake.operators import catalog, cuts, delays, routing, rules, selection, tracks
+from tracklake.operators import catalog, cuts, delays, merging, routing, rules, selection, spread, subtitles, tracks
 from tracklake.sources import metadata
 from tracklake.streaming.episodes import EpisodeState, watch
 
@@ -113,7 +113,7 @@ def test_stage_one_branches(spark, series, expected):
 
 @pytest.mark.parametrize(
     "series,strict,expected",
-    [([(0.5, 0)] * 3, False, ("accept", 0)), ([(0.95, 0), (0.95, 125), (0.95, 0)], False, ("accept", 0)), ([(0.95, 0), (0.95, 0), (0.95, 125)], False, ("accept", 0)), ([(0.8, 0), (0.8, 200)], False, ("accept", 0)), ([(0.5, 0), (0.5, 200)], False, ("incompatible", None)), ([(0.99, 0), (0.89, 100)], True, ("incompatible", None))],
+    [([(0.5, 0)] * 3, False, ("accept", 0)), ([(0.95, 0), (0.95, 125), (0.95, 0)], False, ("accept", 0)), ([(0.95, 0), (0.95, 0), (0.95, 125)], False, ("accept", 0)), ([(0.8, 0), (0.8, 125)], False, ("accept", 0)), ([(0.8, 0), (0.8, 200)], False, ("incompatible", None)), ([(0.8, 0), (0.8, 125)], True, ("incompatible", None)), ([(0.5, 0), (0.5, 200)], False, ("incompatible", None)), ([(0.99, 0), (0.89, 100)], True, ("incompatible", None))],
 )
 def test_stage_check_branches(spark, series, strict, expected):
     rows = spark.createDataFrame([(1, i, float(f), d) for i, (f, d) in enumerate(series)], "pair int, segment int, fidelity double, delay_ms long")
@@ -185,3 +185,209 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r.episode, r.nom) for r in state.read().collect()} == {(1, "big E01"), (2, "E02")}
     twin = routing.winners(routing.with_episode(routing.first_match(spark.createDataFrame(rows, "id long, nom string"), rs)).where("episode is not null"))
     assert {(r.episode, r.weight) for r in twin.collect()} == {(r.episode, r.weight) for r in state.read().collect()}
+
+
+def test_rules_of_equal_formats_and_chains():
+    assert {k: v for k, v in rules.parse("a=b,a>c>b").items() if v is not False} == {("a", "c"): True, ("c", "b"): True}
+    assert rules.parse("m>n,n*5>o,n*6>p").get(("m", "o")) is None and rules.parse("m>n,n*6>p")["m", "p"] is True
+    found = rules.parse("x>y,y>z,z>x")  # ends, and no pair is above each other
+    assert not any(v is True and found.get((b, a)) is True for (a, b), v in found.items())
+    assert rules.compare({("a", "b"): 2.0}, ("A", 5.0), ("b", 10.0)) == 2 and rules.compare({("a", "b"): 2.0}, ("a", 5.1), ("b", 10.0)) == 1
+    assert rules.better_encoding(100, 4.0, 95, 5.0) is False and rules.better_encoding(100, 4.0, 96, 5.0) is True
+
+
+def test_tree_delays_of_cycles(spark):
+    edges = spark.createDataFrame([(1, 2, 10), (2, 1, 5), (2, 3, 1), (7, 8, 4)], "winner long, loser long, delay long")
+    got = {r.node: (r.root, r.delay) for r in tracks.tree_delays(edges).collect()}
+    assert got == {1: (None, None), 2: (None, None), 3: (None, None), 7: (7, 0), 8: (7, 4)}
+    chain = spark.createDataFrame([(i, i + 1, 1) for i in range(50)], "winner long, loser long, delay long")
+    assert {r.node: r.delay for r in tracks.tree_delays(chain).collect()} == {i: i for i in range(51)}
+    assert tracks.tree_delays(edges.limit(0)).count() == 0
+
+
+def test_numbers_and_sums_of_large_groups(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [("hot" if i % 3 else f"g{i % 7}", k, i % 11) for i, k in enumerate(r.sample(range(100000), 3000))] + [("hot", None, 1)]
+    df = spark.createDataFrame(rows, "g string, k long, v long").repartition(4)
+    seen = {}
+    for g, k, v in sorted(rows, key=lambda x: (x[0], x[1] is not None, x[1] or 0)):
+        seen.setdefault(g, []).append((k, v))
+    got = {(x.g, x.k): x.n for x in spread.numbered(df, ["g"], "k", "n").collect()}
+    assert got == {(g, k): n for g in seen for n, (k, _) in enumerate(seen[g], 1)}
+    sums = {(x.g, x.k): x.t for x in spread.trailing_sum(df, "g", "k", "v", 4, "t", 10).collect()}
+    assert sums == {(g, k): sum(v for _, v in seen[g][max(0, n - 3) : n + 1]) for g in seen for n, (k, _) in enumerate(seen[g])}
+    table = spark.createDataFrame([("hot", 1), ("g0", 2)], "g string, w int")
+    assert spread.looked_up(df, "g", "k", table).count() == sum(g in ("hot", "g0") for g, *_ in rows)
+
+
+def test_drift_far_from_nought(spark):
+    rows = spark.createDataFrame([(1, 1e9 + i, 0.01 * i + 3) for i in range(50)], "g int, x double, y double")
+    r = cuts.drift(rows, "g", "x", "y").first()
+    assert r.slope == pytest.approx(0.01, rel=1e-6) and r.mse == pytest.approx(0, abs=1e-9) and r.tempo == pytest.approx(1 / 1.01, rel=1e-6)
+
+
+def test_rules_beyond_one_block(spark, monkeypatch):
+    monkeypatch.setattr(routing, "BLOCK", 2)
+    rs = spark.createDataFrame([(f"n{i}x", i, "a", i % 3) for i in range(7)] + [("n", 99, "z", 0), (None, 5, "q", 9)], "regex_pattern string, folder_id int, rename_pattern string, weight int")
+    names = spark.createDataFrame([(i, f"n{i}x n{i + 1}x") for i in range(8)] + [(50, None), (51, "other")], "id long, nom string")
+    got = {r.id: r.folder_id for r in routing.first_match(names, rs).collect()}
+    want = {}
+    for i in range(8):
+        fits = [(-(k % 3), f"n{k}x", k) for k in (i, i + 1) if k < 7] + [(0, "n", 99)]
+        want[i] = min(fits)[2]
+    assert got == want
+    assert {r.id for r in routing.conflicts(names, rs).collect()} == set(range(8))
+    assert routing.first_match(names, rs.limit(0)).count() == 0 and routing.conflicts(names, rs.limit(0)).count() == 0
+
+
+def test_frame_hash_bits(spark):
+    """Each bit against a plain two-dimensional cosine sum."""
+    r = np.random.default_rng(8)
+    frame = r.integers(0, 256, (32, 32)).astype(np.uint8)
+    k = np.arange(32)
+    low = np.array([[sum(frame[y, x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in k for x in k) * (np.sqrt(1 / 32) if u == 0 else np.sqrt(2 / 32)) * (np.sqrt(1 / 32) if v == 0 else np.sqrt(2 / 32)) for v in range(8)] for u in range(8)]).ravel()
+    bits = low > np.median(low[1:])
+    got = spark.createDataFrame([(frame.tobytes(),)], "g binary").select(signals.frame_hash("g").alias("h")).first().h
+    assert [(got >> i) & 1 for i in range(64)] == bits.astype(int).tolist()
+
+
+TRACK = st.tuples(st.sampled_from(["flac", "mp3", "ac3"]), st.sampled_from([2.0, 6.0]), st.sampled_from([44100, 48000]), st.sampled_from([100.0, 150.0, 400.0]))
+
+
+@given(st.lists(TRACK, min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_dominance_rule(some):
+    """The pair rule is never both ways, spares one of each pair, and drops nothing that nobody beats."""
+    rs = rules.parse("flac*1.1>ac3*2>mp3")
+    rows = [dict(zip(("format", "channels", "rate", "bitrate"), t, strict=True)) for t in some]
+    for a in rows:
+        for b in rows:
+            out, back = selection.beaten(a, b, rs), selection.beaten(b, a, rs)
+            if a != b and out:
+                assert back is None or {out, back} == {"a", "b"}
+    keep = [True] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            if keep[i] and keep[j] and (out := selection.beaten(rows[i], rows[j], rs)):
+                keep[i if out == "a" else j] = False
+    assert any(keep)
+    for i, on in enumerate(keep):
+        if not on:
+            assert any(j != i and selection.beaten(rows[min(i, j)], rows[max(i, j)], rs) == ("a" if i < j else "b") for j in range(len(rows)))
+
+
+def test_state_survives_a_restart_and_a_replay(spark, tmp_path):
+    schema = "folder_id int, episode long, nom string, weight int, id long, size long, signature string"
+    batches = [[(1, 1, "a", 3, 10, 5, "x"), (1, 1, "b", 3, 9, 5, "y"), (2, 5, "c", 1, 1, 1, None)], [(1, 1, "d", 4, 11, 7, "x"), (2, 5, "e", 1, 2, 1, "z")], [(1, 1, "f", 4, 3, 1, "y")]]
+    for epoch, rows in enumerate(batches):
+        state = EpisodeState(spark, f"{tmp_path}/state")  # a new object for each batch
+        state.merge(spark.createDataFrame(rows, schema), epoch)
+        state.merge(spark.createDataFrame(rows, schema), epoch)  # and each batch twice
+    state.merge(spark.createDataFrame(batches[1], schema), 1)  # an older one again
+    assert {(r.folder_id, r.episode, r.nom) for r in EpisodeState(spark, f"{tmp_path}/state").read().collect()} == {(1, 1, "f"), (2, 5, "c")}
+    assert {(r.folder_id, r.episode, r.nom, r.weight) for r in state.incompatible().collect()} == {(1, 1, "d", 4), (2, 5, "e", 1)}
+
+
+def test_rejects_by_class(spark):
+    rows = [(1, 1, "a", 3, 10, 1, "x"), (1, 1, "b", 5, 9, 2, "y"), (1, 1, "c", 3, 8, 3, "x"), (1, 1, "d", 3, 12, 3, "x"), (1, 1, "e", 5, 20, 2, "y"), (1, 2, "g", 1, 1, 1, None)]
+    got = {(r.episode, r.signature): (r.role, r.nom, r.weight, r.files) for r in routing.with_rejects(spark.createDataFrame(rows, "folder_id int, episode long, nom string, weight int, id long, size long, signature string")).collect()}
+    assert got == {(1, "y"): ("primary", "b", 5, 2), (1, "x"): ("incompatible", "d", 3, 3), (2, None): ("primary", "g", 1, 1)}
+
+
+def knocked_out(names, beats):
+    """The rounds of `merging.knockout` for one merge, by lists."""
+    standing, edges, r = list(names), [], 0
+    while any((a, b) in beats or (b, a) in beats for a in standing for b in standing if a < b):
+        gone, n = set(), len(standing)
+        for i, a in enumerate(standing):
+            j = (r - i) % n
+            if i < j:
+                b = standing[j]
+                won = beats.get((a, b)) if (a, b) in beats else (None if (b, a) not in beats else not beats[b, a])
+                if won is not None:
+                    edges.append((a, b) if won else (b, a))
+                    gone.add(b if won else a)
+        standing = [x for x in standing if x not in gone]
+        r += 1
+    under = {x: {x} for x in names}
+    for winner, loser in reversed(edges):
+        pass
+    for x in names:
+        up = x
+        while any(lose == up for _, lose in edges):
+            up = next(win for win, lose in edges if lose == up)
+        under[up].add(x)
+    best = min(standing, key=lambda x: (-len(under[x]), x))
+    return set(edges), {y for x in standing if x != best for y in under[x]}
+
+
+def test_knockout_against_lists(spark):
+    import random
+
+    r = random.Random(11)
+    files, pairs, want_edges, want_out = [], [], set(), set()
+    for g in range(12):
+        names = list(range(r.randrange(1, 7)))
+        beats = {(a, b): r.random() < 0.5 for a in names for b in names if a < b and r.random() < 0.6}
+        files += [(g, x, x) for x in names]
+        pairs += [(g, a, b, beats.get((a, b))) for a in names for b in names if a < b]
+        edges, out = knocked_out(names, beats)
+        want_edges |= {(g, *e) for e in edges}
+        want_out |= {(g, x) for x in out}
+    edges, out = merging.knockout(spark.createDataFrame(files, "grp int, name long, place int"), spark.createDataFrame(pairs, "grp int, a long, b long, a_wins boolean"))
+    assert {(x.grp, x.winner, x.loser) for x in edges.collect()} == want_edges
+    assert {tuple(x) for x in out.collect()} == want_out
+
+
+def test_sources_of_sound(spark):
+    import struct
+
+    def wav(code, bits, channels, data, extra=b""):
+        form = struct.pack("<HHIIHH", code, channels, 8000, 0, 0, bits)
+        body = b"WAVE" + extra + b"fmt " + struct.pack("<I", 16) + form + b"data" + struct.pack("<I", len(data)) + data
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+
+    two = np.array([[1, 9], [-2, 9], [3, 9]], "<i2").tobytes()
+    rows = [(wav(1, 16, 2, two, b"LIST\x03\0\0\0abc\0"),), (wav(3, 32, 1, np.array([0.5, -1], "<f4").tobytes() + b"x"),), (b"nonsense",), (None,), (wav(1, 24, 1, b"abc"),)]
+    got = spark.createDataFrame(rows, "raw binary").select(metadata.wav("raw").alias("w")).select("w.*").collect()
+    assert [(r.rate, r.samples) for r in got] == [(8000, [1.0, -2.0, 3.0]), (8000, [0.5, -1.0]), (None, None), (None, None), (None, None)]
+
+
+@pytest.mark.parametrize("n,m,lag", [(50, 9, 17), (64, 17, 40), (33, 5, 0), (40, 16, 24), (16, 3, 13), (35, 17, 18)])
+def test_lag_by_blocks(spark, n, m, lag):
+    x = np.random.default_rng(n + m).standard_normal(n)
+    y = x[lag : lag + m] if lag + m <= n else x[lag:]
+    blocks = spark.createDataFrame([("f", b, x[b * 16 : b * 16 + 16].tolist()) for b in range(-(-n // 16))], "file string, block long, samples array<double>")
+    got = signals.lag_by_blocks(blocks, spark.createDataFrame([("f", y.tolist())], "file string, y array<double>"), 16).first()
+    full = np.round(np.abs(np.correlate(np.concatenate([np.zeros(len(y) - 1), x, np.zeros(len(y) - 1)]), y, "valid")), 9)
+    assert (got.lag, got.corr) == (int(full.argmax()) - (len(y) - 1), pytest.approx(full.max()))
+
+
+def test_budget_by_stages(spark):
+    """Equal hashes first, then the stages until the budget holds; a stage that starts is finished."""
+    rows = [
+        (1, "en", 1, "Forced", False, "plain", "", True), (1, "en", 2, "forced", False, "styled", "", True), (1, "xx", 3, "t", False, "plain", "a", True), (1, "xx", 4, "t", False, "styled", "b", True),
+        (1, "xx", 5, "t", False, "styled", "c", True), (1, "en", 6, "t", False, "plain", "d", True), (1, "en", 7, "t", False, "plain", "d", True), (1, "en", 8, "x (sdh)", False, "plain", "e", True), (1, "fr", 9, None, True, "picture", "", True)]
+    df = spark.createDataFrame(rows, "grp int, language string, ord long, title string, hearing boolean, class string, md5 string, keep boolean")
+    none = spark.createDataFrame([], "language string, group int, title string")
+
+    def left(most):
+        return {r.ord for r in subtitles.pruned(df, F.lit(most), none, ["en"], ["fr"]).where("keep").collect()}
+
+    assert left(80) == {1, 2, 3, 4, 5, 6, 8, 9}
+    assert left(7) == {2, 3, 4, 5, 6, 8, 9}  # the forced plain one goes, as there is a styled one
+    assert left(6) == {2, 4, 5, 6, 8, 9}  # then the plain one of the language not listed
+    assert left(5) == {2, 4, 6, 8, 9}  # then all but one styled one there
+    assert left(4) == {2, 6, 8, 9}  # then that language's other tracks, one by one
+    assert left(1) == {2, 6, 8, 9}  # nothing else may go
+
+
+def test_tables_are_cleared(spark):
+    from tracklake.sources import tables
+
+    df = tables.cut(spark.range(3))
+    assert df.count() == 3 and tables.clear(spark) >= 1 and tables.clear(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.*exist|no such"):
+        df.count()

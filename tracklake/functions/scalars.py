@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = "{<episode>}"
 
 
+def java_pattern(text: str) -> str:
+    """A pattern with Python's named groups in the form that Spark reads."""
+    return re.sub(r"\(\?P<", "(?<", text)
+
+
 def episode_text(name: Column, pattern: Column) -> Column:
-    """What the first group of the pattern matches, null without a match."""
-    return F.nullif(F.call_function("regexp_extract", name, pattern, F.lit(1)), F.lit(""))
+    """What the group named episode of the pattern matches, else its first group; null without a match or a group."""
+    bare = F.regexp_replace(F.regexp_replace(pattern, r"\\.", ""), r"\[[^\]]*\]", "")  # without escapes and classes
+    opening = r"\((?!\?)|\(\?P?<(?![=!])"
+    before = F.regexp_extract(bare, r"^(.*?)\(\?P?<episode>", 1)
+    named = F.contains(bare, F.lit("?<episode>")) | F.contains(bare, F.lit("?P<episode>"))
+    group = F.when(named, F.regexp_count(before, F.lit(opening)) + 1).otherwise(F.lit(1))
+    found = F.call_function("regexp_extract", name, F.regexp_replace(pattern, r"\(\?P<", "(?<"), group)
+    return F.when(F.regexp_count(bare, F.lit(opening)) > 0, F.nullif(found, F.lit("")))
 
 
 def valid_episode(text: Column) -> Column:
@@ -34,6 +47,25 @@ def seconds_of(text: Column) -> Column:
     return part[0].cast("double") * 3600 + part[1].cast("double") * 60 + part[2].cast("double")
 
 
+def base_name(path: Column) -> Column:
+    """What stands after the last slash."""
+    return F.substring_index(path, "/", -1)
+
+
+def stem(path: Column) -> Column:
+    """The base name without its last extension; a name that only starts with a dot has none."""
+    return F.regexp_replace(base_name(path), r"(?<=[^.])\.[^.]*$", "")
+
+
+def joined_path(*parts: Column) -> Column:
+    return F.concat_ws("/", *parts)
+
+
+def quality_window(length: Column) -> Column:
+    """Seconds of a segment that picture quality is compared over: a quarter, and one more."""
+    return (length * 25 / 100).cast("long") + 1
+
+
 def grid_begin(duration: Column) -> Column:
     """Where the first of the compared segments begins; null for five seconds and less."""
     return F.when(duration > 540, 120).when(duration > 60, 30).when(duration > 5, 0).cast("long")
@@ -77,9 +109,12 @@ def first_word(text: Column) -> Column:
     return F.regexp_extract(text, r"^\s*(\S+)", 1)
 
 
-def normal_language(code: Column, known: Column) -> Column:
-    """The known two-letter code, else what stands before a dash, else und."""
-    return F.coalesce(known, F.nullif(F.split(code, "-")[0], F.lit("")), F.lit("und"))
+def normal_language(code: Column, known: Column, macro: Column | None = None) -> Column:
+    """The known two-letter code, else the macrolanguage, else what stands before a dash, else und.
+
+    known and macro come from lookup tables of the caller, joined by the code.
+    """
+    return F.coalesce(known, *([] if macro is None else [macro]), F.nullif(F.split(code, "-")[0], F.lit("")), F.lit("und"))
 
 
 def clean_title(title: Column, marker: str) -> Column:

@@ -11,6 +11,11 @@ def like(table: DataFrame, column: str, part: str) -> DataFrame:
     return table.where(F.col(column).like(f"%{part}%"))
 
 
+def listing(table: DataFrame, by: str) -> DataFrame:
+    """All rows in the order of a column."""
+    return table.orderBy(F.asc(by))
+
+
 def lookup(table: DataFrame, by: str, **equal) -> DataFrame:
     """The first row by `by` with the given values."""
     for column, value in equal.items():

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklake.functions.scalars import grid_begin, grid_length
+from tracklake.operators.tracks import tree_delays
+from tracklake.sources.tables import cut
 
 PROTECTED_MS, PAIR_MEAN = 128, 0.90
 
@@ -34,6 +37,58 @@ def cliques(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("grp", F.explode(made).alias("_c")).select("grp", F.explode("_c").alias("member"), F.col("_c")[0].alias("clique"))
 
 
+def star(files: DataFrame, compared: DataFrame) -> DataFrame:
+    """A forced winner against all others of its merge: grp, winner, loser, compatible.
+
+    files: grp, name, forced; compared: grp, a, b, fits (whether the comparison of the forced a with b gave a delay).
+    """
+    forced = files.where("forced").groupBy("grp").agg(F.max("name").alias("winner"))
+    edges = files.join(forced, "grp").where("name <> winner").select("grp", "winner", F.col("name").alias("loser"))
+    fits = compared.where("fits").select("grp", F.col("a").alias("winner"), F.col("b").alias("loser"), F.lit(True).alias("compatible")).distinct()
+    return edges.join(fits, ["grp", "winner", "loser"], "left").withColumn("compatible", F.coalesce("compatible", F.lit(False)))
+
+
+def knockout(files: DataFrame, compared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rounds of pairwise comparisons: edges (grp, winner, loser, round) and rejects (grp, name).
+
+    files: grp, name, place (from 0, a fixed order instead of a shuffle). compared: grp, a, b, a_wins for a < b (null
+    where the two aren't compatible). In round r the files at places i and (r - i) modulo their number meet, so that
+    all pairs meet in turn; a loser leaves with what it has won, two that don't fit both stay, and no pair meets twice.
+    A merge ends when one file stands or no two standing ones fit; then the one with most files under it stays (ties
+    to the smaller name), and the others are rejected with theirs. All merges go through a round at once.
+    """
+    both = compared.select("grp", "a", "b", "a_wins").unionByName(compared.select("grp", F.col("b").alias("a"), F.col("a").alias("b"), (~F.col("a_wins")).alias("a_wins")))
+    both = cut(both.where("a_wins is not null"))
+    order = lambda df, by: df.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(by)) - 1)
+    standing, done, edges = cut(order(files.select("grp", "name", "place"), "place")), None, None
+    round_ = 0
+    while True:
+        n = standing.groupBy("grp").agg(F.count("*").alias("n"))
+        fits = both.join(standing.select("grp", F.col("name").alias("a")), ["grp", "a"], "left_semi").join(standing.select("grp", F.col("name").alias("b")), ["grp", "b"], "left_semi")
+        going = n.join(fits.select("grp").distinct(), "grp", "left_semi")
+        ended = standing.join(going, "grp", "left_anti").select("grp", "name")
+        done = ended if done is None else done.unionByName(ended)
+        now = standing.join(going, "grp").withColumn("other", F.pmod(F.lit(round_) - F.col("place"), F.col("n")))
+        if not now.limit(1).count():
+            break
+        met = now.where("place < other").join(now.select("grp", F.col("place").alias("other"), F.col("name").alias("b")), ["grp", "other"])
+        met = met.select("grp", F.col("name").alias("a"), "b").join(both, ["grp", "a", "b"])
+        new = cut(met.select("grp", F.when(F.col("a_wins"), F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(F.col("a_wins"), F.col("b")).otherwise(F.col("a")).alias("loser"), F.lit(round_).alias("round")))
+        edges = new if edges is None else edges.unionByName(new)
+        standing = cut(order(now.select("grp", "name", "place").join(new.select("grp", F.col("loser").alias("name")), ["grp", "name"], "left_anti"), "place"))
+        round_ += 1
+    edges = files.sparkSession.createDataFrame([], T.StructType([files.schema["grp"], T.StructField("winner", files.schema["name"].dataType), T.StructField("loser", files.schema["name"].dataType), T.StructField("round", T.IntegerType())])) if edges is None else edges
+    key = lambda name: F.struct("grp", F.col(name).alias("name"))
+    ways = tree_delays(edges.select(key("winner").alias("winner"), key("loser").alias("loser"), F.lit(0).alias("delay")))
+    tops = done.select("grp", "name").withColumn("_key", F.struct("grp", "name"))
+    size = ways.groupBy("root").agg(F.count("*").alias("_n"))
+    tops = tops.join(size, F.col("_key") == F.col("root"), "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    best = tops.groupBy("grp").agg(F.min_by("name", F.struct(-F.col("_n"), F.col("name"))).alias("_best"))
+    out = tops.join(best, "grp").where("name <> _best").select("grp", "name", "_key")
+    under = ways.join(out.select("_key"), F.col("root") == F.col("_key"), "left_semi").select("node.grp", "node.name")
+    return edges, under.unionByName(out.select("grp", "name")).distinct()
+
+
 def tournament(files: DataFrame) -> DataFrame:
     """The winner of each merge and the others by rank: best score first, ties by name (a fixed order, not a shuffle).
 
@@ -80,3 +135,34 @@ def plan(tracks: DataFrame, delays: DataFrame) -> DataFrame:
     """Ordered rows of what to take from which file at which delay. tracks: grp, file, key, ord, keep; delays: grp, file, delay_ms."""
     kept = tracks.where("keep").join(delays, ["grp", "file"], "left").withColumn("delay_ms", F.coalesce("delay_ms", F.lit(0)))
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("key", "ord")).cast("long"))
+
+
+def commands(tracks: DataFrame, delays: DataFrame) -> DataFrame:
+    """The plan with what is left out: action take (with place, delay and whether it is the default of its kind) or remove.
+
+    tracks: grp, file, kind, key, ord, keep. The first track taken of a kind is its default; no subtitle is.
+    """
+    taken = plan(tracks, delays)
+    first = F.row_number().over(Window.partitionBy("grp", "kind").orderBy("place")) == 1
+    taken = taken.withColumns({"action": F.lit("take"), "is_default": first & (F.col("kind") != "subtitle")})
+    gone = tracks.where(~F.coalesce("keep", F.lit(False))).withColumns({"delay_ms": F.lit(None).cast("int"), "place": F.lit(None).cast("long"), "action": F.lit("remove"), "is_default": F.lit(False)})
+    return taken.unionByName(gone)
+
+
+def sync_plan(tracks: DataFrame, compared: DataFrame, delays: DataFrame, original: str) -> tuple[DataFrame, DataFrame]:
+    """A whole merge: files and tracks to an ordered plan at delays from the root winner, and the files rejected.
+
+    tracks: grp, file, language, kind, key, ord, keep. The language to compare by is that of `merge_language`; files
+    without a track of it are rejected. compared and the knockout give winners and losers; delays (grp, winner, loser,
+    delay_ms) add up down the tree.
+    """
+    language = merge_language(tracks.select("grp", "file", "language"), original)
+    able = tracks.join(language.select("grp", "language"), ["grp", "language"], "left_semi").select("grp", "file").distinct()
+    unable = tracks.select("grp", "file").distinct().join(able, ["grp", "file"], "left_anti")
+    files = able.select("grp", F.col("file").alias("name"), F.row_number().over(Window.partitionBy("grp").orderBy("file")).alias("place"))
+    edges, out = knockout(files, compared)
+    rejected = unable.select("grp", F.col("file").alias("name")).unionByName(out)
+    way = edges.join(delays, ["grp", "winner", "loser"]).select(F.struct("grp", F.col("winner").alias("name")).alias("winner"), F.struct("grp", F.col("loser").alias("name")).alias("loser"), F.col("delay_ms").alias("delay"))
+    at = tree_delays(way).select("node.grp", F.col("node.name").alias("file"), F.col("delay").cast("int").alias("delay_ms"))
+    kept = tracks.join(rejected.select("grp", F.col("name").alias("file")), ["grp", "file"], "left_anti")
+    return commands(kept, at), rejected

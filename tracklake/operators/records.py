@@ -41,6 +41,11 @@ def forced_winner(files: DataFrame, part: str, order: str) -> DataFrame:
     return files.where(F.contains("name", F.lit(part))).orderBy(F.desc(order)).limit(1)
 
 
+def forced_winner_named(files: DataFrame, name: str, order: str) -> DataFrame:
+    """The last file whose name or path is the given one."""
+    return files.where((F.col("name") == name) | (F.col("path") == name)).orderBy(F.desc(order)).limit(1)
+
+
 def log_lines(logs: DataFrame, text: str) -> DataFrame:
     """Lines with one of the words, except that no attachment was found; tolerable: only uid warnings."""
     keep = [c for c in logs.columns if c != text]
@@ -63,6 +68,17 @@ def bitrate(stream: Column, own: Column, nominal: Column) -> Column:
     return F.coalesce(stream.try_cast("long"), own.try_cast("long"), nominal.try_cast("long"))
 
 
+def needed_bitrate(stream: Column, own: Column, nominal: Column) -> Column:
+    """The same, but an error where none of the three is a number."""
+    found = bitrate(stream, own, nominal)
+    return F.when(found.isNull(), F.raise_error(F.lit("no bit rate")).cast("long")).otherwise(found)
+
+
+def comparable(fingerprint: Column) -> Column:
+    """Whether a track can be compared by its fingerprint at all."""
+    return F.coalesce(F.size(fingerprint) > 0, F.lit(False))
+
+
 def duration(frames: Column, rate: Column, seconds: Column) -> Column:
     return F.coalesce(seconds.try_cast("double"), F.try_divide(frames.try_cast("double"), rate.try_cast("double")))
 

@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from tracklake.functions.scalars import episode_text, renamed, valid_episode
+from tracklake.functions.scalars import episode_text, java_pattern, renamed, valid_episode
+from tracklake.operators.spread import numbered
 
-RULE_LIMIT = 10_000  # rules are broadcast up to this many; beyond it they are joined without the hint
+BLOCK = 200  # rules tried in one pass over the names
 
 
-def _small(rules: DataFrame) -> DataFrame:
-    return F.broadcast(rules) if rules.limit(RULE_LIMIT + 1).count() <= RULE_LIMIT else rules
+def blocks(rules: DataFrame, *order: Column) -> Iterator[list[Row]]:
+    """The rules with a pattern in order, BLOCK of them at a time; only one block is held at once."""
+    ordered, at = rules.where("regex_pattern is not null").orderBy(*order), 0
+    while some := ordered.offset(at).limit(BLOCK).collect():
+        yield some
+        if len(some) < BLOCK:
+            return
+        at += BLOCK
 
 
-def first_match(names: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame:
+def first_match(names: DataFrame, rules: DataFrame, by_weight: bool = True) -> DataFrame:
     """Each name with the heaviest rule whose pattern it matches (ties by pattern); names without one drop out.
 
-    names: key, nom. rules: regex_pattern, folder_id, rename_pattern, weight.
+    names: nom and others. rules: regex_pattern, folder_id, rename_pattern, weight; by_weight: false takes the rules in
+    the order of their patterns alone. The patterns of a block are literals of one projection, so each is compiled once
+    and no name is shuffled; names that a block leaves go on to the next one.
     """
-    joined = names.join(_small(rules), F.expr("nom rlike regex_pattern"))
-    best = joined.groupBy(key).agg(F.min_by(F.struct(*(joined[c] for c in rules.columns)), F.struct(-joined["weight"], joined["regex_pattern"])).alias("rule"))
-    return names.join(best, key).select(*names.columns, "rule.*")
+    order = [F.desc("weight"), F.col("regex_pattern")] if by_weight else [F.col("regex_pattern")]
+    out, left = None, names
+    for some in blocks(rules, *order):
+        first = F.coalesce(*(F.when(F.col("nom").rlike(java_pattern(r.regex_pattern)), F.lit(i)) for i, r in enumerate(some, 1)))
+        table = F.array(*(F.struct(*(F.lit(r[c]).cast(t).alias(c) for c, t in rules.dtypes)) for r in some))
+        seen = left.withColumn("_first", first)
+        found = seen.where("_first is not null").withColumn("_rule", F.element_at(table, F.col("_first"))).select(*names.columns, "_rule.*")
+        out, left = found if out is None else out.unionByName(found), seen.where("_first is null").drop("_first")
+    return names.crossJoin(rules).limit(0) if out is None else out
 
 
 def with_episode(routed: DataFrame) -> DataFrame:
@@ -38,7 +55,11 @@ def with_target(episodes: DataFrame, folders: DataFrame, step: int = 0) -> DataF
 
 def conflicts(samples: DataFrame, rules: DataFrame) -> DataFrame:
     """Samples (id, nom) that some stored rule matches already."""
-    return samples.join(_small(rules), F.expr("nom rlike regex_pattern"), "left_semi")
+    out, left = samples.limit(0), samples
+    for some in blocks(rules, F.col("regex_pattern")):
+        hit = F.coalesce(*(F.when(F.col("nom").rlike(java_pattern(r.regex_pattern)), True) for r in some), F.lit(False))
+        out, left = out.unionByName(left.where(hit)), left.where(~hit)
+    return out
 
 
 def by_weight(episodes: DataFrame) -> DataFrame:
@@ -51,7 +72,26 @@ def winners(arrivals: DataFrame, order: str = "id") -> DataFrame:
     return arrivals.groupBy("folder_id", "episode").agg(F.min_by(F.struct("nom", "weight", order), F.struct(-F.col("weight"), F.col(order))).alias("w")).select("folder_id", "episode", "w.*")
 
 
+def with_rejects(arrivals: DataFrame, order: str = "id") -> DataFrame:
+    """What becomes of all files of each (folder, episode): one row for each class of files that merge with each other.
+
+    arrivals: folder_id, episode, nom, weight, size, id, signature; files merge if their signatures are equal (null with
+    null). The class of the heaviest file (ties to the earlier) is primary and named after that file; files of other
+    classes can't be merged into it, so each such class is an incompatible one, named after its heaviest file, of equals
+    the largest, of those the latest. files: how many the class takes in.
+    """
+    keys = ["folder_id", "episode"]
+    top = F.struct("weight", -F.col(order), "nom", "size")
+    held = F.struct("weight", "size", F.col(order).alias("_o"), "nom")
+    c = arrivals.groupBy(*keys, "signature").agg(F.max(top).alias("_first"), F.max(held).alias("_held"), F.count("*").alias("files"))
+    best = c.groupBy(*keys).agg(F.max("_first").alias("_best"))
+    c = c.join(best, keys).withColumn("primary", F.col("_first") == F.col("_best"))
+    name = F.when(F.col("primary"), F.col("_first.nom")).otherwise(F.col("_held.nom"))
+    weight = F.when(F.col("primary"), F.col("_first.weight")).otherwise(F.col("_held.weight"))
+    return c.select(*keys, "signature", F.when(F.col("primary"), "primary").otherwise("incompatible").alias("role"), name.alias("nom"), weight.alias("weight"), "files")
+
+
 def collision_names(files: DataFrame, base: str, order: str) -> DataFrame:
     """Equal base names told apart: the first keeps its name, later ones get _1, _2 by the order."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(order)) - 1
-    return files.withColumn("name", F.when(n == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), n.cast("string"))))
+    n = F.col("_n") - 1
+    return numbered(files, [base], order, "_n").withColumn("name", F.when(n == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), n.cast("string")))).drop("_n")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.operators.rules import parse
+from tracklake.operators.rules import better_entry, parse
 
 
 def beaten(a: dict, b: dict, rules: dict) -> str | None:
@@ -32,11 +32,9 @@ def dominant(tracks: DataFrame, group: str, order: str, rule_text: str) -> DataF
     A group is one file's tracks of a language, a handful of rows; a task goes through its groups in one sorted pass.
     """
     rules = parse(rule_text)
-    columns = tracks.columns
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, keep = pdf[["format", "channels", "rate", "bitrate"]].to_dict("records"), [True] * len(pdf)
-        code = pd.factorize(pdf[group], use_na_sentinel=False)[0].tolist()
+    def decide(rows: list[dict], code: list[int]) -> list[bool]:
+        keep = [True] * len(rows)
         for i in range(len(rows)):
             j = i + 1
             while keep[i] and j < len(rows) and code[j] == code[i]:
@@ -45,7 +43,31 @@ def dominant(tracks: DataFrame, group: str, order: str, rule_text: str) -> DataF
                     if out:
                         keep[i if out == "a" else j] = False
                 j += 1
-        return pdf.assign(keep=keep)[[*columns, "keep"]]
+        return keep
+
+    return group_by_group(tracks, group, order, ["format", "channels", "rate", "bitrate"], decide, "keep")
+
+
+def worst(tracks: DataFrame, group: str, order: str, rule_text: str) -> DataFrame:
+    """Adds is_worst to tracks (group, order, format, bitrate): the one that no other in turn is worse than.
+
+    The first track is held; one that the held track is better than by the rules takes its place.
+    """
+    rules = parse(rule_text)
+
+    def decide(rows: list[dict], code: list[int]) -> list[bool]:
+        held = {}
+        for i, c in enumerate(code):
+            if c not in held or not better_entry(rules, (rows[i]["format"], rows[i]["bitrate"]), (rows[held[c]]["format"], rows[held[c]]["bitrate"])):
+                held[c] = i
+        return [held[c] == i for i, c in enumerate(code)]
+
+    return group_by_group(tracks, group, order, ["format", "bitrate"], decide, "is_worst")
+
+
+def group_by_group(tracks: DataFrame, group: str, order: str, read: list[str], decide, name: str) -> DataFrame:
+    """Adds a boolean column by a function of rows and group codes; whole groups in order, one sorted pass a task."""
+    columns = tracks.columns
 
     def run(batches):
         held = None
@@ -55,11 +77,15 @@ def dominant(tracks: DataFrame, group: str, order: str, rule_text: str) -> DataF
             ready = code != code[-1] if len(code) else code == 0
             held = pdf[~ready]  # the last group may go on in the next batch
             if ready.any():
-                yield decide(pdf[ready])
+                yield flagged(pdf[ready])
         if held is not None and len(held):
-            yield decide(held)
+            yield flagged(held)
+
+    def flagged(pdf: pd.DataFrame) -> pd.DataFrame:
+        code = pd.factorize(pdf[group], use_na_sentinel=False)[0].tolist()
+        return pdf.assign(**{name: decide(pdf[read].to_dict("records"), code)})[[*columns, name]]
 
-    schema = tracks.withColumn("keep", F.lit(True)).schema
+    schema = tracks.withColumn(name, F.lit(True)).schema
     return tracks.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, schema)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklake.operators.spread import looked_up
 from tracklake.sources.tables import cut
 
 
@@ -35,6 +36,20 @@ def common(members: DataFrame, group: str, item: str) -> DataFrame:
     return members.groupBy(item).agg(F.countDistinct(group).alias("groups")).join(F.broadcast(total), F.col("groups") == F.col("n")).drop("n")  # one row
 
 
+def accumulated(*sets: DataFrame) -> DataFrame:
+    """What any of several sets of the same columns holds, once."""
+    out = sets[0]
+    for more in sets[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def unique_tracks(rows: DataFrame, group: str, hash_: str) -> DataFrame:
+    """How many tracks of a group stay when equal hashes count once and empty ones each."""
+    h = F.nullif(F.col(hash_), F.lit(""))
+    return rows.groupBy(group).agg((F.countDistinct(h) + F.count_if(h.isNull())).alias("tracks"))
+
+
 def most_common(members: DataFrame, group: str, item: str) -> DataFrame:
     """The item of most groups, ties by name."""
     return members.groupBy(item).agg(F.countDistinct(group).alias("groups")).orderBy(F.desc("groups"), item).limit(1)
@@ -92,17 +107,23 @@ def output_order(tracks: DataFrame, group: str, key: Column, order: str) -> Data
     return tracks.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(key, order)).cast("long"))
 
 
-def tree_delays(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Sums of delays along the way from the roots: edges (winner, loser, delay) to node, root, delay.
+def tree_delays(edges: DataFrame) -> DataFrame:
+    """Sums of delays along the way from the roots: edges (winner, loser, delay), one a loser, to node, root, delay.
 
-    Each round doubles the length of the ways known, so a chain of n needs log2(n) rounds.
+    Each round doubles the length of the ways known, so log2 of the number of edges bounds the rounds. What is not at a
+    root then stands in or below a cycle; its root and delay are null.
     """
-    up = edges.select(F.col("loser").alias("node"), F.col("winner").alias("root"), F.col("delay").cast("long").alias("delay"))
-    for _ in range(rounds):
-        more = up.select(F.col("node").alias("root"), F.col("root").alias("_up"), F.col("delay").alias("_d"))
-        joined = up.join(more, "root", "left")
-        if not joined.where("_up is not null").limit(1).count():
+    edges = cut(edges.select("winner", "loser", F.col("delay").cast("long").alias("delay")))
+    roots = cut(edges.select(F.col("winner").alias("node")).distinct().join(edges.select(F.col("loser").alias("node")).distinct(), "node", "left_anti"))
+    ends = roots.select(F.col("node").alias("root"), F.lit(True).alias("_end"))
+    first = edges.select(F.col("loser").alias("node"), F.col("winner").alias("root"), "delay")
+    up = cut(first.join(ends, "root", "left").select("node", "root", "delay", F.coalesce("_end", F.lit(False)).alias("_end")))
+    for _ in range(edges.count().bit_length() + 1):
+        open_ = up.where("not _end")
+        if not open_.limit(1).count():
             break
-        up = cut(joined.select("node", F.coalesce("_up", "root").alias("root"), (F.col("delay") + F.coalesce("_d", F.lit(0))).alias("delay")))
-    roots = edges.select(F.col("winner").alias("node")).distinct().join(edges.select(F.col("loser").alias("node")), "node", "left_anti")
-    return up.union(roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long")))
+        way = up.select(F.col("node").alias("root"), F.col("root").alias("_up"), F.col("delay").alias("_d"), F.col("_end").alias("_e"))
+        further = looked_up(open_.drop("_end"), "root", "node", way)
+        up = cut(up.where("_end").unionByName(further.select("node", F.col("_up").alias("root"), (F.col("delay") + F.col("_d")).alias("delay"), F.col("_e").alias("_end"))))
+    done = up.select("node", F.when(F.col("_end"), F.col("root")).alias("root"), F.when(F.col("_end"), F.col("delay")).alias("delay"))
+    return done.union(roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long")))

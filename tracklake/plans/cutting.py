@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracklake.operators import refine, rewriting, routing
+from tracklake.operators.spread import numbered
 from tracklake.plans.queries import ROUTED_SQL, rule_table
 from tracklake.plans.registry import query
 from tracklake.sources.tables import shared_dir, table
@@ -35,15 +35,15 @@ def cut_refinement(spark, d):
     return refine.refined(ranges(spark, d)).select("l_orderkey", "l_linenumber", "method", F.round("start_s", 6).alias("start_s"), F.round("end_at_s", 6).alias("end_s"))
 
 
-@query(f"""WITH {RANGES_SQL}, seg AS (SELECT l_orderkey, avg(0.75 + (l_partkey % 25) / 100.0::DOUBLE) AS mean, bool_and(l_suppkey % 3 > 0) AS torn FROM lineitem WHERE l_orderkey % 7 > 0 GROUP BY l_orderkey),
-cut AS (SELECT l_orderkey, count(*) AS n, count_if(l_quantity > 49) AS open, var_pop(lag) AS spread FROM t JOIN lineitem USING (l_orderkey, l_linenumber) WHERE l_orderkey % 5 > 0 GROUP BY l_orderkey),
+@query(f"""WITH {RANGES_SQL}, seg AS (SELECT l_orderkey, avg(0.75 + (l_partkey % 25) / 100.0::DOUBLE) AS mean, bool_and(l_suppkey % 3 > 0) AS torn FROM lineitem GROUP BY l_orderkey),
+cut AS (SELECT l_orderkey, count(*) AS n, count_if(l_quantity > 49) AS open, var_pop(lag) AS spread FROM t JOIN lineitem USING (l_orderkey, l_linenumber) GROUP BY l_orderkey),
 j AS (SELECT l_orderkey, mean, coalesce(n, 0) AS cuts, CASE WHEN mean IS NULL THEN 'no measurement' WHEN coalesce(n, 0) = 0 THEN NULL WHEN torn AND NOT coalesce(spread <= 0.12, false) THEN 'conflicting offsets' WHEN open > 0 THEN 'range not refined' WHEN mean < 0.85 THEN 'low fidelity' END AS reason FROM seg FULL JOIN cut USING (l_orderkey))
 SELECT l_orderkey, round(mean, 6) AS mean_fidelity, cuts, reason IS NOT NULL AS incompatible, reason FROM j""")
 def cut_verdict(spark, d):
     lines = table(spark, d, "lineitem")
-    segments = lines.where("l_orderkey % 7 > 0").select("l_orderkey", (F.lit(0.75) + (F.col("l_partkey") % 25) / 100.0).alias("fidelity"), F.when(F.col("l_suppkey") % 3 > 0, 2).otherwise(1).alias("offsets"))
+    segments = lines.select("l_orderkey", (F.lit(0.75) + (F.col("l_partkey") % 25) / 100.0).alias("fidelity"), F.when(F.col("l_suppkey") % 3 > 0, 2).otherwise(1).alias("offsets"))
     found = refine.refined(ranges(spark, d)).join(lines.select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_linenumber"])
-    found = found.where("l_orderkey % 5 > 0").select("l_orderkey", F.when(F.col("l_quantity") <= 49, F.col("method")).alias("method"), "lag_s")
+    found = found.select("l_orderkey", F.when(F.col("l_quantity") <= 49, F.col("method")).alias("method"), "lag_s")
     return refine.verdict(segments, found, "l_orderkey").withColumn("mean_fidelity", F.round("mean_fidelity", 6))
 
 
@@ -53,7 +53,8 @@ p AS (SELECT file, cut, 0 AS piece, round(greatest(0, s - 0.5) * 100) AS a, roun
 SELECT file, cut, row_number() OVER (PARTITION BY file, cut ORDER BY piece, pos) - 1 AS pos, v FROM p JOIN x USING (file) WHERE pos >= a AND pos < z""")
 def splice_samples(spark, d):
     rows = table(spark, d, "embeddings")
-    blocks = rows.select(F.col("label").alias("file"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("block"), F.col("embedding").cast("array<double>").alias("samples"))
+    blocks = rows.select(F.col("label").alias("file"), "vec_id", F.col("embedding").cast("array<double>").alias("samples"))
+    blocks = numbered(blocks, ["file"], "vec_id", "block").withColumn("block", F.col("block") - 1)
     at = spark.createDataFrame([(0, 0.0, 0.7), (1, 1.25, 1.5), (2, 4.0, 6.3)], "cut int, start_s double, end_s double")
     cuts = rows.select(F.col("label").alias("file")).distinct().join(F.broadcast(at))  # three rows
     return refine.spliced(blocks, cuts, 100, 64).select("file", "cut", F.posexplode("samples").alias("pos", "v")).withColumn("pos", F.col("pos").cast("long"))

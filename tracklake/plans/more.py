@@ -41,9 +41,11 @@ def forced_winner(spark, d):
     return records.forced_winner(docs, "src1", "doc_id").select("doc_id", "source")
 
 
-@query("SELECT page_id, line, contains(lower(line), 'warning') AND contains(lower(line), 'uid') AS tolerable FROM (SELECT page_id, unnest(string_split(replace(html, chr(10), ' '), '>')) AS line FROM pages) WHERE regexp_matches(lower(line), 'error|warning|failed|invalid|missing|corrupt|attachment|uid') AND NOT contains(lower(line), 'attachment: none')")
+@query("SELECT page_id, line, contains(lower(line), 'warning') AND contains(lower(line), 'uid') AS tolerable FROM (SELECT page_id, unnest(string_split(replace(replace(replace(replace(html, chr(10), ' '), 'class', 'Warning: UID'), 'href', 'Attachment: none'), 'div', 'ERROR'), '>')) AS line FROM pages) WHERE regexp_matches(lower(line), 'error|warning|failed|invalid|missing|corrupt|attachment|uid') AND NOT contains(lower(line), 'attachment: none')")
 def log_line_filter(spark, d):
-    cut_at = F.replace(F.replace("html", F.lit("\n"), F.lit(" ")), F.lit(">"), F.lit("\n"))
+    cut_at = F.replace("html", F.lit("\n"), F.lit(" "))
+    for word, other in (("class", "Warning: UID"), ("href", "Attachment: none"), ("div", "ERROR"), (">", "\n")):
+        cut_at = F.replace(cut_at, F.lit(word), F.lit(other))
     return records.log_lines(table(spark, d, "pages").select("page_id", cut_at.alias("text")), "text")
 
 
@@ -88,10 +90,10 @@ def scalars_style(text):
     return records.style_lines(F.replace(text, F.lit("The"), F.lit("Style:")))
 
 
-@query("WITH t AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place, o_totalprice / 100 AS s FROM orders WHERE o_totalprice > 500), g AS (SELECT *, CASE WHEN s > 540 THEN 120 WHEN s > 60 THEN 30 ELSE 0 END::BIGINT AS b, trunc(CASE WHEN s > 540 THEN (s - 240) / 5 WHEN s > 60 THEN (s - 45) / 5 ELSE s - 2 / 5 END)::BIGINT AS l FROM t) SELECT o_custkey, o_orderkey, place, segment::INTEGER AS segment, b + segment * l AS begin_s, l AS length_s FROM g, (SELECT unnest(range(0, 4)) AS segment)")
+@query("WITH t AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place, o_totalprice / 100 AS s FROM orders), g AS (SELECT *, CASE WHEN s > 540 THEN 120 WHEN s > 60 THEN 30 WHEN s > 5 THEN 0 END::BIGINT AS b, trunc(CASE WHEN s > 540 THEN (s - 240) / 5 WHEN s > 60 THEN (s - 45) / 5 WHEN s > 5 THEN s - 2 / 5 END)::BIGINT AS l FROM t) SELECT o_custkey, o_orderkey, place, segment::INTEGER AS segment, b + segment * l AS begin_s, l AS length_s FROM g, (SELECT unnest(range(0, 4)) AS segment)")
 def segment_fan_out(spark, d):
     s = F.col("o_totalprice") / 100
-    rows = table(spark, d, "orders").where("o_totalprice > 500")
+    rows = table(spark, d, "orders")
     return records.fan_out(rows, "o_custkey", "o_orderkey", scalars.grid_begin(s), scalars.grid_length(s, 4), 4).select("o_custkey", "o_orderkey", "place", "segment", "begin_s", "length_s")
 
 
@@ -143,9 +145,9 @@ def merge_plan(spark, d):
     return merging.plan(rows, delays).drop("keep")
 
 
-@query()
+@query("SELECT DISTINCT l_orderkey AS grp, l_linenumber::BIGINT AS member, min(l_linenumber) OVER (PARTITION BY l_orderkey, (l_orderkey + l_linenumber * l_linenumber) % 3)::BIGINT AS clique FROM lineitem")
 def audio_cliques(spark, d):
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("long").alias("member"), (F.col("l_suppkey") % 2).alias("k"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("long").alias("member"), ((F.col("l_orderkey") + F.col("l_linenumber") * F.col("l_linenumber")) % 3).alias("k")).distinct()
     a, b = lines.select("grp", F.col("member").alias("i"), F.col("k").alias("x")), lines.select("grp", F.col("member").alias("j"), F.col("k").alias("y"))
     measured = a.join(b, "grp").where("i < j").select("grp", "i", "j", F.when(F.col("x") == F.col("y"), 0.95).otherwise(0.5).alias("fidelity"), F.lit(0).alias("delay_ms"))
     return merging.cliques(lines.select("grp", "member"), merging.compatible_pairs(measured))

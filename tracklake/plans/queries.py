@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import scalars, signals
 from tracklake.operators import catalog, cuts, delays, routing, rules, selection, tracks
+from tracklake.operators.spread import numbered
 from tracklake.plans.registry import query
 from tracklake.sources.tables import cut, table
 from tracklake.streaming.episodes import EpisodeState, watch
@@ -93,9 +94,9 @@ def episode_winners(spark, d):
     return routing.winners(episodes(spark, d).where("episode is not null"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%'")
+@query("SELECT p_partkey, p_brand FROM part WHERE p_brand LIKE '%#_3%'")
 def catalog_search_like(spark, d):
-    return catalog.like(table(spark, d, "part"), "p_name", "1").select("p_partkey", "p_name")
+    return catalog.like(table(spark, d, "part"), "p_brand", "#_3").select("p_partkey", "p_brand")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_custkey = (SELECT min(o_custkey) FROM orders WHERE o_orderstatus = 'F') ORDER BY o_orderkey LIMIT 1")
@@ -221,24 +222,22 @@ def hamming_similarity(spark, d):
     return delays.fidelity(neighbours(spark, d)).select("vec_id", F.round("fidelity", 9).alias("fidelity"))
 
 
-SERIES_SQL = "series AS (SELECT user_id, list(event_id * 2654435761 % 4294967296 ORDER BY event_id)[1:64] AS x FROM events WHERE event_type = 'click' GROUP BY user_id HAVING count(*) >= 8)"
+SERIES_SQL = "series AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_id * 2654435761 % 4294967296 AS word FROM events)"
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:
-    """Up to 64 words a user, as a fingerprint."""
-    w = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    rows = table(spark, d, "events").where("event_type = 'click'").select("user_id", "event_id", w.alias("n"), F.count("*").over(Window.partitionBy("user_id")).alias("all")).where("n <= 64 and all >= 8")
-    return rows.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "event_id"))), lambda r: r["event_id"] * 2654435761 % 4294967296).alias("x"))
+    """Each user's events as a fingerprint: key, n (from 1), word."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id")
+    return numbered(rows, ["key"], "event_id", "n").select("key", "n", (F.col("event_id") * 2654435761 % 4294967296).alias("word"))
 
 
-@query(f"""WITH {SERIES_SQL}, pairs AS (SELECT a.user_id, a.x, b.x AS y FROM series a JOIN series b ON b.user_id = a.user_id + 1),
-shifted AS (SELECT user_id, o AS "offset", CASE WHEN o > 0 THEN x[o + 1:] ELSE x END AS x, CASE WHEN o < 0 THEN y[1 - o:] ELSE y END AS y FROM pairs, (SELECT unnest(range(-4, 5)) AS o)),
-curve AS (SELECT user_id, "offset", CASE WHEN least(len(x), len(y)) >= 4 THEN list_sum(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: 32 - bit_count(xor(x[i], y[i])))) / least(len(x), len(y))::DOUBLE / 32 END AS corr FROM shifted)
-SELECT user_id, round(corr, 9) AS corr, CAST("offset" AS INTEGER) AS "offset" FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY corr DESC, "offset") AS rn FROM curve WHERE corr IS NOT NULL) WHERE rn = 1""")
+@query(f"""WITH {SERIES_SQL}, o AS (SELECT unnest(range(-4, 5)) AS "offset"),
+sums AS (SELECT a.user_id AS key, "offset", count(*) AS overlap, sum(32 - bit_count(xor(a.word, b.word))) AS same FROM o, series a JOIN series b ON b.user_id = a.user_id + 1 AND b.n = a.n - "offset" GROUP BY ALL)
+SELECT key, round(same / overlap::DOUBLE / 32, 9) AS corr, CAST("offset" AS INTEGER) AS "offset" FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY same / overlap::DOUBLE DESC, "offset") AS rn FROM sums WHERE overlap >= 4) WHERE rn = 1""")
 def cross_correlation_curve(spark, d):
     s = cut(series(spark, d))
-    both = s.join(s.select((F.col("user_id") - 1).alias("user_id"), F.col("x").alias("y")), "user_id")
-    return delays.best_offset(delays.curve(both, 4, 4), ["user_id"]).select("user_id", F.round("corr", 9).alias("corr"), "offset")
+    follower = s.select((F.col("key") - 1).alias("key"), "n", "word")
+    return delays.best_offset(delays.curve_by_word(s, follower, 4, 4), ["key"]).select("key", F.round("corr", 9).alias("corr"), "offset")
 
 
 def shifted_signals(spark: SparkSession, d: str) -> DataFrame:
@@ -266,17 +265,19 @@ def phash64(spark, d):
     return table(spark, d, "embeddings").select("vec_id", signals.frame_hash(frame).alias("hash"))
 
 
-@query(f"""WITH {WORDS_SQL}, frames AS (SELECT label AS clip, vec_id AS frame, x[1] AS hash FROM words),
-near AS (SELECT a.clip, a.frame AS i, b.frame AS j, CAST(bit_count(xor(a.hash, b.hash)) AS BIGINT) AS d FROM frames a JOIN frames b ON a.clip = b.clip AND b.frame BETWEEN a.frame - 20 AND a.frame + 20 AND a.frame <> b.frame),
+@query(f"""WITH {WORDS_SQL}, frames AS (SELECT label AS clip, vec_id AS frame, x FROM words),
+near AS (SELECT a.clip, a.frame AS i, b.frame AS j, CAST(bit_count(xor(a.x[1], b.x[1])) + bit_count(xor(a.x[2], b.x[2])) AS BIGINT) AS d FROM frames a JOIN frames b ON a.clip = b.clip AND b.frame BETWEEN a.frame - 20 AND a.frame + 20 AND a.frame <> b.frame),
 best AS (SELECT clip, i, j, d FROM (SELECT *, row_number() OVER (PARTITION BY clip, i ORDER BY d, j) AS rn FROM near) WHERE rn = 1)
 SELECT clip, i, j, d, CAST(sum(d) OVER (PARTITION BY clip ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM best""")
 def banded_alignment(spark, d):
-    frames = cut(words(spark, d)).select(F.col("label").alias("clip"), F.col("vec_id").alias("frame"), F.element_at("x", 1).alias("hash"))
-    # a clip against itself: each frame is left out of its own band
-    l = frames.select("clip", F.col("frame").alias("i"), F.col("hash").alias("x"), F.explode(F.sequence(F.col("frame") - 20, F.col("frame") + 20)).alias("j")).where("i <> j")
-    r = frames.select("clip", F.col("frame").alias("j"), F.col("hash").alias("y"))
-    best = l.join(r, ["clip", "j"]).withColumn("d", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("long")).groupBy("clip", "i").agg(F.min_by(F.struct("j", "d"), F.struct("d", "j")).alias("m")).select("clip", "i", "m.j", "m.d")
-    return cuts.trailing_sum(best, 3)
+    return cuts.trailing_sum(aligned(spark, d), 3)
+
+
+def aligned(spark: SparkSession, d: str) -> DataFrame:
+    """Each label's vectors as a clip of 64-bit frame hashes, set against itself."""
+    hash_ = F.element_at("x", 1).bitwiseOR(F.shiftleft(F.element_at("x", 2), 32))
+    frames = cut(words(spark, d)).select(F.col("label").alias("clip"), F.col("vec_id").alias("frame"), hash_.alias("hash"))
+    return cut(cuts.banded_nearest(frames, frames, 20, own=False))
 
 
 @query("""WITH t AS (SELECT o_orderkey, o_totalprice / 100 AS s FROM orders)
@@ -294,7 +295,7 @@ def frame_quantize(spark, d):
 
 
 MEASURED_SQL = """measured AS (SELECT user_id AS pair, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS segment, 0.6 + (event_id % 41) / 100.0::DOUBLE AS fidelity,
-CAST(CASE user_id % 4 WHEN 0 THEN 0 WHEN 1 THEN event_id % 2 * 125 WHEN 2 THEN event_id % 7 // 6 * 125 ELSE event_id % 3 * 400 END AS BIGINT) AS delay_ms FROM events WHERE event_id % 30 < 20),
+CAST(CASE user_id % 4 WHEN 0 THEN 0 WHEN 1 THEN event_id % 2 * 125 WHEN 2 THEN event_id % 7 // 6 * 125 ELSE event_id % 3 * 400 END AS BIGINT) AS delay_ms FROM events),
 marked AS (SELECT *, lag(delay_ms) OVER w AS last, min(fidelity) OVER (PARTITION BY pair ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS worst, first(delay_ms) OVER w AS head1 FROM measured WINDOW w AS (PARTITION BY pair ORDER BY segment)),
 changed AS (SELECT *, CASE WHEN delay_ms <> last THEN 1 ELSE 0 END AS changed, coalesce(least(fidelity, worst) < 0.9, false) AS weak FROM marked),
 runs AS (SELECT *, sum(changed) OVER (PARTITION BY pair ORDER BY segment) AS run FROM changed),
@@ -306,7 +307,7 @@ avg(CASE WHEN delay_ms <> head1 OR fidelity < 0.85 THEN 1.0 ELSE 0.0 END) AS bad
 def measured(spark: SparkSession, d: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     delay = F.when(u % 4 == 0, F.lit(0)).when(u % 4 == 1, e % 2 * 125).when(u % 4 == 2, F.floor(e % 7 / 6) * 125).otherwise(e % 3 * 400).cast("long")
-    return table(spark, d, "events").where("event_id % 30 < 20").select(u.alias("pair"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("segment"), (F.lit(0.6) + (e % 41) / 100.0).alias("fidelity"), delay.alias("delay_ms"))
+    return table(spark, d, "events").select(u.alias("pair"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("segment"), (F.lit(0.6) + (e % 41) / 100.0).alias("fidelity"), delay.alias("delay_ms"))
 
 
 @query(f"""WITH {MEASURED_SQL} SELECT pair, n_delays AS "distinct", round(mean, 9) AS mean_fidelity, round(bad, 9) AS bad_share,
@@ -318,9 +319,9 @@ def delay_decision_stage1(spark, d):
 
 @query(f"""WITH {MEASURED_SQL} SELECT pair, n_delays AS "distinct", round(mean, 9) AS mean_fidelity, changes, majority,
 CASE WHEN one THEN 'accept' WHEN torn THEN 'incompatible' WHEN near OR still THEN 'accept' ELSE 'incompatible' END AS verdict, CASE WHEN one THEN head WHEN torn THEN NULL WHEN near THEN majority WHEN still THEN 0 END AS delay_ms
-FROM (SELECT *, n_delays = 1 OR near AND head = tail AS one, near AND changes > 1 AND good1 = 1 AND bad1 = 1 AS torn, mean >= 0.75 AND n_delays > 1 AND low <= 0 AND high >= 0 AND (low = 0 OR high = 0) AS still FROM (SELECT *, n_delays = 2 AND high - low < 128 AND mean >= 0.9 AS near FROM sums JOIN longest USING (pair)))""")
+FROM (SELECT *, n_delays = 1 OR near AND head = tail AS one, near AND changes > 1 AND good1 = 1 AND bad1 = 1 AS torn, n_delays = 2 AND high - low < 128 AND mean >= 0.75 AND (low = 0 OR high = 0) AS still FROM (SELECT *, n_delays = 2 AND high - low < 128 AND mean >= 0.9 AS near FROM sums JOIN longest USING (pair)))""")
 def delay_decision_check(spark, d):
-    return delays.stage_check(measured(spark, d)).withColumn("mean_fidelity", F.round("mean_fidelity", 9))
+    return delays.stage_check(measured(spark, d)).drop("low", "high").withColumn("mean_fidelity", F.round("mean_fidelity", 9))
 
 
 @query("""WITH s AS (SELECT user_id AS pair, count(*) AS n, var_samp(delay_s) AS spread, arg_min(delay_s, event_id) AS head, arg_max(delay_s, event_id) AS tail, avg(delay_s) AS mean_s
@@ -345,8 +346,8 @@ def bad_ranges(spark, d):
     return cuts.bad_ranges(rows, "user_id")
 
 
-@query("""WITH s AS (SELECT user_id, event_id::DOUBLE / 1000 AS x, value AS y FROM events), r AS (SELECT user_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM s GROUP BY user_id),
-f AS (SELECT user_id, n, sx, sy, CASE WHEN abs(n * sxx - sx * sx) < 1e-12 THEN 0 ELSE (n * sxy - sx * sy) / (n * sxx - sx * sx) END AS slope FROM r), g AS (SELECT user_id, slope, (sy - slope * sx) / n AS intercept FROM f),
+@query("""WITH s AS (SELECT user_id, event_id::DOUBLE / 1000 AS x, value AS y FROM events),
+g AS (SELECT user_id, coalesce(regr_slope(y, x), 0) AS slope, coalesce(regr_intercept(y, x), avg(y)) AS intercept FROM s GROUP BY user_id),
 m AS (SELECT user_id, any_value(slope) AS slope, any_value(intercept) AS intercept, avg((y - slope * x - intercept) ** 2) AS mse FROM s JOIN g USING (user_id) GROUP BY user_id)
 SELECT user_id, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(mse, 4) AS mse, round(CASE WHEN abs(slope) > 0.005 AND mse <= 0.12 THEN 1 / (1 + slope) ELSE 1.0 END, 4) AS tempo FROM m""")
 def drift_regression(spark, d):
@@ -357,9 +358,19 @@ def drift_regression(spark, d):
 RULE_TEXT = "FLAC*1.1>AC3*2>MP3,DTS=EAC3>AAC"
 
 
-@query("SELECT * FROM (VALUES ('ac3', 'mp3', false, 2.0::DOUBLE), ('dts', 'aac', true, NULL), ('eac3', 'aac', true, NULL), ('flac', 'ac3', false, 1.1), ('flac', 'mp3', false, 2.2)) t(winner, loser, unconditional, factor)")
+# further rule strings: equal formats that a chain orders, chains that meet, a factor over five, both directions, white space
+RULE_TEXTS = [RULE_TEXT, "a=b,a>c>b", "x>y,y>z*6>w", "m>n,n*5>o,n*6>p", "a*1.1>b,b*1>a", " Opus * 1.5 > Vorbis = MP3 "]
+
+
+@query("""SELECT * FROM (VALUES (0, 'ac3', 'mp3', false, 2.0::DOUBLE), (0, 'dts', 'aac', true, NULL), (0, 'eac3', 'aac', true, NULL), (0, 'flac', 'ac3', false, 1.1), (0, 'flac', 'mp3', false, 2.2), (1, 'a', 'c', true, NULL), (1, 'c', 'b', true, NULL),
+(2, 'x', 'y', true, NULL), (2, 'y', 'z', true, NULL), (2, 'x', 'z', true, NULL), (2, 'z', 'w', false, 6.0), (2, 'x', 'w', true, NULL), (2, 'y', 'w', true, NULL), (3, 'm', 'n', true, NULL), (3, 'n', 'o', false, 5.0), (3, 'n', 'p', false, 6.0), (3, 'm', 'p', true, NULL),
+(4, 'a', 'b', false, 1.1), (4, 'b', 'a', false, 1.0), (5, 'opus', 'vorbis', false, 1.5), (5, 'opus', 'mp3', false, 1.5)) t(text, winner, loser, unconditional, factor)""")
 def rules_relation(spark, d):
-    return rules.relation(spark, RULE_TEXT).withColumn("factor", F.round("factor", 9))
+    out = None
+    for i, text in enumerate(RULE_TEXTS):
+        one = rules.relation(spark, text).select(F.lit(i).alias("text"), "*")
+        out = one if out is None else out.union(one)
+    return out.withColumn("factor", F.round("factor", 9))
 
 
 @query()

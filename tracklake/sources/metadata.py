@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,6 +53,53 @@ def pcm(raw: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else np.frombuffer(x[: len(x) // 4 * 4], "<f4") for x in raw])
 
 
+SOUND = T.StructType([T.StructField("rate", T.IntegerType()), T.StructField("samples", T.ArrayType(T.DoubleType()))])
+
+
+@F.pandas_udf(SOUND)
+def wav(raw: pd.Series) -> pd.DataFrame:
+    """Rate and first channel of a WAV file's bytes (8, 16 or 32 bits whole, or 32 bits float); null if it isn't one.
+
+    Chunks are walked, so that others than format and data may stand anywhere; a cut data chunk gives what is there.
+    """
+
+    def one(x):
+        x = bytes(x) if x is not None else b""
+        if x[:4] != b"RIFF" or x[8:12] != b"WAVE":
+            return None, None
+        at, form = 12, None
+        while at + 8 <= len(x):
+            kind, size = x[at : at + 4], int.from_bytes(x[at + 4 : at + 8], "little")
+            if kind == b"fmt ":
+                form = struct.unpack_from("<HHIIHH", x, at + 8)
+            elif kind == b"data" and form:
+                code, channels, rate, _, _, bits = form
+                read = {(1, 8): "u1", (1, 16): "<i2", (1, 32): "<i4", (3, 32): "<f4"}.get((code, bits))
+                if read is None:
+                    return None, None
+                width = channels * bits // 8
+                data = x[at + 8 : at + 8 + size]
+                return rate, np.frombuffer(data[: len(data) // width * width], read).reshape(-1, channels)[:, 0].astype(float)
+            at += 8 + size + size % 2
+        return None, None
+
+    return pd.DataFrame([one(x) for x in raw], columns=["rate", "samples"])
+
+
+def probed(text: Column) -> tuple[Column, Column]:
+    """Rate and seconds from a probe's lines: the first line of digits alone, the first other number; 44100 and 0 by default."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    whole = F.filter(lines, lambda x: x.rlike("^[0-9]+$"))
+    other = F.filter(lines, lambda x: ~x.rlike("^[0-9]+$") & x.try_cast("double").isNotNull())
+    return F.coalesce(F.get(whole, F.lit(0)).try_cast("int"), F.lit(44100)), F.coalesce(F.get(other, F.lit(0)).try_cast("double"), F.lit(0.0))
+
+
+def overridden(folders: DataFrame, text: str, defaults: dict[str, str]) -> DataFrame:
+    """Settings of each folder: those of its JSON document (null without one), else the defaults, all as text."""
+    own = F.from_json(text, "MAP<STRING, STRING>")
+    return folders.withColumns({k: F.coalesce(F.try_element_at(own, F.lit(k)), F.lit(v)) for k, v in defaults.items()}).drop(text)
+
+
 def directive(folder: Column) -> tuple[Column, Column]:
     """Whether a folder name asks for grouping, and for merging without synchronisation."""
     return folder.rlike(r"\[grouping\]"), folder.rlike(r"\[merge\]")

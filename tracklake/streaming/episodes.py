@@ -5,31 +5,64 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracklake.operators.routing import first_match, winners, with_episode
+from tracklake.operators.routing import first_match, winners, with_episode, with_rejects
 from tracklake.sources.tables import shared_dir
 
-STATE = "folder_id int, episode long, nom string, weight int, id long"
+STATE = "folder_id int, episode long, nom string, weight int, id long, size long, signature string"
+KEEP = ["folder_id", "episode", "nom", "weight", "id"]
+EVERY = [c.split()[0] for c in STATE.split(", ")]
+CLASS = ["folder_id", "episode", "signature"]
 
 
 class EpisodeState:
-    """The winners table, rewritten under a new name after each batch; a batch that comes again changes nothing."""
+    """The winners as a log in a folder: each batch adds the files that beat what was there before, under its own number.
+
+    Files may bring a signature (equal ones merge) and a size; the winner of each signature is kept, so that files which
+    don't merge with the primary one are told by `incompatible`.
+
+    All there is to know lies in the folder, so a new object on it goes on where the old one stopped. A batch that comes
+    again compares with the batches before it and rewrites its own part alone. Each part holds at most one row a key,
+    and a key comes again only with a better file.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         self.folder = folder or f"{shared_dir(spark)}/episodes-{uuid.uuid4().hex}"
-        self.path: str | None = None
+        self.path = f"{self.folder}/state"
+        spark.createDataFrame([], STATE).write.mode("overwrite").parquet(f"{self.path}/epoch=-1")
+
+    def read(self, spark: SparkSession | None = None, before: int | None = None) -> DataFrame:
+        """The winners, of all batches or of those before one."""
+        return winners(self.classes(spark, before).select(*KEEP)).select(*KEEP)
+
+    def classes(self, spark: SparkSession | None = None, before: int | None = None) -> DataFrame:
+        """The best file of each signature."""
+        log = (spark or self.spark).read.schema(f"{STATE}, epoch int").parquet(self.path)
+        log = log if before is None else log.where(F.col("epoch") < before)
+        return self.best(log)
+
+    def incompatible(self) -> DataFrame:
+        """The best file of each signature that isn't the primary one's."""
+        return with_rejects(self.classes()).where("role = 'incompatible'").drop("role", "files")
 
-    def read(self, spark: SparkSession | None = None) -> DataFrame:
-        spark = spark or self.spark
-        return spark.read.schema(STATE).parquet(self.path) if self.path else spark.createDataFrame([], STATE)
+    @staticmethod
+    def best(files: DataFrame) -> DataFrame:
+        rest = [c for c in EVERY if c not in CLASS]
+        return files.groupBy(*CLASS).agg(F.min_by(F.struct(*rest), F.struct(-F.col("weight"), F.col("id"))).alias("w")).select(*CLASS, "w.*").select(*EVERY)
 
     def merge(self, batch: DataFrame, epoch: int) -> None:
-        both = self.read(batch.sparkSession).unionByName(batch.select("folder_id", "episode", "nom", "weight", "id"))
-        path = f"{self.folder}/{epoch}"
-        winners(both).select("folder_id", "episode", "nom", "weight", "id").write.mode("overwrite").parquet(path)
-        self.path = path
+        """Adds a batch of files: the columns of KEEP, and size and signature if there are any."""
+        added = {c: F.lit(None) for c in ("size", "signature") if c not in batch.columns}
+        new = self.best(batch.withColumns({c: v.cast("long" if c == "size" else "string") for c, v in added.items()}))
+        held = self.classes(batch.sparkSession, epoch).select(*(F.col(c).alias(f"_{c}") for c in (*CLASS, "weight", "id")))
+        same = F.lit(True)
+        for c in CLASS:
+            same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+        better = F.col("_weight").isNull() | (F.col("weight") > F.col("_weight")) | ((F.col("weight") == F.col("_weight")) & (F.col("id") < F.col("_id")))
+        new.join(held, same, "left").where(better).select(*EVERY).write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
 
 
 def watch(names: DataFrame, rules: DataFrame, state: EpisodeState, **trigger) -> StreamingQuery:
