@@ -1,19 +1,18 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Each vector, less the mean, is divided by its length, rotated by a random orthogonal matrix and kept
-as one bit a dimension with two correction scalars: its length and the inner product of the unit
-vector with its code. The inner product with a query is estimated from the bits without bias; the
-error bound says how far off it may be, and the vectors whose upper bound reaches the k-th best lower
-bound are reranked by exact inner products of the original vectors in double precision.
+Each vector, less the mean, is divided by its length, turned by a random orthonormal map into `WIDE` times as many
+dimensions and kept as one bit a dimension with two correction scalars: its length and the inner product of the unit
+vector with its code. The inner product with a query is estimated from the bits without bias; the error bound says how
+far off it may be. Only vectors whose upper bound reaches the k-th best score so far (or the k-th best lower bound of
+the rows at hand) are reranked by the exact inner product of the original vectors in double precision.
 
 Of equal vectors only the k + 1 smallest ids can be among a query's k nearest, so only these are searched. Queries are
-dealt in parts, codes in shards; a task streams a shard's codes past a part's queries and keeps the rows whose upper
-bound reaches the k-th best lower bound so far. Only codes and scalars are copied to the parts; the original vectors are
-fetched for the rows that are left, by a salted join. A query for which a shard leaves more than `DENSE` rows (near
-copies that the bounds can't tell apart) meets the shard's original vectors instead, in blocks, and takes its k best there.
+dealt in parts, vectors with their codes in shards; a task streams a shard past a part's queries, reranks what the
+bounds leave, and gives k rows a query. Those that the bounds leave grow with the table (on vectors without structure
+they are a fixed share of it), so they are reranked where they are found and never shuffled.
 
 The work is one pass over all codes for each query, as the queries are a fixed share of the rows; what is shuffled are
-codes x parts, queries x shards and the rows left.
+vectors x parts of `PART` queries, queries x shards, and k rows a query and shard.
 
 Defined cases: vectors that are null, zero, or hold null, infinite or NaN components take no part, nor do those whose
 length isn't the most frequent one (of equally frequent lengths the largest); ties go to the smaller id; of several
@@ -24,18 +23,15 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tracklake.llm.common import blocks_for, cut, looked_up, rows
+from tracklake.llm.common import blocks_for, cut, rows
 
-PART, SHARD, LEAST_SHARD, CHUNK, DENSE, HELD, BOUND = 2048, 131_072, 4096, 1024, 512, 2_000_000, 3.5
+PART, SHARD, LEAST_SHARD, CHUNK, PAIRS, WIDE, BOUND = 4096, 131_072, 4096, 1024, 65_536, 4, 3.0
 
-CODES = "vec_id long, code binary, norm double, fit double"
-FOUND = "query_id long, vec_id long, part int, shard int, low double, high double"
+CODES = "vec_id long, vector array<{0}>, code binary, norm double, fit double"
 
 
 def valid(table: DataFrame) -> DataFrame:
@@ -49,8 +45,9 @@ def valid(table: DataFrame) -> DataFrame:
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
-    return q * np.sign(np.diag(r))
+    """A random orthonormal map to WIDE times the dimensions, as rows."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((WIDE * dims, WIDE * dims)))
+    return (q * np.sign(np.diag(r)))[:dims]
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -76,7 +73,7 @@ def center(vectors: DataFrame, dims: int) -> np.ndarray:
 
 
 def encode(vectors: DataFrame, mean: np.ndarray, turn: np.ndarray) -> DataFrame:
-    schema = [("vec_id", pa.int64()), ("code", pa.binary()), ("norm", pa.float64()), ("fit", pa.float64())]
+    """Adds code, norm and fit to vec_id and vector."""
 
     def run(batches):
         for b in batches:
@@ -85,65 +82,61 @@ def encode(vectors: DataFrame, mean: np.ndarray, turn: np.ndarray) -> DataFrame:
             x = matrix(b.column("vector"), len(mean)) - mean
             norm = np.linalg.norm(x, axis=1)
             o = (x / np.where(norm, norm, 1)[:, None]) @ turn
-            fit = np.abs(o).sum(axis=1) / np.sqrt(x.shape[1])
-            yield rows(schema, b.column("vec_id"), [c.tobytes() for c in np.packbits(o > 0, axis=1)], norm, fit)
+            fit = np.abs(o).sum(axis=1) / np.sqrt(o.shape[1])
+            code = [c.tobytes() for c in np.packbits(o > 0, axis=1)]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vector"), pa.array(code, pa.binary()), pa.array(norm), pa.array(fit)], ["vec_id", "vector", "code", "norm", "fit"])
 
-    return vectors.mapInArrow(run, CODES)
+    return vectors.select("vec_id", "vector").mapInArrow(run, CODES.format(vectors.schema["vector"].dataType.elementType.typeName()))
 
 
 class Search:
-    """The queries of a part while a shard's codes pass by."""
+    """The queries of a part while a shard passes by; the k best of each so far."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, most: int):
-        self.ids, self.k, self.dims, self.most = ids, k, len(mean), most
-        self.offset, self.turned, self.size = (q @ mean)[:, None], q @ turn, np.linalg.norm(q, axis=1)[:, None]
-        self.best = np.full((len(ids), k), -np.inf)  # the k best lower bounds so far
-        self.dense = np.zeros(len(ids), bool)
-        self.kept: list[tuple] = []  # query, vec_id, low, high
+    def __init__(self, ids: np.ndarray, q: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int):
+        self.ids, self.q, self.k, self.wide = ids, q, k, turn.shape[1]
+        self.offset, self.turned, self.size = (q @ mean)[:, None], (q @ turn).astype(np.float32), np.linalg.norm(q, axis=1)[:, None]
+        self.score = np.full((len(ids), k), -np.inf)
+        self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.reranked = 0
 
-    def see(self, ids: np.ndarray, code: list[bytes], norm: np.ndarray, fit: np.ndarray) -> None:
-        bits = np.unpackbits(np.frombuffer(b"".join(code), np.uint8).reshape(len(ids), -1), axis=1, count=self.dims)
+    def see(self, ids: np.ndarray, x: np.ndarray, code: list[bytes], norm: np.ndarray, fit: np.ndarray) -> None:
+        bits = np.unpackbits(np.frombuffer(b"".join(code), np.uint8).reshape(len(ids), -1), axis=1, count=self.wide)
         fit = np.maximum(fit, 1e-9)
-        estimate = self.offset + (self.turned @ ((bits * 2.0 - 1) / np.sqrt(self.dims)).T) * (norm / fit)
-        error = self.size * (norm * np.sqrt(np.maximum(0, 1 - fit**2)) / fit * BOUND / np.sqrt(max(1, self.dims - 1))) + 1e-9
-        low = estimate - error
-        low[self.ids[:, None] == ids] = -np.inf
-        self.best = np.partition(np.concatenate([self.best, low], axis=1), -self.k, axis=1)[:, -self.k :]
-        q, i = np.nonzero((estimate + error >= self.best.min(axis=1)[:, None]) & (low > -np.inf) & ~self.dense[:, None])
-        self.kept.append((q, ids[i], low[q, i], estimate[q, i] + error[q, i]))
-        if sum(len(x[0]) for x in self.kept) > HELD:
-            self.prune()
-
-    def prune(self) -> None:
-        """Leaves out what can no longer be among the best, and the queries that are left with too many rows."""
-        if not self.kept:
-            return
-        q, ids, low, high = (np.concatenate(x) for x in zip(*self.kept, strict=True))
-        on = high >= self.best.min(axis=1)[q]
-        self.dense |= np.bincount(q[on], minlength=len(self.ids)) > self.most
-        on &= ~self.dense[q]
-        self.kept = [(q[on], ids[on], low[on], high[on])]
-
-
-def found(asked: DataFrame, codes: DataFrame, dims: int, mean: np.ndarray, turn: np.ndarray, k: int, most: int) -> DataFrame:
-    """The rows left of each query and shard; vec_id is null for a query that its shard leaves too many.
-
-    asked: part, shard, vec_id, vector; codes: part, shard, vec_id, code, norm, fit.
+        estimate = self.offset + (self.turned @ (bits.astype(np.float32) * 2 - 1).T) * (norm / fit / np.sqrt(self.wide))
+        error = self.size * (norm * np.sqrt(np.maximum(0, 1 - fit**2)) / fit * BOUND / np.sqrt(max(1, self.wide - 1))) + 1e-6 * self.size * (1 + norm)
+        own = self.ids[:, None] == ids
+        bar = self.score[:, -1]
+        if len(ids) > self.k:
+            bar = np.maximum(bar, np.partition(np.where(own, -np.inf, estimate - error), -self.k, axis=1)[:, -self.k])
+        at, i = np.nonzero((estimate + error >= bar[:, None]) & ~own)
+        self.reranked += len(at)
+        score = np.concatenate([np.einsum("ij,ij->i", self.q[at[s : s + PAIRS]], x[i[s : s + PAIRS]]) for s in range(0, len(at), PAIRS)]) if len(at) else np.zeros(0)
+        on = score >= self.score[at, -1]
+        at, vec, score = at[on], ids[i[on]], score[on]
+        some, start = np.unique(at, return_index=True)
+        for q, s, e in zip(some.tolist(), start.tolist(), [*start[1:].tolist(), len(at)], strict=True):
+            every, names = np.concatenate([self.score[q], score[s:e]]), np.concatenate([self.vec[q], vec[s:e]])
+            best = np.lexsort((names, -every))[: self.k]
+            self.score[q], self.vec[q] = every[best], names[best]
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def found(asked: DataFrame, base: DataFrame, dims: int, mean: np.ndarray, turn: np.ndarray, k: int) -> DataFrame:
+    """The k best of each shard for each query: query_id, vec_id, score.
+
+    asked: part, shard, vec_id, vector; base: part, shard, vec_id, vector, code, norm, fit.
     """
-    schema = [("query_id", pa.int64()), ("vec_id", pa.int64()), ("part", pa.int32()), ("shard", pa.int32()), ("low", pa.float64()), ("high", pa.float64())]
+    schema = [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]
 
     def run(batches):
         at, ids, vectors, search = None, [], [], None
 
         def done():
-            if search is None:
-                return
-            search.prune()
-            for q, vec, low, high in search.kept:
-                yield rows(schema, search.ids[q], vec, np.full(len(q), at[0]), np.full(len(q), at[1]), low, high)
-            d = search.ids[search.dense]
-            if len(d):
-                yield rows(schema, d, pa.nulls(len(d), pa.int64()), np.full(len(d), at[0]), np.full(len(d), at[1]), pa.nulls(len(d), pa.float64()), pa.nulls(len(d), pa.float64()))
+            if search is not None:
+                on = search.score > -np.inf
+                yield rows(schema, np.repeat(search.ids, on.sum(axis=1)), search.vec[on], search.score[on])
 
         for batch in batches:
             if not batch.num_rows:
@@ -162,54 +155,19 @@ def found(asked: DataFrame, codes: DataFrame, dims: int, mean: np.ndarray, turn:
                     continue
                 if not ids:
                     continue
-                search = search or Search(np.concatenate(ids), np.concatenate(vectors), mean, turn, k, most)
+                search = search or Search(np.concatenate(ids), np.concatenate(vectors), mean, turn, k)
                 for i in range(0, b.num_rows, CHUNK):
                     c = b.slice(i, CHUNK)
-                    search.see(c.column("vec_id").to_numpy(), c.column("code").to_pylist(), c.column("norm").to_numpy(), c.column("fit").to_numpy())
+                    search.see(c.column("vec_id").to_numpy(), matrix(c.column("vector"), dims), c.column("code").to_pylist(), c.column("norm").to_numpy(), c.column("fit").to_numpy())
         yield from done()
 
     none = F.lit(None)
     left = asked.select("part", "shard", F.lit(0).alias("kind"), "vec_id", "vector", none.cast("binary").alias("code"), none.cast("double").alias("norm"), none.cast("double").alias("fit"))
-    right = codes.select("part", "shard", F.lit(1).alias("kind"), "vec_id", none.cast(asked.schema["vector"].dataType).alias("vector"), "code", "norm", "fit")
+    right = base.select("part", "shard", F.lit(1).alias("kind"), "vec_id", "vector", "code", "norm", "fit")
     return left.union(right).repartition("part", "shard").sortWithinPartitions("part", "shard", "kind").mapInArrow(run, FOUND)
 
 
-def in_blocks(dense: DataFrame, vectors: DataFrame, dims: int, k: int) -> DataFrame:
-    """The k best of a shard's original vectors for each dense query: query_id, vec_id, score.
-
-    dense: part, shard, block, vec_id, vector; vectors: the same of the shard's rows, a block of about LEAST_SHARD.
-    """
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        ids, base = right.column("vec_id").to_numpy(), matrix(right.column("vector").combine_chunks(), dims)
-        queries, q = left.column("vec_id").to_numpy(), matrix(left.column("vector").combine_chunks(), dims)
-        out = []
-        for s in range(0, len(q), 256):
-            score = q[s : s + 256] @ base.T
-            score[queries[s : s + 256, None] == ids] = -np.inf
-            for i, row in enumerate(score):
-                pick = np.flatnonzero(row >= (np.partition(row, -k)[-k] if len(row) > k else -np.inf) - 1e-9 * (1 + np.abs(row).max(where=row > -np.inf, initial=0)))
-                pick = pick[row[pick] > -np.inf]
-                exact = np.einsum("ij,j->i", base[pick], q[s + i])
-                order = np.lexsort((ids[pick], -exact))[:k]
-                out.append((np.full(len(order), queries[s + i]), ids[pick][order], exact[order]))
-        return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], schema=schema)
-
-    return dense.groupBy("part", "shard", "block").cogroup(vectors.groupBy("part", "shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
-
-
-@F.pandas_udf(T.DoubleType())
-def inner(x: pd.Series, y: pd.Series) -> pd.Series:
-    """Inner products in double precision."""
-    if not len(x):
-        return pd.Series([], dtype=float)
-    return pd.Series(np.einsum("ij,ij->i", np.stack(x).astype(np.float64), np.stack(y).astype(np.float64)))
-
-
-def nearest(table: DataFrame, every: int = 20, k: int = 20, most: int = DENSE) -> DataFrame:
+def nearest(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`."""
     spark = table.sparkSession
     vectors = cut(valid(table))
@@ -218,27 +176,14 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, most: int = DENSE) -
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     mean, turn = center(vectors, some.n), rotation(some.n)
     copies = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    base = cut(vectors.withColumn("copy", copies).where(F.col("copy") <= k + 1).drop("copy"))
-    codes = cut(encode(base, mean, turn))
+    base = cut(encode(vectors.withColumn("copy", copies).where(F.col("copy") <= k + 1), mean, turn))
     queries = vectors.where(F.col("vec_id") % every == 0)
-    parts, n = blocks_for(queries, PART), codes.count()
+    parts, n = blocks_for(queries, PART), base.count()
+    # shards of SHARD rows, but smaller ones where there are few, so that all cores take part
     shards = max(-(-n // SHARD), min(-(-n // LEAST_SHARD), -(-2 * spark.sparkContext.defaultParallelism // parts)))
     dealt = lambda name, count: F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(count)).cast("int").alias(name)
     over = lambda name, count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
     asked = queries.select("vec_id", "vector", dealt("part", parts), over("shard", shards))
-    left = cut(found(asked, codes.select("*", dealt("shard", shards), over("part", parts)), some.n, mean, turn, k, most))
-
-    # the k-th best lower bound over all shards settles most rows; null where a query has fewer
-    bound = F.nth_value("low", k).over(Window.partitionBy("query_id").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rest = left.where("vec_id is not null").withColumn("bound", bound).where("bound is null or high >= bound").select("query_id", "vec_id")
-    rest = looked_up(rest, "vec_id", "query_id", base.withColumnRenamed("vector", "x"))
-    exact = looked_up(rest, "query_id", "vec_id", queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("y"))).select("query_id", "vec_id", inner("x", "y").alias("score"))
-
-    many = left.where("vec_id is null").select("query_id", "part", "shard")
-    if many.limit(1).count():
-        blocks = -(-min(n, SHARD) // LEAST_SHARD)
-        dense = looked_up(many.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "query_id", "block", queries.select(F.col("vec_id").alias("query_id"), "vector")).withColumnRenamed("query_id", "vec_id")
-        met = base.select("vec_id", "vector", dealt("shard", shards), dealt("block", blocks)).join(cut(many.select("part", "shard").distinct()), "shard")
-        exact = exact.union(in_blocks(dense, met, some.n, k))
+    best = found(asked, base.select("*", dealt("shard", shards), over("part", parts)), some.n, mean, turn, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -12,7 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.sources.tables import cut  # noqa: F401  (used by the operators)
+from tracklake.operators.spread import looked_up  # noqa: F401  (used by the operators)
+from tracklake.sources.tables import cut  # noqa: F401
 
 SLICE = 1 << 20
 U = np.uint64
@@ -23,20 +24,6 @@ def blocks_for(df: DataFrame, rows: int) -> int:
     return max(1, -(-df.count() // rows))
 
 
-LOOKUPS = 32
-
-
-def looked_up(pairs: DataFrame, key: str, other: str, table: DataFrame) -> DataFrame:
-    """pairs joined with table by key, where one key may have a large share of the pairs.
-
-    The pairs of a key are dealt by a salt from column other; the table's row is copied to the salts that occur, at most
-    LOOKUPS of them, so that neither side has a hot key.
-    """
-    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(LOOKUPS)).cast("int"))
-    slots = salted.select(key, "_salt").distinct().join(table, key)
-    return salted.join(slots, [key, "_salt"]).drop("_salt")
-
-
 def text_only(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Key and text, whatever other columns df has; a null text is empty; rows without a key take no part."""
     return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.coalesce(F.col("text"), F.lit("")).alias("text"))
