@@ -30,18 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracklake.llm.bpe import recall
 from tracklake.llm.common import U, blocks_for, cut, mix, rows, slices, text_only
 
-WINDOW, END, BLOCK, MEMO, FLUID = 2048, 1, 8192, 300_000, 8
-# The tokenizer's own split, before lower-casing, for texts without UNSURE characters (of these, three digits and three
-# fractions are the only numbers beyond 0-9).
-SPLIT = re.compile(r"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\t-\r\x20\x85\xa0]|_)+")
+WINDOW, END, BLOCK, MEMO, FLUID = 2048, 1, 8192, 600_000, 8
+# The tokenizer's own split of lower-cased texts without UNSURE characters (of these, three digits and three fractions are
+# the only numbers beyond 0-9).
+SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\t-\r\x20\x85\xa0]|_)+")
 
 # Characters outside these blocks of letters, punctuation and symbols go to the tokenizer with their whole text.
 UNSURE = regex.compile(r"[^\x00-\u012f\u0131-\u017e\u0180-\u024f\u0391-\u03a1\u03b1-\u03c9\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20ac\u3040-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 
-SPLIT_ASCII = re.compile(r"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[A-Za-z]+|[0-9]|[^\t-\r\x20A-Za-z0-9]+")
+SPLIT_ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\t-\r\x20a-z0-9]+")
+SIGMA = "\u03a3"  # str.lower looks at what stands about it, the tokenizer doesn't
 
 
 class Words:
@@ -50,39 +50,57 @@ class Words:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
-        self.ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def learn(self, new: list[str]) -> None:
-        """Notes the ids of each pre-token: encoded as one text, cut after the ids that end a word.
-
-        Only the lower-case form of ASCII ones is encoded, as the tokenizer lower-cases.
-        """
-        low = [p.lower() if p.isascii() else p for p in new]
-        every, new = list(zip(new, low, strict=True)), list({p for p in low if p not in self.memo})
-        if not new:
-            self.memo.update((p, self.memo[q]) for p, q in every)
-            return
-        ids = array("I", self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids)
-        at, out = 0, []
-        for k, i in enumerate(ids, 1):
-            if i in self.ends:
-                out.append(ids[at:k].tobytes())
-                at = k
-        if len(out) != len(new) or at != len(ids):
+        """Notes the ids of each lower-case pre-token: encoded as one text, cut after the ids that end a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) == len(new) and cuts[-1] == 4 * len(ids):
+            raw = ids.tobytes()
+            out = [raw[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
+        else:
             out = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         self.memo.update(zip(new, out, strict=True))
-        memo = self.memo
-        memo.update([(p, memo[q]) for p, q in every if p is not q])
+
+    def parts(self, text: str) -> list[str] | None:
+        """The pre-tokens of a text, lower-cased as the tokenizer does; None: the text goes to the tokenizer whole."""
+        if self.special.search(text):
+            return None
+        if text.isascii():
+            return SPLIT_ASCII.findall(text.lower())
+        return None if unsure(text) or SIGMA in text else SPLIT.findall(text.lower())
 
     def many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if unsure(t) or self.special.search(t) else (SPLIT_ASCII if t.isascii() else SPLIT).findall(t) for t in texts]
-        recall(self, [p for p in split if p], self.learn, MEMO)
-        get = self.memo.__getitem__
-        # where parts is None, special tokens are to be found, normalising may join or split pre-tokens, or the libraries' Unicode versions differ
-        return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, split, strict=True)]
+        """Little-endian unsigned 32-bit ids of each text. Each pre-token is looked up once; those not known are learned together."""
+        split = [self.parts(t) for t in texts]
+        every = [p for parts in split if parts for p in parts]
+        if len(self.memo) > MEMO:
+            self.old, self.memo = self.memo, {}
+        found = list(map(self.memo.get, every))
+        if None in found:
+            where = [i for i, x in enumerate(found) if x is None]
+            new = {every[i] for i in where}
+            if self.old:
+                again = {p: self.old[p] for p in new if p in self.old}
+                self.memo.update(again)
+                new.difference_update(again)
+            if new:
+                self.learn(list(new))
+            for i in where:
+                found[i] = self.memo[every[i]]
+        out, at = [], 0
+        for text, parts in zip(texts, split, strict=True):
+            if parts is None:  # special tokens are to be found, normalising may join or split pre-tokens, or the libraries' Unicode versions differ
+                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(b"".join(found[at : at + len(parts)]))
+                at += len(parts)
+        return out
 
     def ids(self, text: str) -> bytes:
         return self.many([text])[0]
