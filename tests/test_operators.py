@@ -391,3 +391,114 @@ def test_tables_are_cleared(spark):
     assert df.count() == 3 and tables.clear(spark) >= 1 and tables.clear(spark) == 0
     with pytest.raises(Exception, match="(?i)not.*exist|no such"):
         df.count()
+
+
+def test_worst_and_clique_winners_against_lists(spark):
+    import random
+
+    r = random.Random(2)
+    text = "flac*1.1>ac3*2>mp3"
+    rs = rules.parse(text)
+    rows = [(g, i, r.choice(["flac", "ac3", "mp3", "x"]), r.choice([2.0, 6.0]), 48000, float(r.randrange(1, 9))) for g in range(15) for i in range(r.randrange(1, 6))]
+    df = spark.createDataFrame(rows, "grp int, member long, format string, channels double, rate int, bitrate double").repartition(3)
+    got = {(x.grp, x.member) for x in selection.worst(df, "grp", "member", text).where("is_worst").collect()}
+    want = set()
+    for g in range(15):
+        own = sorted((x for x in rows if x[0] == g), key=lambda x: x[1])
+        held = own[0]
+        for x in own[1:]:
+            if not rules.better_entry(rs, (x[2], x[5]), (held[2], held[5])):
+                held = x
+        want.add(held[:2])
+    assert got == want
+    pairs = [(g, i, j) for g in range(15) for i in range(5) for j in range(i + 1, 5) if r.random() < 0.5]
+    out = {(x.grp, x.member): (x.clique, x.keep) for x in merging.best_per_clique(df, spark.createDataFrame(pairs, "grp int, i long, j long"), text).collect()}
+    names = ("format", "channels", "rate", "bitrate")
+    for g in range(15):
+        own = sorted((x for x in rows if x[0] == g), key=lambda x: x[1])
+        made = []
+        for x in own:
+            fits = [c for c in made if all((g, y[1], x[1]) in pairs for y in c)]
+            fits[0].append(x) if fits else made.append([x])
+        for c in made:
+            keep = [True] * len(c)
+            for i in range(len(c)):
+                for j in range(i + 1, len(c)):
+                    if keep[i] and keep[j] and (gone := selection.beaten(dict(zip(names, c[i][2:], strict=True)), dict(zip(names, c[j][2:], strict=True)), rs)):
+                        keep[i if gone == "a" else j] = False
+            for x, k in zip(c, keep, strict=True):
+                assert out[g, x[1]] == (c[0][1], k)
+
+
+def test_what_must_be_there(spark):
+    from tracklake.operators import records
+
+    rows = spark.createDataFrame([("1", "en"), ("2", "fr")], "g string, l string")
+    with pytest.raises(Exception, match="no language in common"):
+        tracks.needed_language(rows, "g", "l").collect()
+    assert tracks.needed_language(rows.union(spark.createDataFrame([("2", "en")], rows.schema)), "g", "l").first().l == "en"
+    with pytest.raises(Exception, match="no bit rate"):
+        one(spark, records.needed_bitrate(F.lit("x"), F.lit(None).cast("string"), F.lit("")))
+    assert one(spark, records.needed_bitrate(F.lit("x"), F.lit("7"), F.lit("")))[0] == 7
+
+
+def test_plan_of_a_whole_merge(spark):
+    """Files without the language are rejected, delays add up from the root winner, and what is left out is told."""
+    t = spark.createDataFrame([(1, f, "en" if f < 4 else "fr", k, f"k{f}", f, f != 2 or k == "audio") for f in (1, 2, 3, 4) for k in ("audio", "subtitle")], "grp int, file long, language string, kind string, key string, ord long, keep boolean")
+    fits = spark.createDataFrame([(1, 1, 2, True), (1, 1, 3, None), (1, 2, 3, True)], "grp int, a long, b long, a_wins boolean")
+    between = spark.createDataFrame([(1, 1, 2, 100), (1, 2, 3, 20)], "grp int, winner long, loser long, delay_ms int")
+    plan, out = merging.sync_plan(t, fits, between, "en")
+    assert {(r.grp, r.name) for r in out.collect()} == {(1, 4)}
+    got = {(r.file, r.kind): (r.action, r.delay_ms, r.is_default) for r in plan.collect()}
+    assert got == {(1, "audio"): ("take", 0, True), (1, "subtitle"): ("take", 0, False), (2, "audio"): ("take", 100, False), (2, "subtitle"): ("remove", None, False), (3, "audio"): ("take", 120, False), (3, "subtitle"): ("take", 120, False)}
+
+
+DELAY = "match int, pair int, segment int, fidelity double, delay_ms long"
+
+
+@pytest.mark.parametrize(
+    "first,fine_pair,fine_match,expected",
+    [
+        ({0: [5, 5], 1: [5, 5]}, {}, None, ([], 5, None)),
+        ({0: [0, 125]}, {0: 0.01}, None, ([], 72, None)),  # two near delays: what was measured at their middle, 62
+        ({0: [0, 125], 1: [62, 62]}, {0: 0.2}, None, ([0], 62, None)),  # not settled: the pair is ignored
+        ({0: [0, 0], 1: [100, 100]}, {}, 0.01, ([], 60, None)),
+        ({0: [0, 0], 1: [100, 100]}, {}, 0.5, ([], None, "not settled")),
+        ({0: [0, 0], 1: [200, 200]}, {}, 0.01, ([], None, "several delays")),
+        ({0: [0, 300], 1: [900, 0]}, {}, 0.01, ([0, 1], None, "no delay")),
+    ],
+)
+def test_combined_delays(spark, first, fine_pair, fine_match, expected):
+    rows = spark.createDataFrame([(1, p, i, 0.95, d) for p in first for i, d in enumerate(first[p])], DELAY)
+    pairs = spark.createDataFrame([(1, p, d) for p, d in fine_pair.items()], "match int, pair int, delay_s double")
+    whole = spark.createDataFrame([] if fine_match is None else [(1, fine_match)], "match int, delay_s double")
+    r = delays.combined(rows, pairs, whole).first()
+    assert (r.ignored, r.delay_ms, r.reason) == expected
+
+
+@pytest.mark.parametrize(
+    "second,third,expected",
+    [
+        ({0: [0, 0], 1: [0, 0]}, {}, (40, 2)),
+        ({0: [0, 300]}, {}, (None, 2)),
+        ({0: [20, 20]}, {0: [0, 0]}, (60, 3)),
+        ({0: [20, 20]}, {0: [100, 100]}, (60, 3)),  # small and sure
+        ({0: [20, 20]}, {0: [300, 300]}, (None, 3)),
+        ({0: [20, 20]}, {}, (None, 3)),  # not measured
+        ({0: [0, 0], 9: [500, 0]}, {}, (40, 2)),  # pair 9 is ignored
+    ],
+)
+def test_rechecked_delays(spark, second, third, expected):
+    start = spark.createDataFrame([(1, [9], 40), (2, [], None)], "match int, ignored array<int>, delay_ms long")
+    made = lambda x: spark.createDataFrame([(1, p, i, 0.95, d) for p in x for i, d in enumerate(x[p])], DELAY)
+    rows = delays.rechecked(start, made(second), made(third)).collect()
+    assert [(r.match, r.delay_ms, r.test) for r in rows] == [(1, *expected)]
+
+
+def test_fine_delays(spark):
+    rows = [(1, 0, 0, 0.1), (1, 0, 1, 0.1), (1, 1, 0, 0.12), (2, 0, 0, 0.0), (2, 0, 1, 0.5), (3, 0, 0, 0.2), (3, 0, 1, 0.9), (3, 0, 2, 0.2), (4, 0, 0, 0.0), (4, 1, 0, 0.4)]
+    df = spark.createDataFrame(rows, "match int, pair int, segment int, delay_s double")
+    got = {r.match: (r.delay_s and round(r.delay_s, 6), r.reason) for r in delays.fine_delay(df).collect()}
+    assert got == {1: (round((0.1 + 0.1 + 0.12) / 3, 6), None), 2: (None, "a pair varies"), 3: (round(1.3 / 3, 6), None), 4: (None, "pairs vary")}
+    long = spark.createDataFrame([(1, 0.3), (4, 0.3)], "match int, delay_s double")
+    assert {r.match: r.delay_s for r in delays.fine_delay(df, long).collect()}[1] == 0.3

@@ -16,11 +16,16 @@ def listing(table: DataFrame, by: str) -> DataFrame:
     return table.orderBy(F.asc(by))
 
 
-def lookup(table: DataFrame, by: str, **equal) -> DataFrame:
-    """The first row by `by` with the given values."""
+def matching(table: DataFrame, **equal) -> DataFrame:
+    """All rows with the given values."""
     for column, value in equal.items():
         table = table.where(F.col(column) == F.lit(value))
-    return table.orderBy(by).limit(1)
+    return table
+
+
+def lookup(table: DataFrame, by: str, **equal) -> DataFrame:
+    """The first row by `by` with the given values."""
+    return matching(table, **equal).orderBy(by).limit(1)
 
 
 def validated(table: DataFrame, defaults: dict[str, object], least: dict[str, float], needed: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklake.functions.scalars import grid_begin, grid_length
+from tracklake.operators.selection import dominant
 from tracklake.operators.tracks import tree_delays
 from tracklake.sources.tables import cut
 
@@ -37,6 +38,14 @@ def cliques(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("grp", F.explode(made).alias("_c")).select("grp", F.explode("_c").alias("member"), F.col("_c")[0].alias("clique"))
 
 
+def best_per_clique(tracks: DataFrame, pairs: DataFrame, rule_text: str) -> DataFrame:
+    """Adds clique and keep to tracks (grp, member, format, channels, rate, bitrate): of the tracks of a merge's language
+    that sound alike (a clique of `cliques`) the dominated ones go; a track alone in its clique stays."""
+    at = tracks.join(cliques(tracks.select("grp", "member"), pairs), ["grp", "member"])
+    one = at.withColumn("_key", F.concat_ws("/", "grp", "clique"))
+    return dominant(one, "_key", "member", rule_text).drop("_key")
+
+
 def star(files: DataFrame, compared: DataFrame) -> DataFrame:
     """A forced winner against all others of its merge: grp, winner, loser, compatible.
 

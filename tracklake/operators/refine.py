@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.operators.cuts import COHERENT, LOW
+from tracklake.operators.cuts import COHERENT, LOW, bad_ranges
 
 # Fixed values in seconds: least length of a range, and what a spliced track takes before and after a cut.
 LEAST, LEAD, OVERLAP, SKIP, TAIL, NEAR = 0.5, 0.5, 0.05, 0.01, 5.0, 0.005
@@ -70,6 +70,17 @@ def verdict(segments: DataFrame, ranges: DataFrame, group: str) -> DataFrame:
     return both.select(group, "mean_fidelity", "cuts", reason.isNotNull().alias("incompatible"), reason.alias("reason"))
 
 
+def run(segments: DataFrame, evidence: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """The whole way from measured segments to a verdict: refined ranges of each recording, and its verdict.
+
+    segments: group, segment, fidelity, offsets. evidence: group, begin (segment a bad range begins at), and what is known
+    of it: begin_s, end_s, fps_main, fps_target, gap_begin, gap_end, scene_s, lag_s; a range without evidence stays open.
+    """
+    found = bad_ranges(segments, group).select(group, "begin", "end")
+    ranges = refined(found.join(evidence, [group, "begin"], "left"))
+    return ranges, verdict(segments, ranges, group)
+
+
 def pieces(cuts: DataFrame) -> DataFrame:
     """What a spliced track is made of: piece 0 ends just after the cut's start, piece 1 follows its end.
 

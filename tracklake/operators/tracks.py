@@ -55,6 +55,12 @@ def most_common(members: DataFrame, group: str, item: str) -> DataFrame:
     return members.groupBy(item).agg(F.countDistinct(group).alias("groups")).orderBy(F.desc("groups"), item).limit(1)
 
 
+def needed_language(members: DataFrame, group: str, item: str) -> DataFrame:
+    """The same, but an error where no item is in two groups."""
+    best = most_common(members, group, item)
+    return best.where(F.when(F.col("groups") < 2, F.raise_error(F.lit("no language in common"))).otherwise(F.lit(True)).cast("boolean"))
+
+
 def keep_first(tracks: DataFrame, hash_: Column, order: str) -> DataFrame:
     """Adds keep: the first of each hash by the order; an empty hash is never a duplicate."""
     first = tracks.withColumn("_h", F.nullif(hash_, F.lit("")))
@@ -62,6 +68,12 @@ def keep_first(tracks: DataFrame, hash_: Column, order: str) -> DataFrame:
     return first.join(least, "_h", "left").withColumn("keep", F.col("_h").isNull() | (F.col(order) == F.col("_first"))).drop("_h", "_first")
 
 
+def hashed(tracks: DataFrame, what: dict[str, Column]) -> DataFrame:
+    """Adds hash, the MD5 of what counts for a track's kind; null for kinds without an entry or content."""
+    value = F.coalesce(*(F.when(F.col("kind") == kind, c) for kind, c in what.items()))
+    return tracks.withColumn("hash", F.md5(value))
+
+
 def signatures(members: DataFrame, owner: str, hash_: Column) -> DataFrame:
     """Owners with equal sets of hashes: signature, representative (the smallest owner) and members."""
     own = members.groupBy(owner).agg(F.array_join(F.array_sort(F.collect_set(hash_)), "").alias("signature"))
@@ -102,6 +114,17 @@ def in_stages(tracks: DataFrame, group: str, stages: list[Column], most: int) ->
     return out.withColumns({"_n": total, "_b": before}).where((F.col("stage") == len(stages)) | (F.col("_n") - F.col("_b") <= most)).drop("_n", "_b")
 
 
+def subtitle_key(language: Column, role: Column, class_: Column) -> Column:
+    """What subtitles are put out by, as text: language, role and class. role: as of `subtitle_role`; class: as of `codec_class`."""
+    part = F.when(role == "plain", "_aa").otherwise(F.concat(F.lit("_"), role))
+    return F.concat(language, part, F.when(class_ == "picture", "_uncodable").when(class_ == "plain", "_srt").otherwise("_all"))
+
+
+def audio_key(language: Column, role: Column) -> Column:
+    """What sound is put out by: the language, with a mark for comments and for descriptions of the picture."""
+    return F.concat(language, F.when(role == "commentary", "_com").when(role == "audiodesc", "_visuali").otherwise(""))
+
+
 def output_order(tracks: DataFrame, group: str, key: Column, order: str) -> DataFrame:
     """Adds place: tracks of a group by their key, then in the order they came."""
     return tracks.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(key, order)).cast("long"))

@@ -435,3 +435,74 @@ def overlap_save_blocks(spark, d):
     blocks = numbered(rows.join(some, "file", "left_semi"), ["file"], "vec_id", "block").withColumn("block", F.col("block") - 1)
     two = blocks.where("block < 2").groupBy("file").agg(F.flatten(F.array_sort(F.collect_list(F.struct("block", "samples")))["samples"]).alias("x"))
     return signals.lag_by_blocks(blocks, two.select("file", F.slice("x", 41, 48).alias("y")), 64).select("file", "lag")
+
+
+# ---- catalog changes, keys and remaining functions
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey, 'new', p_size FROM part WHERE p_partkey % 3 = 0")
+def catalog_insert(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    return catalog.insert(part.where("p_partkey % 3 > 0"), part.withColumn("p_name", F.lit("new")), ["p_partkey"])
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'changed' ELSE p_name END AS p_name, CASE WHEN p_partkey % 8 = 0 THEN 0 ELSE p_size END::INTEGER AS p_size FROM part")
+def catalog_update(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_name", F.col("p_size").cast("int").alias("p_size"))
+    changes = part.where("p_partkey % 4 = 0").select("p_partkey", F.lit("changed").alias("p_name"), F.when(F.col("p_partkey") % 8 == 0, 0).cast("int").alias("p_size"))
+    return catalog.update(part, changes, ["p_partkey"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)")
+def catalog_by_key(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    first = orders.agg(F.min("o_custkey").alias("c")).first().c
+    return catalog.matching(orders, o_custkey=first)
+
+
+@query("SELECT event_id, CASE WHEN t >= 0 THEN t // 1000 END AS second, CASE WHEN t >= 0 THEN t % 1000 END AS ms FROM (SELECT event_id, event_id % 120 * 1000 + event_id % 90001 - 45000 AS t FROM events)")
+def begin_with_delay(spark, d):
+    e = F.col("event_id")
+    second, ms = scalars.shifted_begin(e % 120, e % 90001 - 45000)
+    return table(spark, d, "events").select(e, second.alias("second"), ms.alias("ms"))
+
+
+@query("SELECT event_id, CAST(greatest(1, ceil(abs(log2(r)))) AS INTEGER) AS steps, round(r ** (1 / greatest(1, ceil(abs(log2(r))))), 9) AS factor FROM (SELECT event_id, 0.1::DOUBLE + event_id % 97 / 10.0::DOUBLE AS r FROM events)")
+def tempo_factors(spark, d):
+    chain = scalars.tempo_chain(F.lit(0.1) + (F.col("event_id") % 97) / 10.0)
+    return table(spark, d, "events").select("event_id", F.size(chain).alias("steps"), F.round(chain[0], 9).alias("factor"))
+
+
+@query("SELECT conv_id, turn, role AS kind, CASE WHEN role = 'system' THEN NULL ELSE substr(md5(text), 1, 16) END AS short_hash FROM conversations")
+def track_hashes(spark, d):
+    return tracks.hashed(table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("kind"), F.col("text").alias("content")), {"user": F.col("content"), "assistant": F.col("content")}).select("conv_id", "turn", "kind", F.substring("hash", 1, 16).alias("short_hash"))
+
+
+@query("""SELECT p_partkey, l || CASE WHEN p_size % 4 = 0 THEN '_forced' WHEN p_size % 4 = 1 THEN '_hearing' WHEN p_size % 4 = 2 THEN '_dubtitle' ELSE '_aa' END || CASE p_partkey % 3 WHEN 0 THEN '_uncodable' WHEN 1 THEN '_srt' ELSE '_all' END AS subtitle_key, l || CASE p_size % 3 WHEN 0 THEN '_com' WHEN 1 THEN '_visuali' ELSE '' END AS audio_key FROM (SELECT *, ['en', 'fr'][p_partkey % 2 + 1] AS l FROM part)""")
+def output_keys(spark, d):
+    size, k = F.col("p_size"), F.col("p_partkey")
+    language = F.when(k % 2 == 0, "en").otherwise("fr")
+    role = F.when(size % 4 == 0, "forced").when(size % 4 == 1, "hearing").when(size % 4 == 2, "dubtitle").otherwise("plain")
+    class_ = F.when(k % 3 == 0, "picture").when(k % 3 == 1, "plain").otherwise("styled")
+    sound = F.when(size % 3 == 0, "commentary").when(size % 3 == 1, "audiodesc").otherwise("main")
+    return table(spark, d, "part").select(k, tracks.subtitle_key(language, role, class_).alias("subtitle_key"), tracks.audio_key(language, sound).alias("audio_key"))
+
+
+@query()
+def clique_winners(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("long").alias("member"), F.element_at(F.array(*map(F.lit, ("flac", "ac3", "mp3", "dts"))), (F.col("l_partkey") % 4 + 1).cast("int")).alias("format"), (F.col("l_suppkey") % 3 + 1).cast("double").alias("channels"), F.lit(48000).alias("rate"), F.col("l_extendedprice").alias("bitrate"))
+    both = lines.select("grp", F.col("member").alias("i")).distinct().join(lines.select("grp", F.col("member").alias("j")).distinct(), "grp").where("i < j and (i + j + grp) % 2 = 0")
+    return merging.best_per_clique(lines, both, RULE_TEXT)
+
+
+@query("""WITH rows AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS segment, 0.8 + (event_id % 21) / 100.0::DOUBLE AS fidelity, CASE WHEN event_id % 17 = 0 THEN 2 ELSE 1 END AS offsets FROM events),
+lim AS (SELECT user_id, least(greatest(avg(fidelity) - 0.75 * (max(fidelity) - min(fidelity)), 0.85), 0.95) AS lim, min(segment) AS lo, max(segment) AS hi, avg(fidelity) AS mean, bool_and(offsets > 1) AS torn FROM rows GROUP BY user_id),
+marked AS (SELECT *, fidelity < lim OR offsets > 1 AS bad FROM rows JOIN lim USING (user_id)), islands AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY segment) AS island FROM marked),
+r AS (SELECT user_id, greatest(min(segment) - 1, min(lo)) AS b FROM islands WHERE bad GROUP BY user_id, island), c AS (SELECT user_id, count(*) AS cuts, count_if(b % 7 = 0) AS open, var_pop(CASE WHEN b % 7 > 0 THEN b % 3 * 0.1 END) AS spread FROM r GROUP BY user_id)
+SELECT user_id, round(mean, 6) AS mean_fidelity, coalesce(cuts, 0) AS cuts, CASE WHEN coalesce(cuts, 0) = 0 THEN NULL WHEN torn AND NOT coalesce(spread <= 0.12, false) THEN 'conflicting offsets' WHEN open > 0 THEN 'range not refined' WHEN mean < 0.85 THEN 'low fidelity' END AS reason FROM lim LEFT JOIN c USING (user_id)""")
+def cut_run(spark, d):
+    rows = numbered(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", "segment")
+    rows = rows.select("user_id", "segment", (F.lit(0.8) + (F.col("event_id") % 21) / 100.0).alias("fidelity"), F.when(F.col("event_id") % 17 == 0, 2).otherwise(1).alias("offsets"))
+    b = F.col("segment")
+    known = rows.where(b % 7 > 0).select("user_id", b.alias("begin"), (b * 10.0).alias("begin_s"), (b * 10.0 + 5).alias("end_s"), F.lit(None).cast("double").alias("fps_main"), F.lit(None).cast("double").alias("fps_target"), F.lit(None).cast("int").alias("gap_begin"), F.lit(None).cast("int").alias("gap_end"), F.lit(None).cast("array<double>").alias("scene_s"), (b % 3 * 0.1).alias("lag_s"))
+    return refine.run(rows, known, "user_id")[1].select("user_id", F.round("mean_fidelity", 6).alias("mean_fidelity"), "cuts", "reason")
