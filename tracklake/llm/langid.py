@@ -136,6 +136,18 @@ def predict(docs: DataFrame, profiles: list) -> DataFrame:
     return text_only(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, profiles: list) -> DataFrame:
+    """The documents (all their columns) whose text has a language."""
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # TOP n-grams a language
+
+    def run(batches):
+        for b in slices(batches):
+            names, _ = score([t or "" for t in b.column("text").to_pylist()], shared.value)
+            yield b.filter(pa.array([x != "und" for x in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
