@@ -129,6 +129,35 @@ def test_near_duplicates_of_copies_without_their_base(spark, monkeypatch, n, edi
     assert got == want
 
 
+def family(n, shared, own, planted, seed=1):
+    """n texts of one template: shared words of `shared`, and `own` words of each text's own; every two make a planted pair."""
+    r = random.Random(seed)
+    template = [f"t{i}" for i in range(shared + own)]
+    places = sorted(r.sample(range(shared + own), own))
+    made = []
+    for i in range(0, n, 2):
+        v = list(template)
+        for k in places:
+            v[k] = f"o{i}x{k}"
+        w = list(v)
+        for k in r.sample(range(len(w)), planted):
+            w[k] = f"p{i}x{k}"
+        made += [(i, " ".join(v)), (i + 1, " ".join(w))]
+    return made
+
+
+@pytest.mark.parametrize("dear", [near_dedup.DEAR, 10**12, 0])
+def test_near_duplicates_of_a_family(spark, dear, monkeypatch):
+    """Pairs planted in a template's family, under rare shingles and in blocks."""
+    monkeypatch.setattr(near_dedup, "DEAR", dear)
+    monkeypatch.setattr(near_dedup, "PLAIN", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    made = family(400, 200, 40, 3)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dedup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string").repartition(3), 3, 85).collect()}
+    want = components(made, 3, 85)
+    assert got == want and sum(k for *_, k in want.values()) == 200
+
+
 def test_small_runs_stay_whole(spark, monkeypatch):
     """Neither the batches nor the tasks of the sorted trees cut a run of four values that isn't a large one."""
     monkeypatch.setattr(near_dedup, "HELD", 50)
@@ -171,13 +200,24 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_suffix_dedup(docs, rows, hot, monkeypatch):
+@pytest.mark.parametrize("hot,many", [(4096, 64), (1, 64), (4096, 2), (3, 2)])
+def test_suffix_dedup(docs, rows, hot, many, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, many=many).collect()}
     assert got == removed(rows)
 
 
+def test_suffix_dedup_of_common_anchors(spark):
+    """Sixteen bytes that stand in nearly every text, in different company, dealt by anchor and by context."""
+    r = random.Random(12)
+    made = [(i, "".join(r.choice("xyz ") for _ in range(r.randrange(40, 60))) + "aaaaaaaaaaaaaaaa" + "".join(r.choice("xyz ") for _ in range(r.randrange(20, 60)))) for i in range(200)]
+    made += [(500 + i, "q" + made[i * 3][1][5:] + "w" * 20) for i in range(60)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    for many in (64, 8):
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix_dedup.remove_repeats(df, many=many).collect()}
+        assert got == removed(made)
+
+
 def test_suffix_order():
     r = np.random.default_rng(1)
     raw = r.integers(0, 2, (500, 56)).astype(np.uint8)
@@ -651,11 +691,26 @@ def test_sql(spark, name):
     same(entry.QUERIES[name](spark, SF), connect(SF), entry.ORACLE[name])
 
 
+def redacted(text, spans):
+    """The text with each span replaced; of overlapping ones the first by place, then the longest."""
+    out, at = "", 0
+    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if s >= at:
+            out += text[at:s] + f"[{kind.upper()}]"
+        at = max(at, e)
+        text = text[:at] + text[at:]
+    return out + text[at:]
+
+
 def test_pipeline_against_brute_force(spark, tmp_path, rows):
-    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    """Whole stages on odd, repeated and clashing rows, with a further column; of clashing rows the smallest text stays."""
+    clash = [(rows[0][0], "zz " + (rows[0][1] or "")), (9001, "one more text of some words here"), (9001, "another text of the same id, longer by far"), (9002, "call me at +49 170 5550 1234 or 0171 555 0134 or a.b@c.de, now")]
+    data = [(i, t, "en", "s", len(t or ""), True) for i, t in [*rows, *rows[:3], *clash[1:]]]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, kept boolean").repartition(3)
     (tmp_path / "sf").mkdir()
     df.write.parquet(f"{tmp_path}/sf/documents.parquet")
-    kept = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
+    once = dict(sorted(rows + clash[1:], key=lambda x: (x[0], x[1] or ""), reverse=True))
+    kept = [(i, t) for i, t in once.items() if any(c.isalpha() for c in t or "")]
     near = components(kept, 5, 80)
     kept = [(i, t) for i, t in kept if near[i][2]]
     cut = removed(kept)
@@ -665,10 +720,9 @@ def test_pipeline_against_brute_force(spark, tmp_path, rows):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path / "sf"))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    want = {i: t for i, t in kept}
-    found = {i: e for (i, _), (_, e) in zip(kept, pii.spans_of([t for _, t in kept], *model), strict=True)}
-    got = {r.doc_id: r.text for r in docs.collect()}
-    assert got.keys() == want.keys()
-    assert all(got[i] == want[i] for i in want if not found[i])
+    want = {i: redacted(t, every) for (i, t), (_, every) in zip(kept, pii.spans_of([t for _, t in kept], *model), strict=True)}
+    got = docs.collect()
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(want)
+    assert all(r.n_chars == len(r.text) for r in got) and want[9002] == "call me at [PHONE] or [PHONE] or [EMAIL], now"
     final = corpus_pipeline.run(spark, str(tmp_path / "sf"))
     assert {r.doc_id for r in final.select("doc_id").distinct().collect()} == set(want)
