@@ -5,8 +5,8 @@ scored by its negative rank, so that sentencepiece merges in the order of the ra
 is the identity. Texts are split into pre-tokens first; each distinct pre-token is encoded once per
 Python worker (a memo of two generations of about `MEMO` entries). Decoding maps ids back to bytes.
 
-Defined cases: a null text is empty and has no ids; texts of any length; repeated rows give equal
-results; extra columns are ignored.
+Defined cases: a null text is empty and has no ids; texts of any length; each piece has a rank of its own, so merges
+have no ties; repeated rows give equal results; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import hashlib
 import re
 import struct
 from functools import lru_cache
-from itertools import filterfalse
 
 import public_tokenizers
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from tracklake.llm.common import rows, slices, text_only
 
-MEMO = 120_000
+MEMO = 250_000
 # White space as the Unicode property has it, which the pattern's \s stands for.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
 # A byte's character: letters from U+0100 on, none of which sentencepiece treats apart.
@@ -81,22 +80,6 @@ def serialise(tokens: list[bytes]) -> bytes:
     return bytes(out + _field(3, 2, normalizer))
 
 
-def recall(own, split: list[list[str]], learn, most: int) -> None:
-    """Brings all pre-tokens of split into own.memo: from the generation before, or by learn."""
-    if len(own.memo) > most:
-        own.old, own.memo = own.memo, {}
-    memo, old = own.memo, own.old
-    new: set[str] = set()
-    for parts in split:
-        new.update(filterfalse(memo.__contains__, parts))
-    if old:
-        again = [p for p in new if p in old]
-        memo.update((p, old[p]) for p in again)
-        new.difference_update(again)
-    if new:
-        learn(list(new))
-
-
 class Codec:
     """Encodes pre-tokens to ids joined by spaces, and back."""
 
@@ -126,9 +109,26 @@ class Codec:
     def encode(self, texts: list[str], split) -> list[str]:
         """Each text's ids, joined by spaces; split: gives a text's pre-tokens."""
         parts = [split(t) for t in texts]
-        recall(self, parts, self.learn, MEMO)
-        get = self.memo.__getitem__
-        return [" ".join(map(get, p)) for p in parts]
+        every = [p for some in parts for p in some]
+        if len(self.memo) > MEMO:
+            self.old, self.memo = self.memo, {}
+        found = list(map(self.memo.get, every))  # each pre-token is looked up once; those not known are learned together
+        if None in found:
+            where = [i for i, x in enumerate(found) if x is None]
+            new = {every[i] for i in where}
+            if self.old:
+                again = {p: self.old[p] for p in new if p in self.old}
+                self.memo.update(again)
+                new.difference_update(again)
+            if new:
+                self.learn(list(new))
+            for i in where:
+                found[i] = self.memo[every[i]]
+        out, at = [], 0
+        for some in parts:
+            out.append(" ".join(found[at : at + len(some)]))
+            at += len(some)
+        return out
 
     def decode(self, ids: str) -> bytes:
         of = self.bytes_of
