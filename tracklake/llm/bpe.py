@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from tracklake.llm.common import rows, slices, text_only
 
-MEMO = 250_000
+MEMO = 120_000
 # White space as the Unicode property has it, which the pattern's \s stands for.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
 # A byte's character: letters from U+0100 on, none of which sentencepiece treats apart.

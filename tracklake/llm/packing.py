@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 
 from tracklake.llm.common import U, blocks_for, cut, mix, rows, slices, text_only
 
-WINDOW, END, BLOCK, MEMO, FLUID = 2048, 1, 8192, 600_000, 8
+WINDOW, END, BLOCK, MEMO, FLUID = 2048, 1, 8192, 400_000, 8
 # The tokenizer's own split of lower-cased texts without UNSURE characters (of these, three digits and three fractions are
 # the only numbers beyond 0-9).
 SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\t-\r\x20\x85\xa0]|_)+")
@@ -136,6 +136,7 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
                     out.append((doc, s // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
                     kept.append(part if cut_it and len(part) < 4 * WINDOW else None)
             yield rows(schema, *np.array(out, dtype=np.int64).T, kept)
+        own.old = {}  # the worker lives on for other stages; what they need is memory
 
     return text_only(docs).mapInArrow(run, PIECES + ", ids binary")
 
