@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS, PIECES, SAMPLE = 32, 64, 20_000
+SALTS, PIECES, SAMPLE, HOT = 32, 64, 20_000, 4096
 
 
 def looked_up(rows: DataFrame, key: str, other: str, table: DataFrame) -> DataFrame:
@@ -16,6 +16,20 @@ def looked_up(rows: DataFrame, key: str, other: str, table: DataFrame) -> DataFr
     return salted.join(slots, [key, "_salt"]).drop("_salt")
 
 
+def looked_up_by_size(rows: DataFrame, key: str, table: DataFrame, size: str) -> DataFrame:
+    """rows joined with table by key, where table has one row a key and column `size` says how many rows have it.
+
+    Keys with more than a HOT-th of all rows, so fewer than HOT keys, are broadcast and their rows stay where they are;
+    no other key can fill a task.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    big = F.coalesce(F.col(size) * HOT > total, F.lit(False))
+    hot, names = table.where(big), [c for c in table.columns if c != key]
+    own = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True)).withColumnsRenamed({c: f"_h_{c}" for c in names})), key, "left")
+    back = {f"_h_{c}": c for c in names}
+    return own.where("_hot").drop("_hot").withColumnsRenamed(back).unionByName(own.where("_hot is null").select(*rows.columns).join(table.where(~big), key))
+
+
 def borders(df: DataFrame, order: str) -> list:
     """At most PIECES - 1 values that cut the column into pieces of about equal size; from a bounded sample, which
     settles only how the work is dealt."""
