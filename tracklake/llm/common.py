@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.operators.spread import looked_up  # noqa: F401  (used by the operators)
+from tracklake.operators.spread import looked_up, looked_up_by_size  # noqa: F401  (used by the operators)
 from tracklake.sources.tables import cut  # noqa: F401
 
 SLICE = 1 << 20

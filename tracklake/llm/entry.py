@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import ann, bpe, langid, media, near_dedup, packing, pii, resample, suffix_dedup, url_rules
+from tracklake.llm import ann, bpe, exact_dedup, langid, media, near_dedup, packing, pii, resample, suffix_dedup, url_rules
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -60,7 +60,12 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_packing, op3_pii, op4_bpe, op5_suffix_dedup, op6_media, op7_ann, op8_language, op9_near_dedup, op10_resample)}
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
+EVERY = (op1_url_rules, op2_packing, op3_pii, op4_bpe, op5_suffix_dedup, op6_media, op7_ann, op8_language, op9_near_dedup, op10_resample, op13_exact_dedup)
+QUERIES = {f.__name__: f for f in EVERY}
 ORACLE = {
     "op9_near_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w)),
@@ -78,4 +83,6 @@ r AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM (SELECT *, sum(CASE WHEN
 k AS (SELECT doc_id, substr(h, 2 * coalesce(lag(e) OVER o, 0) + 1, 2 * (s - coalesce(lag(e) OVER o, 0))) AS before, s, e FROM r JOIN h USING (doc_id) WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
 j AS (SELECT doc_id, string_agg(before, '' ORDER BY s) AS head, max(e) AS e, CAST(sum(e - s) AS BIGINT) AS removed, count(*) AS spans FROM k GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * e + 1), h))) AS kept_sha256 FROM h LEFT JOIN j USING (doc_id)""",
+    "op13_exact_dedup": r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256 FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)""",
 }
