@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import ann, bpe, exact_dedup, langid, media, near_dedup, packing, pii, resample, suffix_dedup, url_rules
+from tracklake.llm import ann, bpe, codes, exact_dedup, langid, media, near_dedup, packing, pii, resample, suffix_dedup, url_rules
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -60,13 +60,39 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.summary(table(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
 
 
-EVERY = (op1_url_rules, op2_packing, op3_pii, op4_bpe, op5_suffix_dedup, op6_media, op7_ann, op8_language, op9_near_dedup, op10_resample, op13_exact_dedup)
+EVERY = (op1_url_rules, op2_packing, op3_pii, op4_bpe, op5_suffix_dedup, op6_media, op7_ann, op8_language, op9_near_dedup, op10_resample, op12_vector_codes, op13_exact_dedup)
 QUERIES = {f.__name__: f for f in EVERY}
+
+
+def _codes_sql() -> str:
+    """Six rounds as chained CTEs: a (part, nearest entry) of the vectors under codebook c, then the next codebook."""
+    gap = "list_sum(list_transform(list_zip(p.x, c.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    near = "a{0} AS MATERIALIZED (SELECT r, part, x, arg_min(c.entry, {1} * 16 + c.entry) AS entry, min({1})::BIGINT AS gap FROM p JOIN c{0} c USING (part) GROUP BY r, part, x)"
+    new = """s{0} AS (SELECT part, entry, pos, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM a{0}) GROUP BY ALL),
+m{0} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS y FROM s{0} GROUP BY ALL),
+c{1} AS MATERIALIZED (SELECT part, entry, coalesce(m.y, c.y) AS y FROM c{0} c LEFT JOIN m{0} m USING (part, entry))"""
+    steps = [near.format(i, gap) + ",\n" + new.format(i, i + 1) for i in range(6)]
+    return f"""WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda v: floor(4096 * v::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+p AS MATERIALIZED (SELECT r, part, x[part * (len(x) // 8) + 1 : (part + 1) * (len(x) // 8)] AS x FROM k, range(8) AS t(part)),
+c0 AS MATERIALIZED (SELECT part, r AS entry, x AS y FROM p WHERE r < 16),
+{", ".join(steps)},
+{near.format(6, gap)},
+h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) AS h FROM c6),
+e AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(gap)::BIGINT AS error FROM a6 GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM e JOIN k USING (r), h"""
+
+
 ORACLE = {
+    "op12_vector_codes": _codes_sql(),
     "op9_near_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
