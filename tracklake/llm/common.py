@@ -97,11 +97,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+, A-Z lower-cased, and each word's text number."""
+def words(data: np.ndarray, at: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, A-Z lower-cased, and each word's text number; `outside` says which bytes are in no word."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    inside = ~SPACE[data]
+    inside = ~outside[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
