@@ -1,5 +1,8 @@
 """Operators on small hand-made rows: golden cases, properties and edge cases."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -502,3 +505,135 @@ def test_fine_delays(spark):
     assert got == {1: (round((0.1 + 0.1 + 0.12) / 3, 6), None), 2: (None, "a pair varies"), 3: (round(1.3 / 3, 6), None), 4: (None, "pairs vary")}
     long = spark.createDataFrame([(1, 0.3), (4, 0.3)], "match int, delay_s double")
     assert {r.match: r.delay_s for r in delays.fine_delay(df, long).collect()}[1] == 0.3
+
+
+def budget_model(rows, most, keep, try_):
+    """The pruning of one merge as a sequence of steps over lists: rows of (language, ord, title, hearing, class, md5)."""
+    live, seen = {}, set()
+    for row in sorted(rows, key=lambda r: (r[0], r[1])):
+        if row[5] == "" or row[5] not in seen:
+            live[row[:2]] = row
+            seen.add(row[5])
+    n, groups, languages = len(live), {}, sorted({r[0] for r in rows})
+
+    def kind(r):
+        title = (r[2] or "").lower()
+        return "hearing" if r[3] or "sdh" in title or "(cc)" in title or title in ("cc", "hi") else "dubbed" if "dubtitle" in title else None if "forced" in title else "plain"
+
+    def group(language, of):
+        for r in [r for r in sorted(live.values()) if r[0] == language and r[4] != "picture"]:
+            if of(r):
+                mark = {"forced": "forced", "hearing": "sdh", "dubbed": "dubtitle"}.get(of(r))
+                low = (r[2] or "").lower()
+                bare = "" if mark == "sdh" and low in ("cc", "hi") else re.sub(rf"\s*\(?{mark}\)?\s*", "", low).strip() if mark else (r[2] or "").strip()
+                groups.setdefault((language, of(r), bare), {"plain": [], "styled": []})[r[4]].append(r)
+
+    def take(some):
+        nonlocal n
+        n -= len(some)
+        for r in some:
+            live.pop(r[:2], None)
+
+    def texts(language, of):
+        for (l, k, _), g in groups.items():
+            if l == language and k == of:
+                take(g["plain"] if g["styled"] else g["plain"][1:])
+
+    def one_styled(language):
+        for of in ("forced", "hearing", "dubbed", "plain"):
+            if n > most:
+                for (l, k, _), g in groups.items():
+                    if l == language and k == of:
+                        take(g["styled"][1:])
+
+    kinds = ("hearing", "dubbed", "plain")
+    others = [x for x in languages if x not in keep + try_]
+
+    def careful(names):
+        for x in names:
+            if n > most:
+                group(x, kind)
+                for k in kinds:
+                    if n > most:
+                        texts(x, k)
+
+    if n > most:
+        for x in languages:
+            group(x, lambda r: "forced" if "forced" in (r[2] or "").lower() else None)
+        for x in languages:
+            texts(x, "forced")
+    if n > most:
+        for x in others:
+            group(x, kind)
+            for k in kinds:
+                texts(x, k)
+    careful(try_)
+    for x in others:
+        one_styled(x)
+    careful(keep)
+    for x in others:
+        for r in [r for r in sorted(live.values()) if r[0] == x]:
+            if n > most:
+                take([r])
+    for x in try_:
+        one_styled(x)
+    return set(live)
+
+
+def test_budget_follows_the_sequence(spark):
+    """Tracks that are forced and hearing at once: what the first stage takes doesn't count in the groups of later ones."""
+    r = random.Random(4)
+    titles = ["Forced", "sdh forced x", "forced x", "forced (sdh)", "x", "y", "x (dubtitle)", "sdh x", None, "cc"]
+    merges = {g: sorted({(l, o): (l, o, r.choice(titles), r.random() < 0.2, r.choice(["plain", "plain", "styled", "styled", "picture"]), r.choice(["", "", "", f"m{r.randrange(9)}"])) for o in range(r.randrange(1, 16)) for l in [r.choice(["en", "fr", "de", "it"])]}.values()) for g in range(160)}
+    merges[999] = [("de", 0, "sdhx forced", False, "styled", ""), ("de", 1, "sdh forced x", False, "plain", ""), ("de", 2, "forced x", True, "plain", "")]
+    limit = {g: 1 if g == 999 else g % 6 for g in merges}
+    rows = [(g, *t, True, limit[g]) for g, ts in merges.items() for t in ts]
+    df = spark.createDataFrame(rows, "grp int, language string, ord long, title string, hearing boolean, class string, md5 string, keep boolean, most int")
+    none = spark.createDataFrame([], "language string, group int, title string")
+    kept = {(x.grp, x.language, x.ord) for x in subtitles.pruned(df, F.col("most"), none, ["en"], ["fr"]).where("keep").collect()}
+    for g, ts in merges.items():
+        assert {k[1:] for k in kept if k[0] == g} == budget_model(ts, limit[g], ["en"], ["fr"]), (g, limit[g], ts)
+    assert {k[1:] for k in kept if k[0] == 999} == {("de", 2)}
+
+
+def test_a_factor_that_is_there_stays():
+    found = rules.parse("a*1.1>b,b*1>a,a*2>b")
+    assert found["a", "b"] == 1.1 and found["b", "a"] == 1.0
+
+
+def test_needed_letters():
+    cases = {"click_E([0-9]+)": "click_E", "(?:click|view)_E([0-9]+)": "_E", "a|b": "", "ab?cd": "cd", "ab*": "a", "abc+d": "abc", "x{0,2}yz": "yz", "x{2}yz": "yz", r"a\.mkv$": "a.mkv", r"\d+abc": "abc", "[abc]de[^]x]fgh": "fgh", "(?i)abc": "", "^start.*end": "start", "": "", r"a\(b\)c": "a(b)c", "(ab)c(?P<episode>[0-9]+)def": "def"}
+    for pattern, want in cases.items():
+        assert routing.needed(pattern) == want, pattern
+    r = random.Random(2)
+    for _ in range(3000):
+        pattern = "".join(r.choice(["a", "b", "c", "(a|b)", "[ab]", "a?", "b*", "c+", "a{2}", "(?:bc)?", ".", r"\.", "x|"[:1]]) for _ in range(r.randrange(1, 7)))
+        for _ in range(20):
+            text = "".join(r.choice("abc.x") for _ in range(r.randrange(0, 9)))
+            m = re.search(pattern, text)
+            assert not m or routing.needed(pattern) in text, (pattern, text)
+
+
+def test_many_rules_by_index(spark):
+    """10,000 rules in one pass: as plain search in order, and a plan that doesn't grow with their number."""
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 7))) for _ in range(2500)]
+    patterns = sorted({f"{w}_E([0-9]+)" for w in words} | {f"(?:{w}|{v})-{i}" for i, (w, v) in enumerate(zip(words, words[1:], strict=False))} | {f"{w}.*x{i % 50}" for i, w in enumerate(words)} | {f"^{w[:2]}" for w in words[:40]} | {f"z{i}q" for i in range(3500)})
+    rs = [(p, i % 90, None, i * 7 % 23) for i, p in enumerate(patterns)]
+    names = [(i, r.choice([f"{r.choice(words)}_E{i}", f"{r.choice(words)}-{i % 2500}", f"{r.choice(words)} x{i % 50}", "hot_E1", None, "ab", f"z{i}q"])) for i in range(600)]
+    rdf = spark.createDataFrame(rs, "regex_pattern string, folder_id int, rename_pattern string, weight int")
+    ndf = spark.createDataFrame(names, "id long, nom string")
+    order = sorted(rs, key=lambda x: (-x[3], x[0]))
+    compiled = [(re.compile(x[0]), x[0]) for x in order]
+    want = {}
+    for i, nom in names:
+        if nom is not None:
+            hit = next((p for c, p in compiled if c.search(nom)), None)
+            if hit:
+                want[i] = hit
+    found = routing.first_match(ndf, rdf)
+    assert {x.id: x.regex_pattern for x in found.collect()} == want
+    plan = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    half = routing.first_match(ndf, rdf.where("weight < 11"))
+    assert abs(plan(found) - plan(half)) < 0.2 * plan(found)
+    assert {x.id for x in routing.conflicts(ndf, rdf).collect()} == set(want)

@@ -2,20 +2,97 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklake.functions.scalars import episode_text, java_pattern, renamed, valid_episode
-from tracklake.operators.spread import numbered
+from tracklake.operators.spread import looked_up, looked_up_by_size, numbered
 
 BLOCK = 200  # rules tried in one pass over the names
+GRAM = 3  # letters of a piece of a name in the index of rules
+INDEXED = 100_000  # rules whose index is broadcast; a larger one is met by a dealt join
+
+
+def needed(pattern: str) -> str:
+    """The longest text that every match of a pattern holds for certain; empty where none is sure.
+
+    Only plain letters of the outermost sequence count: groups, classes, and what a quantifier may leave out end a run;
+    a choice on the outermost level, or flags inside the pattern, leave nothing sure.
+    """
+    runs, run, depth, i = [], "", 0, 0
+    if "(?" in pattern and re.search(r"\(\?[a-zA-Z-]+[:)]", pattern):
+        return ""
+    while i < len(pattern):
+        c, wide, plain = pattern[i], 1, False
+        if c == "\\":
+            wide, plain = 2, i + 1 < len(pattern) and not pattern[i + 1].isalnum()
+            c = pattern[i + 1 : i + 2]
+        elif c == "[":
+            end = pattern.find("]", i + (3 if pattern[i + 1 : i + 2] == "^" else 2))
+            wide = (end if end > 0 else len(pattern)) - i + 1
+        elif c == "|" and not depth:
+            return ""
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        else:
+            plain = c not in ".^$*+?{}|"
+        i += wide
+        again = re.match(r"[*+?]|\{(\d*),?\d*\}", pattern[i:])
+        if again:
+            i += again.end()
+            lazy = re.match(r"[?+]", pattern[i:])
+            i += lazy.end() if lazy else 0
+        sure = plain and not depth and (not again or again[0] == "+" or bool(again[1]) and int(again[1]) > 0)
+        run = run + c if sure else ""
+        runs.append(run)
+        if again:
+            run = ""
+    return max(runs, key=len, default="")
+
+
+def tried(names: DataFrame, some: list[Row], rules: DataFrame) -> DataFrame:
+    """The first of a block of rules that each name matches: its number is found once, the rule is joined by it."""
+    first = F.coalesce(*(F.when(F.col("nom").rlike(java_pattern(r.regex_pattern)), F.lit(i)) for i, r in enumerate(some, 1)))
+    numbered_ = names.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(some, 1)], T.StructType([T.StructField("_first", T.IntegerType()), *rules.schema.fields]))
+    return names.withColumn("_first", first).join(F.broadcast(numbered_), "_first").drop("_first")  # at most BLOCK rules
+
+
+def gram_index(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rules under the rarest GRAM letters of what they need (adds gram), and the rules that need less than that."""
+    known = rules.withColumn("_needed", F.udf(lambda p: needed(p), "string")("regex_pattern"))  # once a rule
+    short = F.length("_needed") < GRAM
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_needed") - GRAM + 1), lambda i: F.substring("_needed", i, GRAM)))
+    every = known.where(~short).select("regex_pattern", F.explode(grams).alias("gram")).distinct()
+    best = every.join(every.groupBy("gram").agg(F.count("*").alias("_n")), "gram").groupBy("regex_pattern").agg(F.min_by("gram", F.struct("_n", "gram")).alias("gram"))
+    return rules.join(best, "regex_pattern").select(*rules.columns, "gram"), known.where(short).drop("_needed")
+
+
+def found_by_index(names: DataFrame, rules: DataFrame, by_weight: bool) -> DataFrame:
+    """As first_match, for any number of rules: each distinct name tries those that need letters which it has.
+
+    Rules that need too little are tried by blocks, each a pass over the distinct names.
+    """
+    noms = names.where("nom is not null").groupBy("nom").agg(F.count("*").alias("_times"))
+    index, short = gram_index(rules)
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("nom") - GRAM + 1), lambda i: F.substring("nom", i, GRAM)))
+    asked = noms.where(F.length("nom") >= GRAM).select("nom", F.explode(pieces).alias("gram"))
+    met = asked.join(F.broadcast(index), "gram") if index.count() <= INDEXED else looked_up(asked, "gram", "nom", index)
+    sure = met.where(F.rlike("nom", F.regexp_replace("regex_pattern", r"\(\?P<", "(?<"))).select("nom", *rules.columns)
+    order = [F.desc("weight"), F.col("regex_pattern")] if by_weight else [F.col("regex_pattern")]
+    for some in blocks(short, *order):
+        sure = sure.unionByName(tried(noms.select("nom"), some, rules))
+    place = F.struct(*([-F.col("weight")] if by_weight else []), F.col("regex_pattern"))
+    best = sure.groupBy("nom").agg(F.min_by(F.struct(*rules.columns), place).alias("_rule")).join(noms, "nom")
+    return looked_up_by_size(names, "nom", best, "_times").select(*names.columns, "_rule.*")
 
 
 def blocks(rules: DataFrame, *order: Column) -> Iterator[list[Row]]:
-    """The rules with a pattern in order, BLOCK of them at a time; only one block is held at once."""
-    ordered, at = rules.where("regex_pattern is not null").orderBy(*order), 0
+    """The rules in order, BLOCK of them at a time; only one block is held at once."""
+    ordered, at = rules.orderBy(*order), 0
     while some := ordered.offset(at).limit(BLOCK).collect():
         yield some
         if len(some) < BLOCK:
@@ -27,18 +104,15 @@ def first_match(names: DataFrame, rules: DataFrame, by_weight: bool = True) -> D
     """Each name with the heaviest rule whose pattern it matches (ties by pattern); names without one drop out.
 
     names: nom and others. rules: regex_pattern, folder_id, rename_pattern, weight; by_weight: false takes the rules in
-    the order of their patterns alone. The patterns of a block are literals of one projection, so each is compiled once
-    and no name is shuffled; names that a block leaves go on to the next one.
+    the order of their patterns alone. Up to BLOCK rules are literals of one projection, so each is compiled once and no
+    name is shuffled; more of them are found by an index of what they need.
     """
     order = [F.desc("weight"), F.col("regex_pattern")] if by_weight else [F.col("regex_pattern")]
-    out, left = None, names
-    for some in blocks(rules, *order):
-        first = F.coalesce(*(F.when(F.col("nom").rlike(java_pattern(r.regex_pattern)), F.lit(i)) for i, r in enumerate(some, 1)))
-        table = F.array(*(F.struct(*(F.lit(r[c]).cast(t).alias(c) for c, t in rules.dtypes)) for r in some))
-        seen = left.withColumn("_first", first)
-        found = seen.where("_first is not null").withColumn("_rule", F.element_at(table, F.col("_first"))).select(*names.columns, "_rule.*")
-        out, left = found if out is None else out.unionByName(found), seen.where("_first is null").drop("_first")
-    return names.crossJoin(rules).limit(0) if out is None else out
+    rules = rules.where("regex_pattern is not null")
+    some = rules.orderBy(*order).limit(BLOCK + 1).collect()
+    if not some:
+        return names.crossJoin(rules).limit(0)
+    return tried(names, some, rules) if len(some) <= BLOCK else found_by_index(names, rules, by_weight)
 
 
 def with_episode(routed: DataFrame) -> DataFrame:
@@ -55,11 +129,8 @@ def with_target(episodes: DataFrame, folders: DataFrame, step: int = 0) -> DataF
 
 def conflicts(samples: DataFrame, rules: DataFrame) -> DataFrame:
     """Samples (id, nom) that some stored rule matches already."""
-    out, left = samples.limit(0), samples
-    for some in blocks(rules, F.col("regex_pattern")):
-        hit = F.coalesce(*(F.when(F.col("nom").rlike(java_pattern(r.regex_pattern)), True) for r in some), F.lit(False))
-        out, left = out.unionByName(left.where(hit)), left.where(~hit)
-    return out
+    pattern = rules.select("regex_pattern").distinct()
+    return first_match(samples, pattern, by_weight=False).select(*samples.columns)
 
 
 def by_weight(episodes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ better one too. Members joined by `=` have no relation, whatever else gave them
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 ALWAYS = True
@@ -49,8 +50,8 @@ def relate(found: dict, strong: str, weak: str, by: bool | float) -> None:
     back = found.get((weak, strong))
     if (strong, weak) not in found and back is None:
         found[strong, weak], found[weak, strong] = by, False
-    elif isinstance(back, float) and back >= 1 and by >= 1:
-        found[strong, weak] = by
+    elif found.get((strong, weak)) is False and isinstance(back, float) and back >= 1 and by >= 1:
+        found[strong, weak] = by  # only what the other direction had ruled out; a factor that is there stays
 
 
 def inherit(found: dict, best: str, weak: str, seen: set[str]) -> None:
@@ -67,6 +68,17 @@ def relation(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "winner string, loser string, unconditional boolean, factor double")
 
 
+def relations(texts: DataFrame) -> DataFrame:
+    """key, winner, loser, unconditional and factor of the rules of each row (key, text); a null text has none."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(k, w, v, by is True, None if by is True else float(by)) for k, t in zip(b["key"], b["text"], strict=True) for (w, v), by in sorted(parse(t or "").items()) if by is not False]
+            yield pd.DataFrame(rows, columns=["key", "winner", "loser", "unconditional", "factor"])
+
+    return texts.select("key", "text").mapInPandas(run, f"key {texts.schema['key'].dataType.simpleString()}, winner string, loser string, unconditional boolean, factor double")
+
+
 def compare(rules: dict, challenger: tuple[str, float], base: tuple[str, float]) -> int:
     """1 if the challenger's rate times its factor is above the base's, 0 if below, 2 where both are good."""
     by = rules.get((challenger[0].lower(), base[0].lower()))

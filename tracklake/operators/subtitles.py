@@ -88,8 +88,9 @@ def pruned(tracks: DataFrame, most: Column, synonyms: DataFrame, keep_languages:
     one in the group of their title, else all but the first; 2 the same for all others of languages not listed; 3 for each
     language to try, hearing, then dubbed, then the rest; 4 for languages not listed one styled track a group, forced,
     hearing, dubbed, the rest; 5 as 3 for the languages to keep; 6 the other tracks of languages not listed, one by one;
-    7 as 4 for the languages to try. Each track has one earliest step, so how many tracks the steps before it take is a
-    running count, and a step is taken while the rest is over the budget.
+    7 as 4 for the languages to try. Groups of steps 2, 3 and 5 are made of what step 1 leaves. A styled track that is forced
+    and of another kind too stands in two groups of step 4 or 7 and counts as taken in both, as the original counts it.
+    Steps only take, so those that are run are the first ones: a merge has a last one, and tracks up to it go.
     """
     t = first_of_hash(tracks)
     forced, heard, dubbed = is_forced(F.col("title")), is_hearing(F.col("title"), F.col("hearing")), is_dubbed(F.col("title"))
@@ -99,35 +100,39 @@ def pruned(tracks: DataFrame, most: Column, synonyms: DataFrame, keep_languages:
     listed = F.when(F.col("language").isin(*keep_languages), "keep").when(F.col("language").isin(*try_languages), "try").otherwise("no")
     rank = F.coalesce(*(F.when(F.col("language") == x, F.lit(i)) for names in (try_languages, keep_languages) for i, x in enumerate(names)), F.lit(0))
 
-    def place(kind: Column, group: str, class_: str) -> tuple[Column, Column]:
-        """Place of a kept track of a class among those of its kind and group, and whether a styled one is there."""
-        own = F.when(F.col("keep") & (F.col("class") == class_) & kind.isNotNull(), F.col("ord"))
+    def place(kind: Column, group: str, class_: str, live: Column) -> tuple[Column, Column]:
+        """Place of a live track of a class among those of its kind and group, and whether a styled one is there."""
+        own = F.when(live & (F.col("class") == class_) & kind.isNotNull(), F.col("ord"))
         w = Window.partitionBy("grp", "language", group, kind)
         some = F.count(F.when(F.col("keep") & (F.col("class") == "styled"), 1)).over(w) > 0
         return F.when(own.isNotNull(), F.row_number().over(w.orderBy(own.isNull().cast("int"), own))), some
 
     f, k = F.when(F.col("_forced"), F.lit(1)), F.col("_kind")
-    names = ["_fp", "_fs", "_kp", "_ks", "_fa", "_ka"]
-    values = [*place(f, "_fgroup", "plain"), *place(k, "_group", "plain"), place(f, "_fgroup", "styled")[0], place(k, "_group", "styled")[0]]
-    t = t.withColumns({"_listed": listed, "_rank": rank, **dict(zip(names, values, strict=True))})
     goes = lambda at, styled: at.isNotNull() & (styled | (at > 1))
+    t = t.withColumns({"_listed": listed, "_rank": rank, "_first": F.coalesce(goes(*place(f, "_fgroup", "plain", F.col("keep"))), F.lit(False))})
+    left = F.col("keep") & ~F.col("_first")
+    values = [goes(*place(k, "_group", "plain", left)), place(f, "_fgroup", "styled", left)[0] > 1, place(k, "_group", "styled", left)[0] > 1]
+    t = t.withColumns({n: F.coalesce(v, F.lit(False)) for n, v in zip(("_plain", "_extra_forced", "_extra"), values, strict=True)})
     step = lambda n, language, kind: F.struct(F.lit(n).alias("stage"), language.cast("string").alias("language"), kind.cast("long").alias("part"))
     none = F.lit("")
     padded = F.lpad(F.col("_rank").cast("string"), 6, "0")
-    plain, extra = goes(F.col("_kp"), F.col("_ks")), F.least(F.when(F.col("_fa") > 1, 1), F.when(F.col("_ka") > 1, k))
-    ways = [
-        F.when(goes(F.col("_fp"), F.col("_fs")), step(1, none, F.lit(0))),
-        F.when(plain & (F.col("_listed") == "no"), step(2, none, F.lit(0))),
-        F.when(plain & (F.col("_listed") == "try"), step(3, padded, k)),
-        F.when(extra.isNotNull() & (F.col("_listed") == "no"), step(4, F.col("language"), extra)),
-        F.when(plain & (F.col("_listed") == "keep"), step(5, padded, k)),
-        F.when(F.col("_listed") == "no", step(6, F.col("language"), F.col("ord"))),
-        F.when(extra.isNotNull() & (F.col("_listed") == "try"), step(7, padded, extra)),
-    ]
-    t = t.withColumn("step", F.when(F.col("keep"), F.coalesce(*ways)))
-    w = Window.partitionBy("grp")
-    total = F.count_if("keep").over(w)
-    before = F.coalesce(F.count("step").over(w.orderBy("step").rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) - F.count("step").over(Window.partitionBy("grp", "step"))
-    t = t.withColumns({"_total": total, "_before": before})
-    gone = F.col("step").isNotNull() & (F.col("_total") - F.col("_before") > most)
-    return t.withColumn("keep", F.col("keep") & ~gone).select(*tracks.columns, "step")
+    plain, extra = F.col("_plain"), F.col("_extra_forced") | F.col("_extra")
+    both = lambda n, language: F.filter(F.array(F.when(F.col("_extra_forced"), step(n, language, F.lit(1))), F.when(F.col("_extra"), step(n, language, k))), lambda x: x.isNotNull())
+    steps = (
+        F.when(~F.col("keep"), F.array().cast("array<struct<stage:int,language:string,part:bigint>>"))
+        .when(F.col("_first"), F.array(step(1, none, F.lit(0))))
+        .when(plain & (F.col("_listed") == "no"), F.array(step(2, none, F.lit(0))))
+        .when(plain & (F.col("_listed") == "try"), F.array(step(3, padded, k)))
+        .when(extra & (F.col("_listed") == "no"), both(4, F.col("language")))
+        .when(plain & (F.col("_listed") == "keep"), F.array(step(5, padded, k)))
+        .when(F.col("_listed") == "no", F.array(step(6, F.col("language"), F.col("ord"))))
+        .when(extra & (F.col("_listed") == "try"), both(7, padded))
+    )
+    t = t.withColumn("_steps", steps).withColumn("step", F.array_min("_steps"))
+    total = t.groupBy("grp").agg(F.count_if("keep").alias("_total"), F.max(most).alias("_most"))
+    taken = t.select("grp", F.explode("_steps").alias("_step")).groupBy("grp", "_step").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("grp").orderBy("_step")) - F.col("_n")
+    run = taken.withColumn("_before", before).join(total, "grp").where(F.col("_total") - F.col("_before") > F.col("_most"))
+    last = run.groupBy(F.col("grp").alias("_grp")).agg(F.max("_step").alias("_last"))
+    t = t.join(last, F.col("grp").eqNullSafe(F.col("_grp")), "left")
+    return t.withColumn("keep", F.col("keep") & ~F.coalesce(F.col("step") <= F.col("_last"), F.lit(False))).select(*tracks.columns, "step")

@@ -199,13 +199,17 @@ a AS (SELECT *, keep AND NOT (md5 <> '' AND row_number() OVER (PARTITION BY grp,
 b AS (SELECT *, CASE WHEN he THEN 2 WHEN du THEN 3 WHEN NOT fo THEN 4 END AS kind, trim(regexp_replace(lower(coalesce(title, '')), '\s*\(?forced\)?\s*', '')) AS ft, trim(CASE WHEN he THEN CASE WHEN contains(lower(title), 'sdh') THEN regexp_replace(lower(title), '\s*\(?sdh\)?\s*', '') WHEN contains(lower(title), '(cc)') THEN regexp_replace(lower(title), '\s*\(cc\)\s*', '') WHEN lower(title) IN ('hi', 'cc') THEN '' ELSE lower(coalesce(title, '')) END
  WHEN du THEN regexp_replace(lower(title), '\s*\(?dubtitle\)?\s*', '') ELSE coalesce(title, '') END) AS tt FROM a),
 c AS (SELECT *, coalesce('#' || (SELECT min(g) FROM y WHERE y.language = b.language AND t = ft), '=' || ft) AS fg, coalesce('#' || (SELECT min(g) FROM y WHERE y.language = b.language AND t = tt), '=' || tt) AS tg FROM b),
-e AS (SELECT *, CASE WHEN k AND fo AND class = 'plain' THEN row_number() OVER (PARTITION BY grp, language, fg, k, fo, class ORDER BY ord) END AS fp, count_if(k AND class = 'styled') OVER (PARTITION BY grp, language, fg, fo) > 0 AS fs, CASE WHEN k AND kind IS NOT NULL AND class = 'plain' THEN row_number() OVER (PARTITION BY grp, language, tg, kind, k, class ORDER BY ord) END AS kp,
+e AS (SELECT *, CASE WHEN k AND fo AND class = 'plain' THEN row_number() OVER (PARTITION BY grp, language, fg, k, fo, class ORDER BY ord) END AS fp, count_if(k AND class = 'styled') OVER (PARTITION BY grp, language, fg, fo) > 0 AS fs,
  count_if(k AND class = 'styled') OVER (PARTITION BY grp, language, tg, kind) > 0 AS ks, CASE WHEN k AND fo AND class = 'styled' THEN row_number() OVER (PARTITION BY grp, language, fg, k, fo, class ORDER BY ord) END AS fa, CASE WHEN k AND kind IS NOT NULL AND class = 'styled' THEN row_number() OVER (PARTITION BY grp, language, tg, kind, k, class ORDER BY ord) END AS ka,
  CASE language WHEN 'en' THEN 'keep' WHEN 'fr' THEN 'try' ELSE 'no' END AS li FROM c),
-f AS (SELECT *, least(CASE WHEN fa > 1 THEN 1 END, CASE WHEN ka > 1 THEN kind END) AS ex, kp IS NOT NULL AND (ks OR kp > 1) AS pl FROM e),
-g AS (SELECT *, CASE WHEN NOT k THEN NULL WHEN fp IS NOT NULL AND (fs OR fp > 1) THEN 100000000 WHEN pl AND li = 'no' THEN 200000000 WHEN pl AND li = 'try' THEN 300000000 + kind WHEN ex IS NOT NULL AND li = 'no' THEN 400000000 + ascii(language) * 10000 + ex WHEN pl AND li = 'keep' THEN 500000000 + kind WHEN li = 'no' THEN 600000000 + ascii(language) * 10000 + ord WHEN ex IS NOT NULL AND li = 'try' THEN 700000000 + ex END AS step FROM f),
-h AS (SELECT *, count_if(k) OVER (PARTITION BY grp) - count(CASE WHEN step IS NOT NULL THEN 1 END) OVER (PARTITION BY grp ORDER BY step NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + count(step) OVER (PARTITION BY grp, step) AS rest FROM g)
-SELECT grp, ord, k AND NOT (step IS NOT NULL AND rest > 2) AS keep, CAST(step // 100000000 AS INTEGER) AS stage FROM h""")
+e1 AS (SELECT *, k AND coalesce(fp IS NOT NULL AND (fs OR fp > 1), false) AS one FROM e), e2 AS (SELECT *, k AND NOT one AS live FROM e1),
+e3 AS (SELECT *, CASE WHEN live AND kind IS NOT NULL AND class = 'plain' THEN row_number() OVER (PARTITION BY grp, language, tg, kind, live, class ORDER BY ord) END AS kp FROM e2),
+f AS (SELECT *, coalesce(fa > 1, false) AS xf, coalesce(ka > 1, false) AS xk, kp IS NOT NULL AND (ks OR kp > 1) AS pl FROM e3),
+g AS (SELECT *, CASE WHEN NOT k THEN [] WHEN one THEN [100000000] WHEN pl AND li = 'no' THEN [200000000] WHEN pl AND li = 'try' THEN [300000000 + kind] WHEN (xf OR xk) AND li = 'no' THEN list_filter([CASE WHEN xf THEN 400000001 + ascii(language) * 10000 END, CASE WHEN xk THEN 400000000 + ascii(language) * 10000 + kind END], lambda v: v IS NOT NULL)
+ WHEN pl AND li = 'keep' THEN [500000000 + kind] WHEN li = 'no' THEN [600000000 + ascii(language) * 10000 + ord] WHEN (xf OR xk) AND li = 'try' THEN list_filter([CASE WHEN xf THEN 700000001 END, CASE WHEN xk THEN 700000000 + kind END], lambda v: v IS NOT NULL) ELSE [] END AS steps FROM f),
+h AS (SELECT grp, step, sum(count(*)) OVER (PARTITION BY grp ORDER BY step) - count(*) AS before FROM (SELECT grp, unnest(steps) AS step FROM g) GROUP BY grp, step),
+n AS (SELECT grp, count_if(k) AS total FROM g GROUP BY grp), l AS (SELECT grp, max(step) AS last FROM h JOIN n USING (grp) WHERE total - before > 2 GROUP BY grp)
+SELECT grp, ord, k AND NOT coalesce(list_min(steps) <= last, false) AS keep, CAST(list_min(steps) // 100000000 AS INTEGER) AS stage FROM g LEFT JOIN l USING (grp)""")
 def subtitle_budget(spark, d):
     known = spark.createDataFrame(SYNONYMS, "language string, group int, title string")
     return subtitles.pruned(subs(spark, d), F.lit(2), known, ["en"], ["fr"]).select("grp", "ord", "keep", F.col("step.stage").alias("stage"))

@@ -94,6 +94,24 @@ def episode_winners(spark, d):
     return routing.winners(episodes(spark, d).where("episode is not null"))
 
 
+PERSON_RULES_SQL = """r AS (SELECT regex_pattern, max(folder_id) AS folder_id, max(weight) AS weight FROM (SELECT '_U' || user_id || '_E([0-9]+)' AS regex_pattern, CAST(user_id % 50 AS INTEGER) AS folder_id, CAST(user_id % 7 AS INTEGER) AS weight FROM events
+  UNION ALL SELECT event_type || '_U[0-9]*' || (user_id % 100) || '_', 60, 3 FROM events WHERE user_id % 10 = 3 UNION ALL SELECT '^.{' || (9 + user_id % 9) || '}[13579]_E', 61, CAST(user_id % 9 - 6 AS INTEGER) FROM events WHERE user_id % 11 = 0) GROUP BY regex_pattern),
+q AS (SELECT DISTINCT event_type || '_U' || user_id || '_E' || (event_id % 30) AS nom FROM events)"""
+
+
+@query(f"""WITH {PERSON_RULES_SQL}, b AS (SELECT nom, arg_min(r, {{'w': -weight, 'p': regex_pattern}}) AS r FROM q JOIN r ON regexp_matches(nom, regex_pattern) GROUP BY nom)
+SELECT event_id AS id, nom, r.regex_pattern AS regex_pattern, r.folder_id AS folder_id, r.weight AS weight FROM (SELECT event_id, event_type || '_U' || user_id || '_E' || (event_id % 30) AS nom FROM events) JOIN b USING (nom)""")
+def route_many_rules(spark, d):
+    """Rules of every person, more than are tried one by one: found by the letters that they need."""
+    e, u = table(spark, d, "events"), F.col("user_id")
+    rule = lambda where, pattern, folder, weight: e.where(where).select(pattern.alias("regex_pattern"), folder.cast("int").alias("folder_id"), weight.cast("int").alias("weight"))
+    rules_ = rule("true", F.concat(F.lit("_U"), u.cast("string"), F.lit("_E([0-9]+)")), u % 50, u % 7)
+    rules_ = rules_.union(rule("user_id % 10 = 3", F.concat("event_type", F.lit("_U[0-9]*"), (u % 100).cast("string"), F.lit("_")), F.lit(60), F.lit(3)))
+    rules_ = rules_.union(rule("user_id % 11 = 0", F.concat(F.lit("^.{"), (9 + u % 9).cast("string"), F.lit("}[13579]_E")), F.lit(61), u % 9 - 6))
+    noms = e.select(F.col("event_id").alias("id"), F.concat("event_type", F.lit("_U"), u.cast("string"), F.lit("_E"), (F.col("event_id") % 30).cast("string")).alias("nom"))
+    return routing.first_match(noms, cut(rules_.groupBy("regex_pattern").agg(F.max("folder_id").alias("folder_id"), F.max("weight").alias("weight"))))
+
+
 @query("SELECT p_partkey, p_brand FROM part WHERE p_brand LIKE '%#_3%'")
 def catalog_search_like(spark, d):
     return catalog.like(table(spark, d, "part"), "p_brand", "#_3").select("p_partkey", "p_brand")
@@ -373,6 +391,18 @@ def rules_relation(spark, d):
     return out.withColumn("factor", F.round("factor", 9))
 
 
+@query("""WITH l AS (SELECT conv_id AS key, turn AS n, 't' || turn AS f, CASE WHEN length(text) % 3 > 0 THEN length(text) % 3 * 0.75 END::DOUBLE AS by FROM conversations),
+p AS (SELECT a.key, a.f AS winner, b.f AS loser, bool_or(c.by IS NULL) AS unconditional, product(c.by) AS product FROM l a JOIN l b ON a.key = b.key AND a.n < b.n JOIN l c ON c.key = a.key AND c.n >= a.n AND c.n < b.n GROUP BY ALL)
+SELECT key, winner, loser, unconditional, round(CASE WHEN NOT unconditional THEN product END, 9) AS factor FROM p""")
+def rules_of_turns(spark, d):
+    """The turns of each conversation as a chain of formats, some with a factor, some without."""
+    q = F.length("text") % 3
+    level = F.concat(F.lit("t"), F.col("turn").cast("string"), F.when(q > 0, F.concat(F.lit("*"), (q * 0.75).cast("string"))).otherwise(""))
+    chain = F.transform(F.array_sort(F.collect_list(F.struct("turn", level.alias("level")))), lambda x: x["level"])
+    texts = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("key")).agg(F.array_join(chain, ">").alias("text"))
+    return rules.relations(texts).withColumn("factor", F.round("factor", 9))
+
+
 @query()
 def audio_dominance(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(F.array(*map(F.lit, ("flac", "ac3", "mp3", "dts"))), (F.col("l_partkey") % 4 + 1).cast("int")).alias("format"), (F.col("l_suppkey") % 3 + 1).cast("double").alias("channels"), F.lit(48000).alias("rate"), F.col("l_extendedprice").alias("bitrate"))
