@@ -6,6 +6,9 @@ over documents. Slices hold at most `limit` bytes of text (or one longer text).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,8 +32,20 @@ def text_only(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: Python workers live on, idle, while other stages need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, column: str = "text", limit: int = SLICE):
-    """Slices of the batches with at most `limit` bytes in `column` each."""
+    """Slices of the batches with at most `limit` bytes in `column` each; after the last one freed memory is given back."""
+    yield from _slices(batches, column, limit)
+    give_back()
+
+
+def _slices(batches, column: str, limit: int):
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
