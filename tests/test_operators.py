@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracklake.functions import scalars, signals
-from tracklake.operators import catalog, cuts, delays, merging, routing, rules, selection, spread, subtitles, tracks
+from tracklake.operators import catalog, correlation, cuts, delays, merging, routing, rules, selection, spread, subtitles, tracks
 from tracklake.sources import metadata
 from tracklake.streaming.episodes import EpisodeState, watch
 
@@ -637,3 +637,65 @@ def test_many_rules_by_index(spark):
     half = routing.first_match(ndf, rdf.where("weight < 11"))
     assert abs(plan(found) - plan(half)) < 0.2 * plan(found)
     assert {x.id for x in routing.conflicts(ndf, rdf).collect()} == set(want)
+
+
+def as_blocks(spark, signals_, width, kind):
+    rows = [(k, i // width, x[i : i + width].tolist()) for k, x in signals_.items() for i in range(0, len(x), width)]
+    return spark.createDataFrame(rows, f"key string, block long, values array<{kind}>").repartition(3)
+
+
+def test_whole_span_in_blocks(spark):
+    """Fingerprints of one to many blocks against every offset tried by itself."""
+    r = np.random.default_rng(8)
+    words = {k: r.integers(0, 1 << 32, n) for k, n in (("long", 900), ("short", 40), ("none", 20), ("edge", 64), ("same", 130))}
+    other = {"long": np.concatenate([r.integers(0, 1 << 32, 77), words["long"][:500]]), "short": words["short"][3:], "none": words["none"], "edge": r.integers(0, 1 << 32, 200), "same": words["same"]}
+    want = {}
+    for k, x in words.items():
+        y, span = other[k], min(len(x), len(other[k])) - 32
+        best = None
+        for o in range(-span, span + 1):
+            a, b = (x[o:], y) if o > 0 else (x, y[-o:])
+            n = min(len(a), len(b))
+            if n >= 32:
+                corr = sum(32 - int(v).bit_count() for v in (a[:n] ^ b[:n]).tolist()) / n / 32
+                if best is None or corr > best[0] + 1e-15:
+                    best = corr, o
+        if best:
+            want[k] = best
+    for width in (64, 1 << 16):
+        got = {x.key: (x.corr, x.offset) for x in correlation.similarity(as_blocks(spark, words, width, "long"), as_blocks(spark, other, width, "long"), 32, width).collect()}
+        assert got.keys() == want.keys()
+        for k in want:
+            assert got[k] == (pytest.approx(want[k][0]), want[k][1]), k
+
+
+def test_two_long_signals_in_blocks(spark):
+    """The second signal may have many blocks too; both ways of the chooser agree with the whole transform."""
+    r = np.random.default_rng(3)
+    left = {f"k{i}": r.normal(size=n) for i, n in enumerate((700, 30, 500, 64, 1))}
+    right = {"k0": left["k0"][123:], "k1": left["k1"], "k2": np.concatenate([r.normal(size=210), left["k2"][:300]]), "k3": r.normal(size=400), "k4": r.normal(size=3)}
+    want = {}
+    for k, x in left.items():
+        at, n = signals.peak(x, right[k])
+        want[k] = at if at < len(x) else at - n
+    a, b = as_blocks(spark, left, 64, "double"), as_blocks(spark, right, 64, "double")
+    assert {x.key: x.lag for x in correlation.lag(a, b, 64).collect()} == want
+    both = correlation.chosen_lag(a, b, 18.0 * 256, 64).collect()
+    assert {x.key: x.lag for x in both} == want and {x.strategy for x in both} == {"full", "blocks"}
+
+
+def test_running_over_pieces(spark, monkeypatch):
+    """One group with most rows: shared out by pieces, equal to plain running values."""
+    r = random.Random(3)
+    rows = [("hot" if i % 3 else f"g{i % 7}", i, r.random(), r.randrange(3)) for i in range(4000)] + [(None, i, 0.5, i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, o long, f double, v int").repartition(5)
+    got = spread.running(df, ["g"], "o", sums={"total": F.col("v")}, lags={"last": F.col("v")}, mins={"worst": F.col("f")}).collect()
+    state = {}
+    want = set()
+    for g, o, f, v in sorted(rows, key=lambda x: x[1]):
+        total, last, worst = state.get(g, (0, None, None))
+        want.add((g, o, total + v, last, worst))
+        state[g] = total + v, v, f if worst is None else min(worst, f)
+    assert {(x.g, x.o, x.total, x.last, x.worst) for x in got} == want
+    pieces = spread.borders(df, "o")
+    assert len(pieces) > 50  # the hot group is in as many windows

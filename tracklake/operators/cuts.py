@@ -16,11 +16,10 @@ def bad_ranges(rows: DataFrame, group: str) -> DataFrame:
 
     rows: group, segment, fidelity, offsets.
     """
-    limit = rows.groupBy(group).agg(F.least(F.greatest(F.avg("fidelity") - 0.75 * (F.max("fidelity") - F.min("fidelity")), F.lit(LOW)), F.lit(HIGH)).alias("limit"), F.min("segment").alias("least"), F.max("segment").alias("most"))
-    w = Window.partitionBy(group).orderBy("segment")
-    marked = rows.join(limit, group).withColumn("bad", (F.col("fidelity") < F.col("limit")) | (F.col("offsets") > 1))
-    marked = marked.withColumn("island", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(w))
-    return marked.where("bad").groupBy(group, "island").agg(F.greatest(F.min("segment") - 1, F.first("least")).alias("begin"), F.least(F.max("segment") + 1, F.first("most")).alias("end"), F.count("*").alias("segments")).drop("island")
+    limit = rows.groupBy(group).agg(F.least(F.greatest(F.avg("fidelity") - 0.75 * (F.max("fidelity") - F.min("fidelity")), F.lit(LOW)), F.lit(HIGH)).alias("limit"), F.min("segment").alias("least"), F.max("segment").alias("most"), F.count("*").alias("_rows"))
+    marked = spread.looked_up_by_size(rows, group, limit, "_rows").withColumn("bad", (F.col("fidelity") < F.col("limit")) | (F.col("offsets") > 1))
+    marked = spread.running(marked, [group], "segment", sums={"island": F.when(F.col("bad"), 0).otherwise(1)}, cuts=spread.borders(rows, "segment"))
+    return marked.where("bad").groupBy(group, "island").agg(F.greatest(F.min("segment") - 1, F.min("least")).alias("begin"), F.least(F.max("segment") + 1, F.min("most")).alias("end"), F.count("*").alias("segments")).drop("island")
 
 
 def drift(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions.scalars import bit_similarity
+from tracklake.operators.spread import borders, running
+from tracklake.sources.tables import cut
 
 # Fixed values of the decision rules: milliseconds, seconds and shares.
 LEAST_OVERLAP = 32
@@ -60,22 +62,27 @@ def best_offset(curves: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def summary(rows: DataFrame, keys: tuple[str, ...] = ("pair",)) -> DataFrame:
-    """One row a pair (keys): distinct delays, mean fidelity, ends, bad share, changes and the longest run."""
-    w = Window.partitionBy(*keys).orderBy("segment")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    seen = rows.withColumns({"last": F.lag("delay_ms").over(w), "worst": F.min("fidelity").over(before), "first": F.first("delay_ms").over(w)})
+    """One row a pair (keys): distinct delays, mean fidelity, ends, bad share, changes and the longest run.
+
+    What depends on the order comes from summaries of its pieces (`spread.running`), so a pair may have any number of rows.
+    """
+    rows = cut(rows.select(*keys, "segment", "fidelity", "delay_ms"))
+    cuts = borders(rows, "segment")
+    seen = running(rows, list(keys), "segment", lags={"last": F.col("delay_ms")}, mins={"worst": F.col("fidelity")}, cuts=cuts)
     seen = seen.withColumns({"changed": F.coalesce((F.col("delay_ms") != F.col("last")).cast("long"), F.lit(0)), "weak": F.coalesce(F.least("fidelity", "worst") < GOOD, F.lit(False))})
-    seen = seen.withColumn("run", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = cut(running(seen, list(keys), "segment", sums={"run": F.col("changed")}, cuts=cuts))
     runs = seen.groupBy(*keys, "run").agg(F.min("delay_ms").alias("d"), F.count("*").alias("n"))
     runs = runs.groupBy(*keys).agg(F.max_by("d", F.struct("n", -F.col("run"))).alias("majority"))
+    # the delay seen first is that of the head; all rows but its good ones are bad
+    kinds = rows.groupBy(*keys, "delay_ms").agg(F.count_if(F.col("fidelity") >= SEGMENT_GOOD).alias("_good"), F.min("segment").alias("_at"))
+    kinds = kinds.groupBy(*keys).agg(F.count("delay_ms").alias("distinct"), F.min_by("_good", "_at").alias("_good"))
     out = seen.groupBy(*keys).agg(
         F.count("*").alias("n"), F.sum("fidelity").alias("sum_fidelity"),
-        F.countDistinct("delay_ms").alias("distinct"), F.min("delay_ms").alias("low"), F.max("delay_ms").alias("high"), F.avg("fidelity").alias("mean_fidelity"),
+        F.min("delay_ms").alias("low"), F.max("delay_ms").alias("high"), F.avg("fidelity").alias("mean_fidelity"),
         F.min_by("delay_ms", "segment").alias("head"), F.max_by("delay_ms", "segment").alias("tail"),
-        F.avg(((F.col("delay_ms") != F.col("first")) | (F.col("fidelity") < SEGMENT_GOOD)).cast("double")).alias("bad_share"),
         F.sum(((F.col("changed") == 1) & F.col("weak")).cast("long")).alias("changes"),
         F.max((F.col("fidelity") > GOOD).cast("long")).alias("any_good"), F.max((F.col("fidelity") < BAD).cast("long")).alias("any_bad"))
-    return out.join(runs, list(keys))
+    return out.join(kinds, list(keys)).withColumn("bad_share", 1 - F.col("_good") / F.col("n")).drop("_good").join(runs, list(keys))
 
 
 def stage_one(rows: DataFrame, keys: tuple[str, ...] = ("pair",)) -> DataFrame:

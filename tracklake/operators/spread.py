@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS, PIECES, SAMPLE, HOT = 32, 64, 20_000, 4096
@@ -58,6 +58,34 @@ def numbered(df: DataFrame, group: list[str], order: str, name: str) -> DataFram
     return own.join(sizes, same).withColumn(name, F.col("_row") + F.col("_before")).select(*df.columns, name)
 
 
+def running(df: DataFrame, group: list[str], order: str, sums: dict[str, Column] | None = None, lags: dict[str, Column] | None = None, mins: dict[str, Column] | None = None, cuts: list | None = None) -> DataFrame:
+    """Adds values of what comes before each row in its group by the order, whatever the group's size.
+
+    sums: running sums up to the row; lags: the value of the row before; mins: the least value of all rows before. A group is
+    cut into pieces by ranges of the order. Each piece gives a summary (its sum, its last value, its least one), at most PIECES
+    a group; what the pieces before a piece add up to is joined to its rows. cuts: the borders of the pieces, if known.
+    """
+    sums, lags, mins = sums or {}, lags or {}, mins or {}
+    cuts = borders(df, order) if cuts is None else cuts
+    piece = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    w = Window.partitionBy(*group, "_piece").orderBy(order)
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    own = {f"_s_{k}": F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)) for k, v in sums.items()} | {f"_l_{k}": F.lag(v).over(w) for k, v in lags.items()} | {f"_m_{k}": F.min(v).over(past) for k, v in mins.items()}
+    dealt = df.withColumn("_piece", F.when(F.col(order).isNull(), -1).otherwise(piece))
+    rows = dealt.withColumns(own | {"_at": F.row_number().over(w)})
+    ends = [F.sum(v).alias(f"_s_{k}") for k, v in sums.items()] + [F.max_by(v, order).alias(f"_l_{k}") for k, v in lags.items()] + [F.min(v).alias(f"_m_{k}") for k, v in mins.items()]
+    p = Window.partitionBy(*group).orderBy("_piece")
+    before = p.rowsBetween(Window.unboundedPreceding, -1)
+    held = [F.sum(f"_s_{k}").over(before).alias(f"_bs_{k}") for k in sums] + [F.lag(f"_l_{k}").over(p).alias(f"_bl_{k}") for k in lags] + [F.min(f"_m_{k}").over(before).alias(f"_bm_{k}") for k in mins]
+    held = dealt.groupBy(*group, "_piece").agg(*ends).select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.col("_piece").alias("_p"), *held)
+    same = F.col("_p") == F.col("_piece")
+    for i, c in enumerate(group):
+        same &= F.col(f"_g{i}").eqNullSafe(F.col(c))
+    both = rows.join(held, same)
+    out = [(F.col(f"_s_{k}") + F.coalesce(f"_bs_{k}", F.lit(0))).alias(k) for k in sums] + [F.when(F.col("_at") == 1, F.col(f"_bl_{k}")).otherwise(F.col(f"_l_{k}")).alias(k) for k in lags] + [F.least(f"_m_{k}", f"_bm_{k}").alias(k) for k in mins]
+    return both.select(*df.columns, *out)
+
+
 def trailing_sum(df: DataFrame, group: str, order: str, value: str, width: int, name: str, length: int = 4096) -> DataFrame:
     """Adds the sum of a value over the last `width` rows of the group by the order, piece by piece of `length` rows.
 

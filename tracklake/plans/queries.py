@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions import scalars, signals
-from tracklake.operators import catalog, cuts, delays, routing, rules, selection, tracks
+from tracklake.operators import catalog, correlation, cuts, delays, routing, rules, selection, tracks
 from tracklake.operators.spread import numbered
 from tracklake.plans.registry import query
 from tracklake.sources.tables import cut, table
@@ -258,6 +258,32 @@ def cross_correlation_curve(spark, d):
     return delays.best_offset(delays.curve_by_word(s, follower, 4, 4), ["key"]).select("key", F.round("corr", 9).alias("corr"), "offset")
 
 
+@query(f"""WITH {SERIES_SQL}, n AS (SELECT user_id, count(*) AS n FROM series GROUP BY user_id),
+o AS (SELECT a.user_id, unnest(range(32 - least(a.n, b.n), least(a.n, b.n) - 31)) AS "offset" FROM n a JOIN n b ON b.user_id = a.user_id + 1),
+sums AS (SELECT a.user_id AS key, "offset", count(*) AS overlap, sum(32 - bit_count(xor(a.word, b.word))) AS same FROM o JOIN series a USING (user_id) JOIN series b ON b.user_id = a.user_id + 1 AND b.n = a.n - "offset" GROUP BY ALL)
+SELECT key, round(same / overlap::DOUBLE / 32, 9) AS corr, CAST("offset" AS INTEGER) AS "offset" FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY same / overlap::DOUBLE DESC, "offset") AS rn FROM sums WHERE overlap >= 32) WHERE rn = 1""")
+def whole_span_correlation(spark, d):
+    """Each user's events with the next user's, at every offset that lets 32 words overlap; blocks of 32 words, so that several meet."""
+    s = cut(series(spark, d))
+    left = correlation.blocks(s, "word", 32)
+    right = correlation.blocks(s.withColumn("key", F.col("key") - 1), "word", 32)
+    return correlation.similarity(left, right, delays.LEAST_OVERLAP, 32).withColumn("corr", F.round("corr", 9))
+
+
+@query("""WITH n AS (SELECT label AS key, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label HAVING count(*) > 20)
+SELECT key, CASE WHEN key % 3 = 0 THEN 'full' ELSE 'blocks' END AS strategy, CAST(CASE WHEN key % 3 = 0 THEN 37 ELSE (key % 7 - 3) * 97 END AS BIGINT) AS lag FROM n""")
+def long_lags(spark, d):
+    """Each label's vectors as one signal and the same from another sample on; every third label has only two vectors, which
+    fit into one transform. Blocks of 256 samples on both sides."""
+    rows = table(spark, d, "embeddings").where("label is not null").select(F.col("label").alias("key"), "vec_id", "embedding")
+    some = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 20").select("key")
+    v = numbered(rows.join(some, "key", "left_semi"), ["key"], "vec_id", "v").where("key % 3 > 0 or v <= 2")
+    samples = cut(v.select("key", "v", F.posexplode("embedding").alias("p", "value")).select("key", ((F.col("v") - 1) * 64 + F.col("p") + 1).alias("n"), "value"))
+    by = F.when(F.col("key") % 3 == 0, 37).otherwise((F.col("key") % 7 - 3) * 97)
+    cut_off = lambda sign: samples.withColumn("n", F.col("n") - F.greatest(F.lit(0), sign * by)).where("n > 0")
+    return correlation.chosen_lag(correlation.blocks(cut_off(-1), "value", 256), correlation.blocks(cut_off(1), "value", 256), 18.0 * 512, 256)
+
+
 def shifted_signals(spark: SparkSession, d: str) -> DataFrame:
     """Each vector, and itself without its first vec_id mod 16 samples: the lag to find."""
     return table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"), F.expr("slice(embedding, cast(vec_id % 16 as int) + 1, 64)").alias("y"))
@@ -325,7 +351,8 @@ avg(CASE WHEN delay_ms <> head1 OR fidelity < 0.85 THEN 1.0 ELSE 0.0 END) AS bad
 def measured(spark: SparkSession, d: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     delay = F.when(u % 4 == 0, F.lit(0)).when(u % 4 == 1, e % 2 * 125).when(u % 4 == 2, F.floor(e % 7 / 6) * 125).otherwise(e % 3 * 400).cast("long")
-    return table(spark, d, "events").select(u.alias("pair"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("segment"), (F.lit(0.6) + (e % 41) / 100.0).alias("fidelity"), delay.alias("delay_ms"))
+    rows = numbered(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", "segment")
+    return cut(rows.select(u.alias("pair"), F.col("segment").cast("int").alias("segment"), (F.lit(0.6) + (e % 41) / 100.0).alias("fidelity"), delay.alias("delay_ms")))
 
 
 @query(f"""WITH {MEASURED_SQL} SELECT pair, n_delays AS "distinct", round(mean, 9) AS mean_fidelity, round(bad, 9) AS bad_share,
@@ -360,8 +387,9 @@ lim AS (SELECT user_id, least(greatest(avg(fidelity) - 0.75 * (max(fidelity) - m
 marked AS (SELECT *, fidelity < lim OR offsets > 1 AS bad FROM rows JOIN lim USING (user_id)), islands AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY segment) AS island FROM marked)
 SELECT user_id, greatest(min(segment) - 1, min(lo)) AS "begin", least(max(segment) + 1, max(hi)) AS "end", count(*) AS segments FROM islands WHERE bad GROUP BY user_id, island""")
 def bad_ranges(spark, d):
-    rows = table(spark, d, "events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("segment"), (F.lit(0.8) + (F.col("event_id") % 21) / 100.0).alias("fidelity"), F.when(F.col("event_id") % 17 == 0, 2).otherwise(1).alias("offsets"))
-    return cuts.bad_ranges(rows, "user_id")
+    rows = numbered(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", "segment")
+    rows = rows.select("user_id", F.col("segment").cast("long").alias("segment"), (F.lit(0.8) + (F.col("event_id") % 21) / 100.0).alias("fidelity"), F.when(F.col("event_id") % 17 == 0, 2).otherwise(1).alias("offsets"))
+    return cuts.bad_ranges(cut(rows), "user_id")
 
 
 @query("""WITH s AS (SELECT user_id, event_id::DOUBLE / 1000 AS x, value AS y FROM events),
