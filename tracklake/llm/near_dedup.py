@@ -401,7 +401,8 @@ def completed(members: DataFrame, roots: DataFrame, texts: DataFrame, k: int, pe
     if not n.limit(1).count():
         return roots
     m = cut(m)
-    keys = cut(texts.join(m.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_keys(k), "doc_id long, keys binary"))
+    keys = texts.join(m.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_keys(k), "doc_id long, keys binary")
+    keys = cut(keys.groupBy("doc_id").agg(F.min_by("keys", F.struct(F.length("keys"), "keys")).alias("keys")))  # of clashing texts the smallest set
     large = n.where((F.col("n") - F.col("top")) * F.col("n") > PLAIN)
     if large.limit(1).count():
         prefix = cut(rarest(looked_up(m, "cluster", "doc_id", large.select("cluster")), keys, percent))
