@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracklake.functions import scalars, signals
-from tracklake.operators import catalog, correlation, cuts, delays, merging, routing, rules, selection, spread, subtitles, tracks
+from tracklake.operators import catalog, correlation, cuts, delays, measuring, merging, routing, rules, selection, spread, subtitles, tracks
 from tracklake.sources import metadata
 from tracklake.streaming.episodes import EpisodeState, watch
 
@@ -699,3 +699,36 @@ def test_running_over_pieces(spark, monkeypatch):
     assert {(x.g, x.o, x.total, x.last, x.worst) for x in got} == want
     pieces = spread.borders(df, "o")
     assert len(pieces) > 50  # the hot group is in as many windows
+
+
+def test_delay_loop_meets_every_branch(spark):
+    """Recordings with planted delays: settled by words alone, between two words by samples, torn, drifting apart, and unlike."""
+    r = np.random.default_rng(12)
+    rate, n = 64, 60 * 64
+
+    def smooth():
+        x = np.convolve(r.normal(size=n + 400), np.ones(24) / 24, "same")
+        return x - np.convolve(x, np.ones(200) / 200, "same")
+
+    def words(x):
+        bits = (x > 0).astype(np.int64)
+        return [int((bits[s : s + 32] << np.arange(32)).sum()) for s in range(0, len(x) - 31, 8)]
+
+    base = {m: smooth()[200 : 200 + n] for m in range(6)}
+    late = lambda x, k: np.concatenate([r.normal(size=k) * 0.1, x])[: len(x)]
+    right = {0: late(base[0], 80), 1: late(base[1], 84), 2: np.concatenate([late(base[2], 80)[:1400], late(base[2], 160)[1400:]]), 3: smooth()[:n], 4: base[4], 5: np.concatenate([late(base[5], 16)[:1400], late(base[5], 20)[1400:]])}
+    grid = [(m, s, 5.0 + 10 * s, 8.0) for m in base for s in range(5)]
+    w = [(m, side, t, i, v) for m in base for side, t, x in ((1, "a", base[m]), (2, "b", right[m])) for i, v in enumerate(words(x))]
+    v = [(m, side, t, i, float(y)) for m in base for side, t, x in ((1, "a", base[m]), (2, "b", right[m])) for i, y in enumerate(x)]
+    # a second track on one side, and one that shares nothing: its pair is ignored
+    w += [(0, 2, "c", i, int(x)) for i, x in enumerate(r.integers(0, 1 << 32, 400))]
+    v += [(0, 2, "c", i, float(x)) for i, x in enumerate(r.normal(size=n))]
+    make = lambda rows, kind: spark.createDataFrame(rows, f"match long, side int, track string, n long, value {kind}")
+    tracks_ = measuring.Tracks(make(w, "long"), make(v, "double"), spark.createDataFrame(grid, "match long, segment long, begin_s double, length_s double"), 8.0, 64.0)
+    got = {x.match: x for x in measuring.decided(tracks_).collect()}
+    assert got[0].total_ms == pytest.approx(1250, abs=1) and got[0].delay_ms == 1250 and got[0].reason is None
+    assert got[1].total_ms == pytest.approx(84 / rate * 1000, abs=1) and got[1].reason is None  # between two words
+    assert got[2].total_ms is None and got[2].reason == "no delay"  # torn by more than a second
+    assert got[3].total_ms is None
+    assert got[4].total_ms == pytest.approx(0, abs=1)
+    assert got[5].match == 5

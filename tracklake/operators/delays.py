@@ -177,7 +177,8 @@ def middle(low: Column, high: Column) -> Column:
 
 
 def combined(first: DataFrame, fine_pair: DataFrame, fine_match: DataFrame) -> DataFrame:
-    """Test 1 of all pairs of a match: match, ignored (pairs), delay_ms (null where it is incompatible), reason.
+    """Test 1 of all pairs of a match: match, ignored (pairs), delay_ms (null where it is incompatible), reason, and the
+    least and largest delay of its pairs.
 
     first: match, pair, segment, fidelity, delay_ms. fine_pair: match, pair, delay_s measured at the middle of a pair that
     has two near delays; fine_match: match, delay_s measured at the middle of two near delays of the match.
@@ -194,11 +195,11 @@ def combined(first: DataFrame, fine_pair: DataFrame, fine_match: DataFrame) -> D
     near = (F.col("kinds") == 2) & (F.col("high") - F.col("low") < NEAR_MS)
     delay = F.when(F.col("kinds") == 1, F.coalesce("found", "low")).when(near, settled(middle(F.col("low"), F.col("high")), F.col("_fine")))
     reason = F.when(F.col("kinds") == 0, "no delay").when((F.col("kinds") > 2) | ((F.col("kinds") == 2) & ~near), "several delays").when(delay.isNull(), "not settled")
-    return s.select("match", "ignored", delay.alias("delay_ms"), reason.alias("reason"))
+    return s.select("match", "ignored", delay.alias("delay_ms"), reason.alias("reason"), "low", "high")
 
 
 def rechecked(start: DataFrame, second: DataFrame, third: DataFrame) -> DataFrame:
-    """Tests 2 and 3: match, delay_ms (null where incompatible), test (the last one looked at).
+    """Tests 2 and 3: match, delay_ms (null where incompatible), test (the last one looked at), more (what test 2 adds).
 
     start: match, ignored, delay_ms, as of `combined`. second: rows measured with that delay applied; third: with the
     delay that test 2 adds applied too. Of several delays in test 2 the least is added.
@@ -213,7 +214,7 @@ def rechecked(start: DataFrame, second: DataFrame, third: DataFrame) -> DataFram
     done = (F.col("kinds") == 1) & (F.col("more") == 0)
     good = ~F.coalesce("bad3", F.lit(True)) & (F.col("still") | (F.col("small") & (F.col("mean") >= SECOND_MEAN)))
     delay = F.when(F.coalesce("bad", F.lit(True)), None).when(done, F.col("delay_ms")).when(good, F.col("delay_ms") + F.col("more"))
-    return s.select("match", delay.alias("delay_ms"), F.when(F.coalesce("bad", F.lit(True)) | done, 2).otherwise(3).alias("test"))
+    return s.select("match", delay.alias("delay_ms"), F.when(F.coalesce("bad", F.lit(True)) | done, 2).otherwise(3).alias("test"), "more")
 
 
 def agreed(first_ms, second_s):

@@ -57,7 +57,7 @@ def started(spark, d):
     first = first_rows(spark, d)
     fine = first.select("match", "pair").distinct().withColumn("delay_s", F.when(F.col("pair") == 1, 0.5).otherwise(0.02))
     whole = first.select("match").distinct().withColumn("delay_s", F.when(F.col("match") % 4 == 0, 0.3).otherwise(0.01))
-    return delays.combined(first, fine, whole)
+    return delays.combined(first, fine, whole).drop("low", "high")
 
 
 COMBINED_SQL = f"""{ROWS_SQL}, s AS (SELECT match, pair, count(DISTINCT delay) AS n, min(delay) AS low, max(delay) AS high, avg(fidelity) AS mean, arg_min(delay, segment) AS head, arg_max(delay, segment) AS tail FROM first GROUP BY ALL),
@@ -89,7 +89,7 @@ def delay_rechecked(spark, d):
     rows = event_rows(spark, d)
     second = rows.select("match", "pair", "segment", (F.lit(0.8) + (F.col("event_id") % 21) / 100.0).alias("fidelity"), delay.alias("delay_ms"))
     third = rows.select("match", "pair", "segment", F.lit(0.95).alias("fidelity"), F.lit(0).cast("long").alias("delay_ms"))  # settled by then
-    return delays.rechecked(started(spark, d), second, third)
+    return delays.rechecked(started(spark, d), second, third).drop("more")
 
 
 @query("""WITH e AS (SELECT user_id // 3 AS match, user_id % 3 AS pair, event_id AS segment, (event_id % 11) / 100.0::DOUBLE * (CASE WHEN user_id // 3 % 3 = 0 THEN 0 ELSE user_id % 3 END) + CASE WHEN user_id // 3 % 5 = 1 THEN user_id % 3 * 0.4 ELSE 0.01 END::DOUBLE AS d FROM events),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions import scalars, signals
-from tracklake.operators import catalog, correlation, cuts, delays, routing, rules, selection, tracks
+from tracklake.operators import catalog, correlation, cuts, delays, measuring, routing, rules, selection, tracks
 from tracklake.operators.spread import numbered
 from tracklake.plans.registry import query
 from tracklake.sources.tables import cut, table
@@ -284,6 +284,29 @@ def long_lags(spark, d):
     return correlation.chosen_lag(correlation.blocks(cut_off(-1), "value", 256), correlation.blocks(cut_off(1), "value", 256), 18.0 * 512, 256)
 
 
+def recorded(spark: SparkSession, d: str) -> measuring.Tracks:
+    """Each label's vectors as a recording of 64 samples a second, and the same again, starting later by some five words of its
+    fingerprint; every fourth one is torn in the middle. A word holds the signs of 32 samples and begins 8 after the one before."""
+    rows = table(spark, d, "embeddings").where("label is not null").select(F.col("label").cast("long").alias("match"), "vec_id", "embedding")
+    some = rows.groupBy("match").agg(F.count("*").alias("c")).where("c >= 45").select("match")
+    v = numbered(rows.join(some, "match", "left_semi"), ["match"], "vec_id", "v")
+    one = v.select("match", "v", F.posexplode("embedding").alias("p", "value")).select("match", F.lit(1).alias("side"), ((F.col("v") - 1) * 64 + F.col("p")).alias("n"), F.col("value").cast("double").alias("value"))
+    later = F.col("match") % 5 * 40 + F.when((F.col("match") % 4 == 3) & (F.col("n") >= 22 * 64), 16).otherwise(0)
+    samples = cut(one.unionByName(one.withColumns({"n": F.col("n") + later, "side": F.lit(2)})).withColumn("track", F.lit("a")))
+    octets = samples.groupBy("match", "side", "track", F.floor(F.col("n") / 8).alias("q")).agg(F.sum(F.when(F.col("value") > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("n") % 8).cast("int"))).otherwise(0)).alias("o"))
+    spread_ = octets.select("match", "side", "track", "q", "o", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    words_ = spread_.groupBy("match", "side", "track", (F.col("q") - F.col("k")).alias("n")).agg(F.sum(F.call_function("shiftleft", F.col("o"), F.col("k") * 8)).alias("value"), F.count("*").alias("c"))
+    grid = some.select("match", F.posexplode(F.array(*(F.lit(float(x)) for x in (5, 14, 23, 32)))).alias("segment", "begin_s"), F.lit(8.0).alias("length_s")).withColumn("segment", F.col("segment").cast("long"))
+    return measuring.Tracks(cut(words_.where("c = 4 and n >= 0").drop("c")), samples, cut(grid), 8.0, 64.0)
+
+
+@query("""SELECT match, CASE WHEN match % 4 <> 3 THEN match % 5 * 625 END AS delay_ms, CASE WHEN match % 4 <> 3 THEN match % 5 * 625 END::DOUBLE AS total_ms, CASE WHEN match % 4 = 3 THEN 'no delay' END AS reason
+FROM (SELECT label::BIGINT AS match FROM embeddings WHERE label IS NOT NULL GROUP BY label HAVING count(*) >= 45)""")
+def measured_delays(spark, d):
+    """Fingerprints and samples in, delays and reasons out: no measurement is handed in."""
+    return measuring.decided(recorded(spark, d))
+
+
 def shifted_signals(spark: SparkSession, d: str) -> DataFrame:
     """Each vector, and itself without its first vec_id mod 16 samples: the lag to find."""
     return table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"), F.expr("slice(embedding, cast(vec_id % 16 as int) + 1, 64)").alias("y"))
