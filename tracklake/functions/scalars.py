@@ -15,15 +15,24 @@ def java_pattern(text: str) -> str:
     return re.sub(r"\(\?P<", "(?<", text)
 
 
-def episode_text(name: Column, pattern: Column) -> Column:
-    """What the group named episode of the pattern matches, else its first group; null without a match or a group."""
+def episode_group(pattern: Column) -> Column:
+    """The number of a pattern's group named episode, else 1; null if it has no group."""
     bare = F.regexp_replace(F.regexp_replace(pattern, r"\\.", ""), r"\[[^\]]*\]", "")  # without escapes and classes
     opening = r"\((?!\?)|\(\?P?<(?![=!])"
     before = F.regexp_extract(bare, r"^(.*?)\(\?P?<episode>", 1)
     named = F.contains(bare, F.lit("?<episode>")) | F.contains(bare, F.lit("?P<episode>"))
     group = F.when(named, F.regexp_count(before, F.lit(opening)) + 1).otherwise(F.lit(1))
+    return F.when(F.regexp_count(bare, F.lit(opening)) > 0, group)
+
+
+def episode_text(name: Column, pattern: Column, group: Column | None = None) -> Column:
+    """What the group named episode of the pattern matches, else its first group; null without a match or a group.
+
+    group: the group's number, where it is known already (`episode_group`).
+    """
+    group = episode_group(pattern) if group is None else group
     found = F.call_function("regexp_extract", name, F.regexp_replace(pattern, r"\(\?P<", "(?<"), group)
-    return F.when(F.regexp_count(bare, F.lit(opening)) > 0, F.nullif(found, F.lit("")))
+    return F.nullif(found, F.lit(""))
 
 
 def valid_episode(text: Column) -> Column:

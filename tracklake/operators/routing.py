@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklake.functions.scalars import episode_text, java_pattern, renamed, valid_episode
+from tracklake.functions.scalars import episode_group, episode_text, java_pattern, renamed, valid_episode
 from tracklake.operators.spread import looked_up, looked_up_by_size, numbered
 
 BLOCK = 200  # rules tried in one pass over the names
@@ -117,8 +117,16 @@ def first_match(names: DataFrame, rules: DataFrame, by_weight: bool = True) -> D
 
 def with_episode(routed: DataFrame) -> DataFrame:
     """Adds episode (null where the pattern gives no valid number) and why it was rejected."""
-    text = episode_text(F.col("nom"), F.col("regex_pattern"))
-    return routed.withColumn("episode", F.when(valid_episode(text), text.try_cast("long"))).withColumn("reason", F.when(text.isNull(), "no episode").when(~valid_episode(text), "invalid episode"))
+    known = "_group" in routed.columns
+    texted = routed.withColumn("_text", episode_text(F.col("nom"), F.col("regex_pattern"), F.col("_group") if known else None))
+    text, valid = F.col("_text"), valid_episode(F.col("_text"))
+    out = texted.withColumn("episode", F.when(valid, text.try_cast("long"))).withColumn("reason", F.when(text.isNull(), "no episode").when(~valid, "invalid episode"))
+    return out.drop("_text", "_group")
+
+
+def episodes_of(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """Names with the rule that they match first and their episode; where a rule's episode stands is found once a rule."""
+    return with_episode(first_match(names, rules.withColumn("_group", episode_group(F.col("regex_pattern")))))
 
 
 def with_target(episodes: DataFrame, folders: DataFrame, step: int = 0) -> DataFrame:

@@ -100,7 +100,7 @@ def stream_keyed_state(spark, d):
     folder = f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}"
 
     def each(batch, epoch):
-        found = routing.with_episode(routing.first_match(batch, rule_table(spark))).where("episode is not null")
+        found = routing.episodes_of(batch, rule_table(spark)).where("episode is not null")
         found.select("folder_id", "episode", "nom", "weight", "id").write.mode("overwrite").parquet(f"{folder}/arrived/batch={epoch}")
 
     named.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/routed").trigger(availableNow=True).start().awaitTermination()

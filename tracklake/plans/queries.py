@@ -38,7 +38,7 @@ def routed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def episodes(spark: SparkSession, d: str) -> DataFrame:
-    return routing.with_episode(routed(spark, d))
+    return routing.episodes_of(names(spark, d), rule_table(spark))
 
 
 def folders(spark: SparkSession) -> DataFrame:

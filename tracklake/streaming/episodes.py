@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracklake.operators.routing import first_match, winners, with_episode, with_rejects
+from tracklake.operators.routing import episodes_of, winners, with_rejects
 from tracklake.sources.tables import shared_dir
 
 STATE = "folder_id int, episode long, nom string, weight int, id long, size long, signature string"
@@ -69,6 +69,6 @@ def watch(names: DataFrame, rules: DataFrame, state: EpisodeState, **trigger) ->
     """Routes a stream of names (id, nom) and merges each micro-batch into the state."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        state.merge(with_episode(first_match(batch, rules)).where("episode is not null"), epoch)
+        state.merge(episodes_of(batch, rules).where("episode is not null"), epoch)
 
     return names.writeStream.foreachBatch(each).option("checkpointLocation", f"{state.folder}/progress").trigger(**(trigger or {"availableNow": True})).start()
