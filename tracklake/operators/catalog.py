@@ -1,10 +1,14 @@
-"""Catalog tables: lookups, validation with defaults, inserts, updates and upserts."""
+"""Catalog tables: lookups, validation with defaults, inserts, updates, upserts and cascades of deletes."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.sources.tables import cut
+
 
 def like(table: DataFrame, column: str, part: str) -> DataFrame:
     """Rows whose column contains the part; % and _ in it are wildcards."""
@@ -52,3 +56,44 @@ def update(stored: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
 def insert(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """stored and the rows whose key it hasn't."""
     return stored.unionByName(rows.join(stored.select(*keys), keys, "left_anti"))
+
+
+@dataclass(frozen=True)
+class Link:
+    """A foreign key: child's column names a row of parent by its key."""
+
+    parent: str
+    key: str
+    child: str
+    column: str
+
+
+def cascade(tables: dict[str, DataFrame], links: list[Link], doomed: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Deletes run down the foreign keys: what each table keeps, and what it loses with the reason.
+
+    doomed: rows to delete (columns that tell them) by table. links come in order, no parent after its children. A row goes
+    if it is doomed (deleted), if a parent's row went (cascade), or if it names no row of a parent, or none at all (orphan).
+    Each table is read once and joined with the keys of its parents; what is lost isn't collected anywhere.
+    """
+    state: dict[str, DataFrame] = {}
+
+    def marked(name: str) -> DataFrame:
+        df = tables[name].withColumn("_reason", F.lit(None).cast("string"))
+        if name in doomed:
+            keys = doomed[name].columns
+            df = df.join(doomed[name].distinct().withColumn("_doomed", F.lit(True)), keys, "left").withColumn("_reason", F.when(F.col("_doomed"), "deleted")).drop("_doomed")
+        for link in (x for x in links if x.child == name):
+            above = state[link.parent].select(F.col(link.key).alias(link.column), F.col("_reason").isNull().alias("_stands"))
+            # a key that comes again stands as long as one of its rows does
+            above = above.where(F.col(link.column).isNotNull()).groupBy(link.column).agg(F.bool_or("_stands").alias("_stands"))
+            found = F.when(F.col("_stands").isNull(), "orphan").when(~F.col("_stands"), "cascade")
+            df = df.join(above, link.column, "left").withColumn("_reason", F.coalesce("_reason", found)).drop("_stands")
+        return df.select(*tables[name].columns, "_reason")
+
+    parents = [x.parent for x in links]
+    for name in sorted(tables, key=lambda n: max([i + 1 for i, x in enumerate(links) if x.child == n], default=0)):
+        state[name] = marked(name)
+        if name in parents:
+            state[name] = cut(state[name])  # its children read it again
+    kept = {n: df.where("_reason is null").drop("_reason") for n, df in state.items()}
+    return kept, {n: df.where("_reason is not null").withColumnRenamed("_reason", "reason") for n, df in state.items()}

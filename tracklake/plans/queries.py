@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions import scalars, signals
@@ -284,15 +284,22 @@ def long_lags(spark, d):
     return correlation.chosen_lag(correlation.blocks(cut_off(-1), "value", 256), correlation.blocks(cut_off(1), "value", 256), 18.0 * 512, 256)
 
 
-def recorded(spark: SparkSession, d: str) -> measuring.Tracks:
+def sounded(spark: SparkSession, d: str, tear: Column) -> tuple[DataFrame, DataFrame]:
     """Each label's vectors as a recording of 64 samples a second, and the same again, starting later by some five words of its
-    fingerprint; every fourth one is torn in the middle. A word holds the signs of 32 samples and begins 8 after the one before."""
+    fingerprint and by the tear: (match, c, its seconds) and samples."""
     rows = table(spark, d, "embeddings").where("label is not null").select(F.col("label").cast("long").alias("match"), "vec_id", "embedding")
-    some = rows.groupBy("match").agg(F.count("*").alias("c")).where("c >= 45").select("match")
+    some = rows.groupBy("match").agg(F.count("*").alias("c")).where("c >= 45")
     v = numbered(rows.join(some, "match", "left_semi"), ["match"], "vec_id", "v")
     one = v.select("match", "v", F.posexplode("embedding").alias("p", "value")).select("match", F.lit(1).alias("side"), ((F.col("v") - 1) * 64 + F.col("p")).alias("n"), F.col("value").cast("double").alias("value"))
-    later = F.col("match") % 5 * 40 + F.when((F.col("match") % 4 == 3) & (F.col("n") >= 22 * 64), 16).otherwise(0)
-    samples = cut(one.unionByName(one.withColumns({"n": F.col("n") + later, "side": F.lit(2)})).withColumn("track", F.lit("a")))
+    one = one.join(F.broadcast(some), "match") if some.limit(4096).count() < 4096 else one.join(some, "match")
+    moved = one.withColumns({"n": F.col("n") + F.col("match") % 5 * 40 + tear, "side": F.lit(2)})
+    return some, cut(one.unionByName(moved).drop("c").withColumn("track", F.lit("a")))
+
+
+def recorded(spark: SparkSession, d: str) -> measuring.Tracks:
+    """Recordings of which every fourth one is torn in the middle. A word holds the signs of 32 samples and begins 8 after the
+    one before."""
+    some, samples = sounded(spark, d, F.when((F.col("match") % 4 == 3) & (F.col("n") >= 22 * 64), 16).otherwise(0))
     octets = samples.groupBy("match", "side", "track", F.floor(F.col("n") / 8).alias("q")).agg(F.sum(F.when(F.col("value") > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("n") % 8).cast("int"))).otherwise(0)).alias("o"))
     spread_ = octets.select("match", "side", "track", "q", "o", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
     words_ = spread_.groupBy("match", "side", "track", (F.col("q") - F.col("k")).alias("n")).agg(F.sum(F.call_function("shiftleft", F.col("o"), F.col("k") * 8)).alias("value"), F.count("*").alias("c"))
