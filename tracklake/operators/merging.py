@@ -87,6 +87,12 @@ def knockout(files: DataFrame, compared: DataFrame) -> tuple[DataFrame, DataFram
         standing = cut(order(now.select("grp", "name", "place").join(new.select("grp", F.col("loser").alias("name")), ["grp", "name"], "left_anti"), "place"))
         round_ += 1
     edges = files.sparkSession.createDataFrame([], T.StructType([files.schema["grp"], T.StructField("winner", files.schema["name"].dataType), T.StructField("loser", files.schema["name"].dataType), T.StructField("round", T.IntegerType())])) if edges is None else edges
+    return edges, left_over(done, edges)
+
+
+def left_over(done: DataFrame, edges: DataFrame) -> DataFrame:
+    """(grp, name) of the files that aren't under the one that stays: of those that stand at the end (done) the one with most
+    files under it, ties to the smaller name."""
     key = lambda name: F.struct("grp", F.col(name).alias("name"))
     ways = tree_delays(edges.select(key("winner").alias("winner"), key("loser").alias("loser"), F.lit(0).alias("delay")))
     tops = done.select("grp", "name").withColumn("_key", F.struct("grp", "name"))
@@ -95,7 +101,7 @@ def knockout(files: DataFrame, compared: DataFrame) -> tuple[DataFrame, DataFram
     best = tops.groupBy("grp").agg(F.min_by("name", F.struct(-F.col("_n"), F.col("name"))).alias("_best"))
     out = tops.join(best, "grp").where("name <> _best").select("grp", "name", "_key")
     under = ways.join(out.select("_key"), F.col("root") == F.col("_key"), "left_semi").select("node.grp", "node.name")
-    return edges, under.unionByName(out.select("grp", "name")).distinct()
+    return under.unionByName(out.select("grp", "name")).distinct()
 
 
 def tournament(files: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries for files of samples, probed offsets, cascades of deletes and candidates tried in turn."""
+"""Queries for files of samples, probed offsets, cascades of deletes, candidates tried in turn, and whole merges."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tracklake.operators import catalog, measuring, probes
+from tracklake.operators import catalog, measuring, probes, whole
 from tracklake.operators.catalog import Link
 from tracklake.operators.spread import numbered
-from tracklake.plans.queries import sounded
+from tracklake.plans.queries import RULE_TEXT, sounded, words_of
 from tracklake.plans.registry import query
 from tracklake.sources import sound
 from tracklake.sources.tables import cut, shared_dir, table
@@ -126,3 +126,41 @@ def candidates_tried(spark, d):
     state = candidates.tried_in_turn(spark, [files.where(F.col("o_orderstatus") == s) for s in ("F", "O", "P")])
     failed = state.errors().groupBy(*candidates.KEY).agg(F.count("*").alias("failures"))
     return candidates.standing(state.events()).join(failed, candidates.KEY, "left").withColumn("failures", F.coalesce("failures", F.lit(0).cast("long")))
+
+
+def whole_merge(spark, d) -> whole.Merged:
+    """Five files a label: its vectors as sound, torn; whole; later; the third one's sound again, later by a tag; another language."""
+    some, sides = sounded(spark, d, F.lit(0))
+    one = sides.where("side = 1").select(F.col("match").alias("grp"), "n", "value")
+    later = F.col("grp") % 5 * 40
+    make = lambda file, by: one.select("grp", F.lit(file).cast("long").alias("file"), F.lit(file * 10 + 1).cast("long").alias("ord"), (F.col("n") + by).alias("n"), "value")
+    tear = F.when(F.col("n") >= 22 * 64, 96).otherwise(0)
+    samples = cut(make(1, tear).unionByName(make(2, F.lit(0))).unionByName(make(3, later)).unionByName(make(4, later)).unionByName(make(5, F.lit(0))))
+    grid = some.select(F.col("match").alias("grp"), F.posexplode(F.array(*(F.lit(float(x)) for x in (5, 14, 23, 32)))).alias("segment", "begin_s"), F.lit(8.0).alias("length_s")).withColumn("segment", F.col("segment").cast("long"))
+    heard = whole.Sounds(cut(words_of(samples, ["grp", "file", "ord"])), samples, cut(grid), 8.0, 64.0)
+    files = some.select(F.col("match").alias("grp"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))).alias("file"))
+    f = F.col("file")
+    both = files.withColumn("kind", F.explode(F.array(F.lit("audio"), F.lit("subtitle"))))
+    same = F.when(f == 4, 3).otherwise(f).cast("string")
+    tracks = both.select(
+        "grp", "file", "kind", F.when(f == 5, "fr").otherwise("en").alias("language"), (f * 10 + F.when(F.col("kind") == "audio", 1).otherwise(2)).alias("ord"), F.col("kind").alias("key"), F.concat("kind", same).alias("md5"),
+        F.when(f == 3, 0.5).when(f == 4, 0.46).alias("delay_s"), F.when(f == 2, "flac").otherwise("ac3").alias("format"), F.lit(2.0).alias("channels"), F.lit(48000).alias("rate"), F.when(f == 2, 1000.0 * (F.col("grp") % 2 + 1)).otherwise(1000.0).alias("bitrate"),
+        F.lit("plain").alias("title"), F.lit(False).alias("hearing"), F.lit("plain").alias("class"), F.lit(True).alias("keep"))
+    scores = files.select("grp", "file", F.when(f == 2, F.col("grp") % 3).otherwise(1).cast("double").alias("score"))
+    synonyms = spark.createDataFrame([], "language string, group long, title string")
+    return whole.merged(tracks, scores, heard, "en", RULE_TEXT, 1, synonyms, ["en"], ["fr"])
+
+
+MERGES_SQL = "m AS (SELECT label::BIGINT AS grp, label % 5 * 625 AS d, label % 3 >= 1 AS first, label % 2 = 1 AS richer FROM embeddings WHERE label IS NOT NULL GROUP BY label HAVING count(*) >= 45)"
+
+
+@query(f"""WITH {MERGES_SQL}, t AS (SELECT m.*, file, ord, kind, CASE WHEN ord = 31 AND richer THEN 'dominated' ELSE reason END AS reason FROM m,
+ (VALUES (2, 21, 'audio', NULL), (2, 22, 'subtitle', NULL), (3, 31, 'audio', NULL), (3, 32, 'subtitle', 'over the budget'), (4, 41, 'audio', 'same hash'), (4, 42, 'subtitle', 'same hash')) v(file, ord, kind, reason))
+SELECT grp, file::BIGINT AS file, ord::BIGINT AS ord, kind, CASE WHEN reason IS NULL THEN 'take' ELSE 'remove' END AS action, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY grp, reason IS NULL ORDER BY kind, ord) END AS place,
+CASE WHEN reason IS NULL THEN CASE file WHEN 2 THEN CASE WHEN first THEN 0 ELSE d END WHEN 3 THEN CASE WHEN first THEN -d ELSE 0 END END END::BIGINT AS delay_ms, ord = 21 AS is_default, reason FROM t
+UNION ALL SELECT grp, file, NULL, NULL, 'reject', NULL, NULL, NULL, reason FROM m, (VALUES (1, 'not compatible'), (5, 'no common language')) v(file, reason)""")
+def merge_of_sounds(spark, d):
+    """Whole merges from sounds to plans and rejected files; no comparison or delay is handed in."""
+    found = whole_merge(spark, d)
+    plan = found.plan.select("grp", "file", "ord", "kind", "action", "place", F.col("delay_ms").cast("long").alias("delay_ms"), "is_default", "reason")
+    return plan.unionByName(found.rejected.withColumn("action", F.lit("reject")), allowMissingColumns=True)

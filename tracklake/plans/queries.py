@@ -296,15 +296,21 @@ def sounded(spark: SparkSession, d: str, tear: Column) -> tuple[DataFrame, DataF
     return some, cut(one.unionByName(moved).drop("c").withColumn("track", F.lit("a")))
 
 
+def words_of(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Words of the signs of 32 samples (n, value), one begun every 8 samples."""
+    octets = samples.groupBy(*keys, F.floor(F.col("n") / 8).alias("q")).agg(F.sum(F.when(F.col("value") > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("n") % 8).cast("int"))).otherwise(0)).alias("o"))
+    spread_ = octets.select(*keys, "q", "o", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    words = spread_.groupBy(*keys, (F.col("q") - F.col("k")).alias("n")).agg(F.sum(F.call_function("shiftleft", F.col("o"), F.col("k") * 8)).alias("value"), F.count("*").alias("c"))
+    return words.where("c = 4 and n >= 0").drop("c")
+
+
 def recorded(spark: SparkSession, d: str) -> measuring.Tracks:
     """Recordings of which every fourth one is torn in the middle. A word holds the signs of 32 samples and begins 8 after the
     one before."""
     some, samples = sounded(spark, d, F.when((F.col("match") % 4 == 3) & (F.col("n") >= 22 * 64), 16).otherwise(0))
-    octets = samples.groupBy("match", "side", "track", F.floor(F.col("n") / 8).alias("q")).agg(F.sum(F.when(F.col("value") > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("n") % 8).cast("int"))).otherwise(0)).alias("o"))
-    spread_ = octets.select("match", "side", "track", "q", "o", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-    words_ = spread_.groupBy("match", "side", "track", (F.col("q") - F.col("k")).alias("n")).agg(F.sum(F.call_function("shiftleft", F.col("o"), F.col("k") * 8)).alias("value"), F.count("*").alias("c"))
+    words_ = words_of(samples, ["match", "side", "track"])
     grid = some.select("match", F.posexplode(F.array(*(F.lit(float(x)) for x in (5, 14, 23, 32)))).alias("segment", "begin_s"), F.lit(8.0).alias("length_s")).withColumn("segment", F.col("segment").cast("long"))
-    return measuring.Tracks(cut(words_.where("c = 4 and n >= 0").drop("c")), samples, cut(grid), 8.0, 64.0)
+    return measuring.Tracks(cut(words_), samples, cut(grid), 8.0, 64.0)
 
 
 @query("""SELECT match, CASE WHEN match % 4 <> 3 THEN match % 5 * 625 END AS delay_ms, CASE WHEN match % 4 <> 3 THEN match % 5 * 625 END::DOUBLE AS total_ms, CASE WHEN match % 4 = 3 THEN 'no delay' END AS reason
