@@ -455,6 +455,12 @@ def test_language_against_brute_force(spark, rows):
         assert by_id[i].score == pytest.approx(1 - far[want] / (len(own) * langid.TOP) if own else 0.0)
 
 
+def test_counts_of_very_long_texts_rank():
+    """Counts beyond 2^20 still decide, before the hash does."""
+    d, h, count = np.array([0, 0, 0, 0, 1, 1]), np.array([1, 2, 3, 9, 2, 5]), np.array([1 << 20, 1 << 33, (1 << 20) + 5, 1 << 33, 1, 7])
+    assert [x.tolist() for x in langid.ranked(d, h, count)] == [[0, 0, 0, 0, 1, 1], [2, 9, 3, 1, 5, 2], [0, 1, 2, 3, 0, 1]]
+
+
 def test_pii_patterns(spark):
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     r = random.Random(3)

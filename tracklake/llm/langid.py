@@ -8,7 +8,7 @@ profile, `TOP` if it is not there. The score is one less the distance's share of
 Profiles are fitted to a bounded sample: about `SAMPLE` labelled texts a language, chosen by a hash of
 doc_id, of the `LANGS` languages with most texts. Defined cases: a text that is null or has no letter gives `und`
 with score 0; n-grams of equal count rank by their hash; ties go to the language first in the alphabet; without any
-labelled text all are `und`; repeated rows give equal results; an empty table gives an empty result; extra columns
+labelled text all are `und`; very long texts are counted whole, without a bound on counts; repeated rows give equal results; an empty table gives an empty result; extra columns
 are ignored.
 """
 
@@ -68,14 +68,16 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def ranked(d: np.ndarray, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, n-gram and rank of the TOP most frequent n-grams of each text; ties by hash."""
-    most = (1 << 20) - 1
-    key = (d.astype(np.uint64) << U(51)) | ((most - np.minimum(count, most)).astype(np.uint64) << U(31)) | h.astype(np.uint64)
-    key.sort()
-    d = (key >> U(51)).astype(np.int64)
+    """Text number, n-gram and rank of the TOP most frequent n-grams of each text; ties by hash.
+
+    The n-grams come in order of text and hash, as `counted` gives them.
+    """
+    # no text has 2^40 n-grams; the sort is stable, so equal counts stay in the order of the hash
+    order = np.argsort((d.astype(np.uint64) << U(40)) | (U(1 << 40) - count.astype(np.uint64)), kind="stable")
+    d, h = d[order], h[order]
     rank = np.arange(len(d)) - np.searchsorted(d, d)
     keep = rank < TOP
-    return d[keep], (key & U(GRAM)).astype(np.int64)[keep], rank[keep]
+    return d[keep], h[keep], rank[keep]
 
 
 def fit(labelled: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
