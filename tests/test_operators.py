@@ -732,3 +732,37 @@ def test_delay_loop_meets_every_branch(spark):
     assert got[3].total_ms is None
     assert got[4].total_ms == pytest.approx(0, abs=1)
     assert got[5].match == 5
+
+
+def test_state_log_is_folded(spark, tmp_path):
+    """Over many batches, with restarts, replays and a fold cut short: the winners of all files, and a log that stays short."""
+    import os
+    import random
+
+    r = random.Random(5)
+    schema = "folder_id int, episode long, nom string, weight int, id long, size long, signature string"
+    rows, ident = [], 0
+    for epoch in range(7):
+        some = [(1, r.randrange(3), f"f{ident + i}", r.randrange(epoch + 2), ident + i, 1, r.choice(["x", "y", None])) for i in range(4)]
+        ident += 4
+        rows += some
+        batch = spark.createDataFrame(some, schema)
+        state = EpisodeState(spark, f"{tmp_path}/state", fold=2)
+        if epoch == 6:  # a fold that wrote its table and then stopped
+            spark.createDataFrame(some[:1], schema).write.parquet(state.folded(5))
+        state.merge(batch, epoch)
+        if epoch % 3 == 0:
+            state.merge(batch, epoch)
+        best = {}
+        for x in rows:
+            key = (x[0], x[1])
+            best[key] = min(best.get(key, x), x, key=lambda y: (-y[3], y[4]))
+        assert {(x.folder_id, x.episode, x.nom) for x in state.read().collect()} == {(*k, x[2]) for k, x in best.items()}
+    assert [f.through for f in state.folds(spark)] == [5, 3]
+    assert sorted(os.listdir(state.path)) == ["epoch=-1", "epoch=4", "epoch=5", "epoch=6"]
+    assert sorted(os.listdir(f"{state.folder}/folded")) == ["through-3", "through-5"]
+    before = sorted(map(tuple, state.classes().collect()), key=repr)
+    state.merge(spark.createDataFrame([(1, 0, "late", 99, 999, 1, "x")], schema), 3)  # folded: changes nothing
+    assert sorted(map(tuple, state.classes().collect()), key=repr) == before
+    with pytest.raises(ValueError, match="folded"):
+        state.read(before=5)

@@ -41,8 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
 def clear(spark: SparkSession) -> int:
     """Deletes the tables that `cut` has written so far in this process; results that still read them must be done with."""
     paths, _written[:] = list(_written), []
+    remove(spark, paths)
+    return len(paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of any file system that Spark reads; those that aren't there are passed over."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for path in paths:
         place = hadoop(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    return len(paths)
