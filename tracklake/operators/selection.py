@@ -66,7 +66,10 @@ def worst(tracks: DataFrame, group: str, order: str, rule_text: str) -> DataFram
 
 
 def group_by_group(tracks: DataFrame, group: str, order: str, read: list[str], decide, name: str) -> DataFrame:
-    """Adds a boolean column by a function of rows and group codes; whole groups in order, one sorted pass a task."""
+    """Adds a boolean column by a function of rows and group codes; whole groups in order, one sorted pass a task.
+
+    Ties of the order go by the columns read, so that rows which share a place give the same result in every run.
+    """
     columns = tracks.columns
 
     def run(batches):
@@ -86,7 +89,7 @@ def group_by_group(tracks: DataFrame, group: str, order: str, read: list[str], d
         return pdf.assign(**{name: decide(pdf[read].to_dict("records"), code)})[[*columns, name]]
 
     schema = tracks.withColumn(name, F.lit(True)).schema
-    return tracks.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, schema)
+    return tracks.repartition(group).sortWithinPartitions(group, order, *read).mapInPandas(run, schema)
 
 
 def better_video(scores: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from tracklake.functions import scalars, signals
 from tracklake.operators import catalog, cuts, delays, merging, records, refine, routing, selection, subtitles, tracks
 from tracklake.operators.rules import compare, parse
 from tracklake.operators.spread import numbered
-from tracklake.plans.queries import RULE_TEXT, ROUTED_SQL, aligned, episodes, names, rule_table, series
+from tracklake.plans.queries import BEATEN_SQL, FACTORS_SQL, ROUTED_SQL, RULE_TEXT, SOUNDS_SQL, WORDS_SQL, aligned, episodes, names, rule_table, series
 from tracklake.plans.registry import ORACLE, query
 from tracklake.sources import metadata
 from tracklake.sources.tables import table
@@ -134,7 +134,10 @@ def widest_gap(spark, d):
     return cuts.widest_gap(rows, 15)
 
 
-@query()
+@query(f"""WITH {WORDS_SQL}, near AS (SELECT a.label AS clip, a.vec_id AS i, b.vec_id AS j, bit_count(xor(a.x[1], b.x[1])) + bit_count(xor(a.x[2], b.x[2])) AS d FROM words a JOIN words b ON a.label = b.label AND b.vec_id BETWEEN a.vec_id - 20 AND a.vec_id + 20 AND a.vec_id <> b.vec_id),
+t AS (SELECT clip, i, sum(d) OVER (PARTITION BY clip ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS total FROM (SELECT clip, i, min(d) AS d FROM near GROUP BY clip, i)),
+g AS (SELECT clip, arg_max(i, total * 1000000000 - i) AS peak, min(i) AS least, max(i) AS most FROM t GROUP BY clip)
+SELECT clip, 'frames' AS method, greatest(peak - 12, least) / 25.0::DOUBLE AS start_s, least(peak + 12, most) / 25.0::DOUBLE AS end_at_s FROM g""")
 def gap_times(spark, d):
     """The widest gap of each clip's alignment in frames, as times within a range that begins a second in."""
     gaps = cuts.widest_gap(cuts.trailing_sum(aligned(spark, d), 8), 12)
@@ -257,19 +260,39 @@ def forced_star(spark, d):
     return merging.star(files, pairs.withColumn("fits", F.col("a_wins").isNotNull()))
 
 
-@query()
+# the rounds of a knockout among the files of t (grp, name), as lists: who stands in each round, who meets, and whom each file ends under
+ROUNDS_SQL = """s AS (SELECT grp, 0 AS round, list(name ORDER BY name) AS names FROM t GROUP BY grp UNION ALL
+  SELECT grp, round + 1, list_filter(names, lambda x: NOT list_contains(list_transform(met, lambda p: p.loser), x)) FROM (SELECT *, {met} AS met FROM s WHERE {going})),
+edges AS (SELECT grp, p.winner AS winner, p.loser AS loser, round FROM (SELECT grp, round, unnest({met}) AS p FROM s WHERE {going})),
+under AS (SELECT grp, name AS top, name, 0::BIGINT AS delay FROM t UNION ALL SELECT e.grp, e.winner, u.name, u.delay + CASE WHEN e.winner < e.loser THEN 10 ELSE -10 END * e.winner FROM under u JOIN edges e ON e.grp = u.grp AND e.loser = u.top),
+tops AS (SELECT u.* FROM under u ANTI JOIN edges e ON e.grp = u.grp AND e.loser = u.top), sizes AS (SELECT grp, top, count(*) AS n FROM tops GROUP BY grp, top),
+best AS (SELECT grp, arg_max(top, n * 100 - top) AS top FROM sizes GROUP BY grp), out AS (SELECT tops.grp, tops.name FROM tops ANTI JOIN best ON best.grp = tops.grp AND best.top = tops.top)""".format(
+    going="len(names) > 2 OR (len(names) = 2 AND names[2] - names[1] <> 3)",
+    met="list_transform(list_filter(list_transform(range(len(names)), lambda i: {'i': i, 'j': ((round - i) % len(names) + len(names)) % len(names)}), lambda p: p.i < p.j AND abs(names[p.i + 1] - names[p.j + 1]) <> 3), "
+    "lambda p: CASE WHEN (names[p.i + 1] * 5 + grp) % 7 < (names[p.j + 1] * 5 + grp) % 7 THEN {'winner': names[p.i + 1], 'loser': names[p.j + 1]} ELSE {'winner': names[p.j + 1], 'loser': names[p.i + 1]} END)",
+)
+
+
+@query(f"WITH RECURSIVE {KNOCK_SQL}, {ROUNDS_SQL} SELECT * FROM edges")
 def knockout_edges(spark, d):
     t, pairs = compared(spark, d)
     return merging.knockout(t.withColumn("place", F.col("name")), pairs)[0]
 
 
-@query()
+@query(f"WITH RECURSIVE {KNOCK_SQL}, {ROUNDS_SQL} SELECT * FROM out")
 def knockout_rejects(spark, d):
     t, pairs = compared(spark, d)
     return merging.knockout(t.withColumn("place", F.col("name")), pairs)[1]
 
 
-@query()
+@query(f"""WITH RECURSIVE a AS (SELECT DISTINCT l_orderkey AS grp, l_linenumber::BIGINT AS file, CASE WHEN l_linenumber % 4 = 3 THEN 'fr' ELSE 'en' END AS language FROM lineitem),
+v AS (SELECT grp, language, n = sum(n) OVER (PARTITION BY grp) AS everywhere, n FROM (SELECT grp, language, count(*) AS n FROM a GROUP BY ALL)),
+chosen AS (SELECT grp, language FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY everywhere DESC, n DESC, language = 'en' DESC, language) AS rn FROM v) WHERE rn = 1),
+t AS (SELECT grp, file AS name FROM a JOIN chosen USING (grp, language)), {ROUNDS_SQL},
+x AS (SELECT a.grp, file, language, CASE WHEN file % 2 = 0 THEN 'audio' ELSE 'subtitle' END AS kind, 'k' || (file % 3) AS key, file AS ord, file % 5 > 0 AS keep, tops.delay AS delay_ms FROM a JOIN tops ON tops.grp = a.grp AND tops.name = file ANTI JOIN out ON out.grp = a.grp AND out.name = file),
+y AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY key, ord) AS place FROM x WHERE keep)
+SELECT grp, file, language, kind, key, ord, keep, 'take' AS action, place, CAST(delay_ms AS INTEGER) AS delay_ms, kind <> 'subtitle' AND row_number() OVER (PARTITION BY grp, kind ORDER BY place) = 1 AS is_default FROM y
+UNION ALL SELECT grp, file, language, kind, key, ord, keep, 'remove', NULL, NULL, false FROM x WHERE NOT keep""")
 def sync_plan(spark, d):
     t, pairs = compared(spark, d)
     n = F.col("name")
@@ -416,7 +439,11 @@ def forced_winner_named(spark, d):
     return records.forced_winner_named(docs, "src1", "doc_id").select("doc_id", F.col("name").alias("source"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FACTORS_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, format, bitrate) AS n FROM (SELECT {SOUNDS_SQL} FROM lineitem)),
+held AS (SELECT l_orderkey, n, n AS place, format, bitrate FROM l WHERE n = 1 UNION ALL SELECT l_orderkey, n, CASE WHEN stays THEN since ELSE n END, CASE WHEN stays THEN had ELSE format END, CASE WHEN stays THEN rate ELSE bitrate END
+  FROM (SELECT l.l_orderkey, l.n, l.format, l.bitrate, h.place AS since, h.format AS had, h.bitrate AS rate, CASE WHEN l.format = h.format THEN h.bitrate < l.bitrate ELSE coalesce(l.bitrate * factor > h.bitrate, false) END AS stays
+  FROM held h JOIN l ON l.l_orderkey = h.l_orderkey AND l.n = h.n + 1 LEFT JOIN f ON f.strong = l.format AND f.weak = h.format))
+SELECT l_orderkey, l_linenumber, format, bitrate, l.n = w.place AS is_worst FROM l JOIN (SELECT l_orderkey, arg_max(place, n) AS place FROM held GROUP BY l_orderkey) w USING (l_orderkey)""")
 def worst_track(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(F.array(*map(F.lit, ("flac", "ac3", "mp3", "dts"))), (F.col("l_partkey") % 4 + 1).cast("int")).alias("format"), F.col("l_extendedprice").alias("bitrate"))
     return selection.worst(lines, "l_orderkey", "l_linenumber", RULE_TEXT)
@@ -492,7 +519,13 @@ def output_keys(spark, d):
     return table(spark, d, "part").select(k, tracks.subtitle_key(language, role, class_).alias("subtitle_key"), tracks.audio_key(language, sound).alias("audio_key"))
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT l_orderkey AS grp, l_linenumber::BIGINT AS member, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
+c AS (SELECT grp, n, [member] AS members, [member] AS cliques FROM d WHERE n = 1 UNION ALL
+  SELECT grp, n, list_append(members, member), list_append(cliques, coalesce(list_min(list_filter(cliques, lambda q: len(list_filter(range(len(members)), lambda k: cliques[k + 1] = q AND (members[k + 1] + member + grp) % 2 <> 0)) = 0)), member))
+  FROM (SELECT d.grp, d.n, d.member, c.members, c.cliques FROM c JOIN d ON d.grp = c.grp AND d.n = c.n + 1)),
+e AS (SELECT grp, unnest(members) AS member, unnest(cliques) AS clique FROM (SELECT grp, arg_max(members, n) AS members, arg_max(cliques, n) AS cliques FROM c GROUP BY grp)),
+sounds AS (SELECT s.*, e.clique, l_orderkey || '/' || e.clique AS one, e.member AS place FROM (SELECT {SOUNDS_SQL} FROM lineitem) s JOIN e ON e.grp = l_orderkey AND e.member = l_linenumber), {BEATEN_SQL}
+SELECT l_orderkey AS grp, l_linenumber::BIGINT AS member, format, channels, rate, bitrate, clique, keep FROM k""")
 def clique_winners(spark, d):
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("long").alias("member"), F.element_at(F.array(*map(F.lit, ("flac", "ac3", "mp3", "dts"))), (F.col("l_partkey") % 4 + 1).cast("int")).alias("format"), (F.col("l_suppkey") % 3 + 1).cast("double").alias("channels"), F.lit(48000).alias("rate"), F.col("l_extendedprice").alias("bitrate"))
     both = lines.select("grp", F.col("member").alias("i")).distinct().join(lines.select("grp", F.col("member").alias("j")).distinct(), "grp").where("i < j and (i + j + grp) % 2 = 0")

@@ -467,7 +467,20 @@ def rules_of_turns(spark, d):
     return rules.relations(texts).withColumn("factor", F.round("factor", 9))
 
 
-@query()
+# which of two tracks goes, for all pairs of a group in order; then sequential elimination over them, as bits of one number
+FACTORS_SQL = "f(strong, weak, factor) AS (VALUES ('flac', 'ac3', 1.1::DOUBLE), ('ac3', 'mp3', 2.0), ('flac', 'mp3', 1.1::DOUBLE * 2.0))"
+SOUNDS_SQL = "l_orderkey, l_linenumber, ['flac', 'ac3', 'mp3', 'dts'][l_partkey % 4 + 1] AS format, (l_suppkey % 3 + 1)::DOUBLE AS channels, 48000 AS rate, l_extendedprice AS bitrate"
+BEATEN_SQL = f"""{FACTORS_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY one ORDER BY place, format, channels, bitrate) - 1 AS n FROM sounds),
+p AS (SELECT a.one, a.n AS i, b.n AS j, CASE WHEN a.format = b.format AND a.channels = b.channels THEN CASE WHEN a.bitrate >= b.bitrate THEN b.n ELSE a.n END
+  WHEN a.format = b.format AND a.channels > b.channels THEN CASE WHEN a.bitrate / a.channels > 0.9::DOUBLE * b.bitrate / b.channels THEN b.n END
+  WHEN a.format = b.format THEN CASE WHEN b.bitrate / b.channels > 0.9::DOUBLE * a.bitrate / a.channels THEN a.n END
+  WHEN a.channels >= b.channels AND a.bitrate > b.bitrate * x.factor THEN b.n WHEN b.channels >= a.channels AND b.bitrate > a.bitrate * y.factor THEN a.n END AS loser
+  FROM l a JOIN l b ON a.one = b.one AND a.n < b.n LEFT JOIN f x ON x.strong = a.format AND x.weak = b.format LEFT JOIN f y ON y.strong = b.format AND y.weak = a.format),
+m AS (SELECT one, list_reduce(list_prepend((1::BIGINT << 31) - 1, list(i + 64 * j + 4096 * loser ORDER BY i, j)), lambda m, c: CASE WHEN (m >> (c % 64)) & (m >> (c // 64 % 64)) & 1 = 1 THEN m - (1::BIGINT << (c // 4096)) ELSE m END) AS mask FROM p WHERE loser IS NOT NULL GROUP BY one),
+k AS (SELECT l.*, coalesce((mask >> n) & 1 = 1, true) AS keep FROM l LEFT JOIN m ON m.one = l.one)"""
+
+
+@query(f"WITH sounds AS (SELECT {SOUNDS_SQL}, l_orderkey AS one, l_linenumber AS place FROM lineitem), {BEATEN_SQL} SELECT l_orderkey, l_linenumber, format, channels, rate, bitrate, keep FROM k")
 def audio_dominance(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(F.array(*map(F.lit, ("flac", "ac3", "mp3", "dts"))), (F.col("l_partkey") % 4 + 1).cast("int")).alias("format"), (F.col("l_suppkey") % 3 + 1).cast("double").alias("channels"), F.lit(48000).alias("rate"), F.col("l_extendedprice").alias("bitrate"))
     return selection.dominant(lines, "l_orderkey", "l_linenumber", RULE_TEXT)
