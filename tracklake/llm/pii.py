@@ -89,7 +89,7 @@ CUES = {"tel": "phone", "phone": "phone", "call": "phone", "fax": "phone", "mobi
 
 
 def shape(word: str) -> str:
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "d", word))
+    return re.sub(r"[0-9]", "d", re.sub(r"[^\W\d_]+", "a", word))
 
 
 def features(word: str) -> list[str]:
@@ -163,7 +163,7 @@ def likelihood(groups: list[tuple[np.ndarray, np.ndarray]], w: np.ndarray, t: np
     return value, dw[:-1], dt
 
 
-def train(sentences: list[tuple[list[str], list[int]]], rounds: int = 60, step: float = 0.3, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def train(sentences: list[tuple[list[str], list[int]]], rounds: int = 120, step: float = 0.3, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights (feature by tag) and transitions (tag by tag) by AdaGrad on the regularised log-likelihood."""
     k = len(TAGS)
     w, t = np.zeros((FEATURES, k)), np.zeros((k, k))
