@@ -135,3 +135,20 @@ def test_candidates_over_batches_and_restarts(spark):
     assert {x.reason for x in state.errors().collect()} == {"nothing in common"}
     merged = state.events().where("kind = 'merged'").count()
     assert merged + len(want) == len(files)
+
+
+def test_candidates_are_written_again_now_and_then(spark, monkeypatch):
+    """One row of each batch, so that every episode's candidates come from earlier batches, some of them written again since."""
+    monkeypatch.setattr(candidates, "FOLD", 2)
+    files = [(1, 1, 0, "a", 1, 1, 1), (1, None, 1, "n", 1, 1, 2), (1, 1, 2, "b", 2, 1, 2), (2, 1, 3, "c", 1, 1, 1), (1, None, 4, "m", 3, 1, 3), (1, 1, 5, "d", 0, 1, 6)]
+    state = Candidates(spark)
+    for f in files:
+        state.add(spark.createDataFrame([f], FILES))
+        state.run()
+    want, failed = in_turn(files)
+    assert {tuple(x) for x in candidates.standing(state.events()).collect()} == want
+    assert sorted(((x.folder_id, x.episode, x.nom, x.other) for x in state.errors().collect()), key=repr) == sorted(failed, key=repr)
+    steps = [(x.folder_id, x.episode, x.step) for x in state.events().collect()]
+    assert len(steps) == len(set(steps))
+    held = state.log().where("kind = 'held'").groupBy("epoch").count().collect()
+    assert {x.epoch: x["count"] for x in held} == {0: 1, 1: 2, 2: 2, 3: 4, 4: 1, 5: 4}

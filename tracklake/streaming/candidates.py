@@ -1,4 +1,4 @@
-"""Files that fitted nothing so far, kept by episode as a list in the state; arriving ones try them in turn.
+"""Files that fitted nothing so far, kept by episode in a table of each batch; arriving ones try them in turn.
 
 An arriving file is tried with the candidates of its (folder, episode), heaviest first. The first one that fits is merged with it:
 the candidate's row then carries the name, weight and size of the better file (the heavier, of equal weights the larger, of equal
@@ -13,20 +13,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tracklake.sources.tables import shared_dir
 
 KEY = ["folder_id", "episode"]
-FILE = "nom string, weight int, size long, holds long"
-HELD = "place long, " + FILE
-# kind: candidate (the row at place is now this file), merged (nom went into other), failed (nom doesn't fit other)
+# kind: candidate (the row at place is now this file), merged (nom went into other), failed (nom doesn't fit other), held (in the log
+# alone: a candidate after the batch)
 EVENT = "folder_id int, episode long, step long, kind string, place long, nom string, weight int, size long, holds long, other string, reason string"
 COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
 MISSING = "nothing in common"
+FOLD, ROWS, AT_ONCE = 50, 1 << 20, 8192  # batches until all candidates are written again, rows of a task, events of a batch
 
 
 def tried(held: list[tuple], file: tuple) -> tuple[list[tuple], list[tuple]]:
@@ -48,39 +47,34 @@ def tried(held: list[tuple], file: tuple) -> tuple[list[tuple], list[tuple]]:
     return [*held, new], [*events, ("candidate", *new, None, None)]
 
 
-class Trial(StatefulProcessor):
-    """Keyed state: the list of candidates, and the number of events so far, which orders them."""
+def trials(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """EVENT rows from rows of TRIED, sorted by key, the candidates of an episode before its arrivals, latest batch first.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", HELD)
-        self.steps = handle.getValueState("steps", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).sort_values("id", kind="stable")
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        n = self.steps.get()[0] if self.steps.exists() else 0
-        out = []
-        for nom, weight, size, holds in arrived[["nom", "weight", "size", "holds"]].itertuples(index=False):
-            held, events = tried(held, (nom, int(weight), int(size), int(holds)))
-            for e in events:
-                out.append((*key, n, *e))
-                n += 1
-        self.held.put(held)
-        self.steps.update((n,))
-        yield pd.DataFrame(out, columns=COLUMNS)
-
-    def close(self) -> None:
-        pass
-
-
-def trials(files: DataFrame) -> DataFrame:
-    """A stream of (folder_id, episode, id, nom, weight, size, holds) as a stream of EVENT rows.
-
-    Needs the RocksDB state store. Of one batch the files of an episode go in the order of id. An episode's arrivals in a
-    batch and its candidates are a handful of files that one task holds.
+    Rows go one by one, so that a task holds an episode's candidates but not its arrivals. Episodes with arrivals (every: all)
+    end with their candidates, as rows of kind held with the number of events so far; that number orders the events.
     """
-    ready = files.select(*KEY, "id", "nom", "weight", "size", "holds")
-    return ready.groupBy(*KEY).transformWithStateInPandas(Trial(), EVENT, "Append", "None")
+    schema = pa.schema([("folder_id", pa.int32()), ("episode", pa.int64()), ("step", pa.int64()), ("kind", pa.string()), ("place", pa.int64()), ("nom", pa.string()), ("weight", pa.int32()), ("size", pa.int64()), ("holds", pa.int64()), ("other", pa.string()), ("reason", pa.string())])
+    key, held, n, epoch, touched, out = None, [], 0, None, False, []
+    ended = lambda: [(*key, n, "held", *row, None, None) for row in held] if key and (touched or every) else []
+    packed = lambda: pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    for batch in batches:
+        for folder, number, late, before, place, nom, weight, size, holds, step in zip(*(batch.column(c).to_pylist() for c in ("folder_id", "episode", "late", "epoch", "place", "nom", "weight", "size", "holds", "step")), strict=True):
+            if (folder, number) != key:
+                out += ended()
+                key, held, n, epoch, touched = (folder, number), [], 0, before, False
+            if late:
+                held, events = tried(held, (nom, weight, size, holds))
+                out += [(*key, n + i, *e) for i, e in enumerate(events)]
+                n, touched = n + len(events), True
+            elif before == epoch:  # what it held in earlier batches is outdated
+                held.append((place, nom, weight, size, holds))
+                n = step
+            if len(out) >= AT_ONCE:
+                yield packed()
+                out = []
+    out += ended()
+    if out:
+        yield packed()
 
 
 def standing(log: DataFrame) -> DataFrame:
@@ -89,14 +83,11 @@ def standing(log: DataFrame) -> DataFrame:
     return last.select(*KEY, "place", "w.*")
 
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 class Candidates:
-    """Arrivals, state and events in a folder. A new object on the folder goes on where the old one stopped.
+    """Arrivals and events in a folder. A new object on the folder goes on where the old one stopped.
 
-    A batch that comes again rewrites its own events alone, from the state before it.
+    A batch that comes again rewrites its own events alone, from the candidates before it. Each batch writes the candidates
+    of the episodes that it touched, every FOLD-th one those of all, so a batch reads what has changed since.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
@@ -113,17 +104,22 @@ class Candidates:
         arrived = self.spark.readStream.schema("folder_id int, episode long, id long, nom string, weight int, size long, holds long").parquet(f"{self.folder}/arrived")
 
         def keep(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{self.folder}/events/epoch={epoch}")
+            every = epoch % FOLD == FOLD - 1
+            rows = batch.select(*KEY, F.lit(True).alias("late"), F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("place"), "nom", "weight", "size", "holds", "id", F.lit(0).cast("long").alias("step"))
+            if epoch:
+                held = self.log().where((F.col("kind") == "held") & (F.col("epoch") >= epoch // FOLD * FOLD - 1) & (F.col("epoch") < epoch))
+                rows = rows.unionByName(held.select(*KEY, F.lit(False).alias("late"), "epoch", "place", "nom", "weight", "size", "holds", F.lit(None).cast("long").alias("id"), "step"))
+            n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS + 1)
+            rows = rows.repartition(n, *KEY).sortWithinPartitions(*KEY, "late", F.desc("epoch"), "id", "place", "nom")
+            rows.mapInArrow(lambda b: trials(b, every), EVENT).write.mode("overwrite").partitionBy("kind").parquet(f"{self.folder}/events/epoch={epoch}")
+
+        arrived.writeStream.foreachBatch(keep).option("checkpointLocation", f"{self.folder}/progress").trigger(availableNow=True).start().awaitTermination()
 
-        before = self.spark.conf.get(PROVIDER, None)
-        self.spark.conf.set(PROVIDER, ROCKS)
-        try:
-            trials(arrived).writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", f"{self.folder}/progress").trigger(availableNow=True).start().awaitTermination()
-        finally:
-            self.spark.conf.unset(PROVIDER) if before is None else self.spark.conf.set(PROVIDER, before)
+    def log(self) -> DataFrame:
+        return self.spark.read.schema(f"{EVENT}, epoch int").parquet(f"{self.folder}/events")
 
     def events(self) -> DataFrame:
-        return self.spark.read.schema(EVENT).parquet(f"{self.folder}/events")
+        return self.log().where("kind <> 'held'").select(*COLUMNS)
 
     def errors(self) -> DataFrame:
         """Each candidate that a file tried in vain: folder_id, episode, step, nom, other, reason."""
