@@ -766,3 +766,19 @@ def test_state_log_is_folded(spark, tmp_path):
     assert sorted(map(tuple, state.classes().collect()), key=repr) == before
     with pytest.raises(ValueError, match="folded"):
         state.read(before=5)
+
+
+def test_knockout_of_small_and_large_merges(spark, monkeypatch):
+    """Merges are played in one row up to SMALL files, in rounds beyond; both ways give the same."""
+    r = random.Random(5)
+    files = [(g, g * 100 + i, i) for g in range(12) for i in range(r.randrange(1, 8))]
+    pairs = [(g, a, b, r.choice([True, False, None])) for g, a, _ in files for h, b, _ in files if g == h and a < b]
+    tables = spark.createDataFrame(files, "grp int, name long, place int"), spark.createDataFrame(pairs, "grp int, a long, b long, a_wins boolean")
+    got = {}
+    for small in (0, 3, 64):
+        monkeypatch.setattr(merging, "SMALL", small)
+        edges, out = merging.knockout(*tables)
+        way = edges.select("grp", "winner", "loser", (F.col("winner") * 3 - F.col("loser")).alias("delay"))
+        got[small] = ({tuple(x) for x in edges.collect()}, {tuple(x) for x in out.collect()}, {tuple(x) for x in merging.down(way).collect() if x.delay_ms})
+    assert got[0] == got[3] == got[64] and all(got[0])
+    assert {x[0] for x in got[0][0]} > {x[0] for x in got[0][1]}

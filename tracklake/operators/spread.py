@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS, PIECES, SAMPLE, HOT = 32, 64, 20_000, 4096
+TASK = 1 << 20  # rows of a table that one task sorts or groups
+
+
+def dealt(*tables: DataFrame) -> int:
+    """Into how many parts to deal tables that meet by a key, so that what a task holds doesn't grow with them."""
+    spark = tables[0].sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(t.count() for t in tables) // TASK + 1)
 
 
 def looked_up(rows: DataFrame, key: str, other: str, table: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracklake.functions import scalars, signals
 from tracklake.operators import catalog, cuts, delays, merging, records, refine, routing, selection, subtitles, tracks
 from tracklake.operators.rules import compare, parse
-from tracklake.operators.spread import numbered
+from tracklake.operators.spread import dealt, numbered
 from tracklake.plans.queries import BEATEN_SQL, FACTORS_SQL, ROUTED_SQL, RULE_TEXT, SOUNDS_SQL, WORDS_SQL, aligned, episodes, names, rule_table, series
 from tracklake.plans.registry import ORACLE, query
 from tracklake.sources import metadata
@@ -245,7 +245,8 @@ KNOCK_SQL = "t AS (SELECT DISTINCT l_orderkey AS grp, l_linenumber::BIGINT AS na
 
 def compared(spark, d):
     """Comparisons of the lines of an order: the smaller remainder wins; lines whose numbers differ by three don't fit."""
-    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("long").alias("name")).distinct()
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("long").alias("name"))
+    t = lines.repartition(dealt(lines), "grp").distinct()  # dealt once: what follows goes by grp
     a, b = t.withColumnRenamed("name", "a"), t.withColumnRenamed("name", "b")
     score = lambda c: (F.col(c) * 5 + F.col("grp")) % 7
     pairs = a.join(b, "grp").where("a < b").withColumn("a_wins", F.when(F.col("b") - F.col("a") != 3, score("a") < score("b")))
