@@ -782,3 +782,16 @@ def test_knockout_of_small_and_large_merges(spark, monkeypatch):
         got[small] = ({tuple(x) for x in edges.collect()}, {tuple(x) for x in out.collect()}, {tuple(x) for x in merging.down(way).collect() if x.delay_ms})
     assert got[0] == got[3] == got[64] and all(got[0])
     assert {x[0] for x in got[0][0]} > {x[0] for x in got[0][1]}
+
+
+def test_names_ask_for_few_pieces_of_many_rules(spark):
+    """Rules of 500 people share their groups of three letters; a name still asks for no piece but its own."""
+    rows = [(f"_U{u}_E([0-9]+)", u, "r", 1) for u in range(500)] + [("view_U[0-9]*7_", 900, "r", 0), ("aaa", 901, "r", 0)]
+    rules_ = spark.createDataFrame(rows, "regex_pattern string, folder_id int, rename_pattern string, weight int")
+    names = ["view_U17_E3", "click_U499_E1", "click_U500_E1", "xaaaa", "ab", "", "_U1_E2_U1_E3"]
+    noms = spark.createDataFrame([(n,) for n in names], "nom string")
+    index, short = routing.piece_index(rules_)
+    got = sorted((r.nom, r.piece) for r in routing.asked(noms, index).collect())
+    assert got == [("_U1_E2_U1_E3", "_U1_E"), ("click_U499_E1", "_U499_E"), ("view_U17_E3", "_U17_E"), ("view_U17_E3", "view_U"), ("xaaaa", "aaa")]
+    assert short.count() == 0
+    assert {(r.nom, r.folder_id) for r in routing.first_match(noms, rules_).collect()} == {("view_U17_E3", 17), ("click_U499_E1", 499), ("xaaaa", 901), ("_U1_E2_U1_E3", 1)}

@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from tracklake.functions.scalars import episode_group, episode_text, java_pattern, renamed, valid_episode
 from tracklake.operators.spread import looked_up, looked_up_by_size, numbered
+from tracklake.sources.tables import cut
 
 BLOCK = 200  # rules tried in one pass over the names
-GRAM = 3  # letters of a piece of a name in the index of rules
+GRAM = 3  # letters that a rule must need to be in the index, and that its piece is known by at both ends
 INDEXED = 100_000  # rules whose index is broadcast; a larger one is met by a dealt join
 
 
@@ -61,26 +62,43 @@ def tried(names: DataFrame, some: list[Row], rules: DataFrame) -> DataFrame:
     return names.withColumn("_first", first).join(F.broadcast(numbered_), "_first").drop("_first")  # at most BLOCK rules
 
 
-def gram_index(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rules under the rarest GRAM letters of what they need (adds gram), and the rules that need less than that."""
-    known = rules.withColumn("_needed", F.udf(lambda p: needed(p), "string")("regex_pattern"))  # once a rule
-    short = F.length("_needed") < GRAM
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_needed") - GRAM + 1), lambda i: F.substring("_needed", i, GRAM)))
-    every = known.where(~short).select("regex_pattern", F.explode(grams).alias("gram")).distinct()
-    best = every.join(every.groupBy("gram").agg(F.count("*").alias("_n")), "gram").groupBy("regex_pattern").agg(F.min_by("gram", F.struct("_n", "gram")).alias("gram"))
-    return rules.join(best, "regex_pattern").select(*rules.columns, "gram"), known.where(short).drop("_needed")
+def piece_index(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rules with the piece that they need, whole (adds piece), and the rules that need less than GRAM letters."""
+    known = rules.withColumn("piece", F.udf(needed, "string")("regex_pattern"))  # once a rule
+    short = F.length("piece") < GRAM
+    return known.where(~short), known.where(short).drop("piece")
+
+
+def asked(noms: DataFrame, index: DataFrame) -> DataFrame:
+    """nom, piece: the pieces of each name that some rule may need.
+
+    Of the places of a name only those count whose first GRAM letters begin some piece, and of these only the lengths of
+    such pieces that end in the right letters too; so a name asks for few pieces, however many rules there are.
+    """
+    shape = lambda piece: (F.substring(piece, 1, GRAM).alias("head"), F.length(piece).alias("wide"), F.right(piece, F.lit(GRAM)).alias("tail"))
+    shapes = cut(index.select(*shape("piece")).distinct())
+    near = shapes.count() <= INDEXED
+    heads = shapes.groupBy("head").agg(F.collect_set("wide").alias("_wide"))
+    places = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("nom") - GRAM + 1), lambda i: F.substring("nom", i, GRAM))).alias("_at", "head")
+    at = noms.where(F.length("nom") >= GRAM).select("nom", places)
+    at = at.join(F.broadcast(heads), "head") if near else looked_up(at, "head", "nom", heads)
+    one = at.select("nom", "_at", F.explode("_wide").alias("wide")).where(F.col("_at") + F.col("wide") <= F.length("nom"))
+    one = one.select("nom", F.expr("substring(nom, _at + 1, wide)").alias("piece"))
+    if near:
+        one = one.select("nom", "piece", *shape("piece")).join(F.broadcast(shapes), ["head", "wide", "tail"], "left_semi").select("nom", "piece")
+    return one.distinct()
 
 
 def found_by_index(names: DataFrame, rules: DataFrame, by_weight: bool) -> DataFrame:
-    """As first_match, for any number of rules: each distinct name tries those that need letters which it has.
+    """As first_match, for any number of rules: each distinct name tries those that need a piece which it has.
 
     Rules that need too little are tried by blocks, each a pass over the distinct names.
     """
-    noms = names.where("nom is not null").groupBy("nom").agg(F.count("*").alias("_times"))
-    index, short = gram_index(rules)
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("nom") - GRAM + 1), lambda i: F.substring("nom", i, GRAM)))
-    asked = noms.where(F.length("nom") >= GRAM).select("nom", F.explode(pieces).alias("gram"))
-    met = asked.join(F.broadcast(index), "gram") if index.count() <= INDEXED else looked_up(asked, "gram", "nom", index)
+    noms = cut(names.where("nom is not null").groupBy("nom").agg(F.count("*").alias("_times")))
+    index, short = piece_index(rules)
+    index = cut(index)
+    wanted = asked(noms.select("nom"), index)
+    met = wanted.join(F.broadcast(index), "piece") if index.count() <= INDEXED else looked_up(cut(wanted), "piece", "nom", index)
     sure = met.where(F.rlike("nom", F.regexp_replace("regex_pattern", r"\(\?P<", "(?<"))).select("nom", *rules.columns)
     order = [F.desc("weight"), F.col("regex_pattern")] if by_weight else [F.col("regex_pattern")]
     for some in blocks(short, *order):
