@@ -795,3 +795,18 @@ def test_names_ask_for_few_pieces_of_many_rules(spark):
     assert got == [("_U1_E2_U1_E3", "_U1_E"), ("click_U499_E1", "_U499_E"), ("view_U17_E3", "_U17_E"), ("view_U17_E3", "view_U"), ("xaaaa", "aaa")]
     assert short.count() == 0
     assert {(r.nom, r.folder_id) for r in routing.first_match(noms, rules_).collect()} == {("view_U17_E3", 17), ("click_U499_E1", 499), ("xaaaa", 901), ("_U1_E2_U1_E3", 1)}
+
+
+def test_parts_grow_with_the_rows(spark, monkeypatch):
+    """Stars, cliques and cascades deal their tables into more parts as they grow, so that no task holds more."""
+    monkeypatch.setattr(spread, "TASK", 50)
+    monkeypatch.setattr(catalog, "LARGE", 50)
+    rows = spark.range(600).select((F.col("id") % 200).alias("grp"), F.floor(F.col("id") / 200).alias("name"), (F.col("id") < 200).alias("forced"))
+    pairs = rows.where("name > 0").select("grp", F.lit(0).cast("long").alias("a"), F.col("name").alias("b"), (F.col("name") == 1).alias("fits"))
+    star = merging.star(rows, pairs)
+    assert star.rdd.getNumPartitions() == 13 and star.where("compatible").count() == 200 and star.count() == 400
+    made = merging.cliques(rows.select("grp", F.col("name").alias("member")), pairs.where("fits").select("grp", F.col("a").alias("i"), F.col("b").alias("j")))
+    assert made.rdd.getNumPartitions() == 13 and made.where("clique = 0").count() == 400 and made.count() == 600
+    t = {"folder": spark.range(300).toDF("k"), "file": rows.select(F.col("grp").alias("k"), "name")}
+    kept, lost = catalog.cascade(t, [catalog.Link("folder", "k", "file", "k")], {"folder": spark.range(100).toDF("k")})
+    assert kept["file"].rdd.getNumPartitions() == 19 and kept["file"].count() == 300 and lost["file"].count() == 300

@@ -7,8 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.operators.spread import dealt
 from tracklake.sources.tables import cut
 
+LARGE = 1 << 18  # rows of a parent from which both sides are dealt by its key
+
 
 def like(table: DataFrame, column: str, part: str) -> DataFrame:
     """Rows whose column contains the part; % and _ in it are wildcards."""
@@ -85,7 +88,11 @@ def cascade(tables: dict[str, DataFrame], links: list[Link], doomed: dict[str, D
         for link in (x for x in links if x.child == name):
             above = state[link.parent].select(F.col(link.key).alias(link.column), F.col("_reason").isNull().alias("_stands"))
             # a key that comes again stands as long as one of its rows does
-            above = above.where(F.col(link.column).isNotNull()).groupBy(link.column).agg(F.bool_or("_stands").alias("_stands"))
+            above = above.where(F.col(link.column).isNotNull())
+            if state[link.parent].count() > LARGE:  # else Spark sends the parent's keys to its children
+                n = dealt(tables[name], state[link.parent])
+                above, df = above.repartition(n, link.column), df.repartition(n, link.column)
+            above = above.groupBy(link.column).agg(F.bool_or("_stands").alias("_stands"))
             found = F.when(F.col("_stands").isNull(), "orphan").when(~F.col("_stands"), "cascade")
             df = df.join(above, link.column, "left").withColumn("_reason", F.coalesce("_reason", found)).drop("_stands")
         return df.select(*tables[name].columns, "_reason")
