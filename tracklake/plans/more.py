@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import scalars
 from tracklake.operators import merging, records
+from tracklake.operators.spread import dealt
 from tracklake.plans.registry import query
 from tracklake.sources.tables import table
 
@@ -147,7 +148,8 @@ def merge_plan(spark, d):
 
 @query("SELECT DISTINCT l_orderkey AS grp, l_linenumber::BIGINT AS member, min(l_linenumber) OVER (PARTITION BY l_orderkey, (l_orderkey + l_linenumber * l_linenumber) % 3)::BIGINT AS clique FROM lineitem")
 def audio_cliques(spark, d):
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("long").alias("member"), ((F.col("l_orderkey") + F.col("l_linenumber") * F.col("l_linenumber")) % 3).alias("k")).distinct()
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("long").alias("member"), ((F.col("l_orderkey") + F.col("l_linenumber") * F.col("l_linenumber")) % 3).alias("k"))
+    lines = lines.repartition(dealt(lines), "grp").distinct()
     a, b = lines.select("grp", F.col("member").alias("i"), F.col("k").alias("x")), lines.select("grp", F.col("member").alias("j"), F.col("k").alias("y"))
     measured = a.join(b, "grp").where("i < j").select("grp", "i", "j", F.when(F.col("x") == F.col("y"), 0.95).otherwise(0.5).alias("fidelity"), F.lit(0).alias("delay_ms"))
     return merging.cliques(lines.select("grp", "member"), merging.compatible_pairs(measured))
