@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Codec classes and the words that log lines are kept for.
 PICTURE_CODECS = ("hdmv_pgs_subtitle", "dvd_subtitle", "dvb_subtitle", "xsub")
 PLAIN_CODECS = ("subrip", "srt", "text", "mov_text")
+EXACT = 9  # digits of a mean that count when it is compared with a bound
 LOG_WORDS = ("error", "warning", "failed", "invalid", "missing", "corrupt", "attachment", "uid")
 
 
@@ -130,8 +131,11 @@ def result_line(file: Column, seconds: Column) -> Column:
 
 
 def compatible_globally(rows: DataFrame, group: str, least: float = 0.85) -> DataFrame:
-    """Groups whose mean fidelity suffices; all_torn: each segment has several offsets."""
-    return rows.groupBy(group).agg((F.avg("fidelity") >= least).alias("compatible"), F.bool_and(F.col("offsets") > 1).alias("all_torn"))
+    """Groups whose mean fidelity suffices; all_torn: each segment has several offsets.
+
+    A mean at the bound suffices, in whatever order its values are added up: what addition rounds is not counted.
+    """
+    return rows.groupBy(group).agg((F.round(F.avg("fidelity"), EXACT) >= least).alias("compatible"), F.bool_and(F.col("offsets") > 1).alias("all_torn"))
 
 
 def strategy(left: Column, right: Column, memory: float) -> Column:
