@@ -823,3 +823,14 @@ def test_mean_at_the_bound(spark):
     assert any(added(g) / len(values) < 0.85 for g in range(40))
     got = records.compatible_globally(spark.createDataFrame(rows, "g int, fidelity double, offsets int").coalesce(1), "g").collect()
     assert {r.g for r in got if not r.compatible} == {99}
+
+
+def test_event_rows_are_numbered_once(spark, monkeypatch):
+    from tracklake.plans import further
+
+    calls, plain = [], further.numbered
+    monkeypatch.setattr(further, "numbered", lambda *a: calls.append(a) or plain(*a))
+    monkeypatch.setattr(delays, "combined", lambda first, fine, whole: first)
+    monkeypatch.setattr(delays, "rechecked", lambda start, second, third: start)
+    assert further.delay_rechecked(spark, "/root/testdata/sf0.001").count() == 1000
+    assert len(calls) == 1

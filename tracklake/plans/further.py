@@ -11,7 +11,7 @@ from tracklake.operators.spread import dealt, numbered
 from tracklake.plans.queries import BEATEN_SQL, FACTORS_SQL, ROUTED_SQL, RULE_TEXT, SOUNDS_SQL, WORDS_SQL, aligned, episodes, names, rule_table, series
 from tracklake.plans.registry import ORACLE, query
 from tracklake.sources import metadata
-from tracklake.sources.tables import table
+from tracklake.sources.tables import cut, table
 
 
 # ---- measurements and delay decisions: customers are matches, line numbers are tracks and segments
@@ -44,17 +44,17 @@ fine AS (SELECT match, pair, CASE WHEN pair = 1 THEN 0.5 ELSE 0.02 END::DOUBLE A
 
 def event_rows(spark, d):
     rows = numbered(table(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "segment")
-    return rows.select(F.floor(F.col("user_id") / 3).alias("match"), (F.col("user_id") % 3).alias("pair"), "segment", "event_id", "value")
+    return cut(rows.select(F.floor(F.col("user_id") / 3).alias("match"), (F.col("user_id") % 3).alias("pair"), "segment", "event_id", "value"))  # numbered once, read many times
 
 
-def first_rows(spark, d):
+def first_rows(rows):
     m, p, s = F.col("match") % 6, F.col("pair"), F.col("segment")
     delay = F.when(m == 0, 40).when(m == 1, F.when(s == 1, 0).otherwise(s % 2 * 125)).when(m == 2, p * 60).when(m == 3, F.when(p == 0, s % 3 * 400).otherwise(40)).when(m == 4, F.when(p == 2, s % 2 * 100).otherwise(40)).otherwise(F.col("event_id") % 5 * 300)
-    return event_rows(spark, d).select("match", "pair", "segment", (F.lit(0.75) + (F.col("event_id") % 21) / 100.0).alias("fidelity"), delay.cast("long").alias("delay_ms"))
+    return rows.select("match", "pair", "segment", (F.lit(0.75) + (F.col("event_id") % 21) / 100.0).alias("fidelity"), delay.cast("long").alias("delay_ms"))
 
 
-def started(spark, d):
-    first = first_rows(spark, d)
+def started(rows):
+    first = first_rows(rows)
     fine = first.select("match", "pair").distinct().withColumn("delay_s", F.when(F.col("pair") == 1, 0.5).otherwise(0.02))
     whole = first.select("match").distinct().withColumn("delay_s", F.when(F.col("match") % 4 == 0, 0.3).otherwise(0.01))
     return delays.combined(first, fine, whole).drop("low", "high")
@@ -72,7 +72,7 @@ combined AS (SELECT match, ignored, CASE WHEN kinds = 1 THEN coalesce(nullif(las
 
 @query(f"WITH {COMBINED_SQL} SELECT match, array_to_string(ignored, ',') AS ignored, delay_ms, reason FROM combined")
 def delay_combined(spark, d):
-    return started(spark, d).withColumn("ignored", F.array_join("ignored", ","))
+    return started(event_rows(spark, d)).withColumn("ignored", F.array_join("ignored", ","))
 
 
 @query(f"""WITH {COMBINED_SQL}, second AS (SELECT match, pair, segment, 0.8 + (event_id % 21) / 100.0::DOUBLE AS fidelity, CASE match % 4 WHEN 1 THEN 20 WHEN 2 THEN CASE WHEN segment % 7 = 3 THEN 100 ELSE 0 END WHEN 3 THEN segment % 3 * 90 ELSE 0 END AS delay FROM e),
@@ -89,7 +89,7 @@ def delay_rechecked(spark, d):
     rows = event_rows(spark, d)
     second = rows.select("match", "pair", "segment", (F.lit(0.8) + (F.col("event_id") % 21) / 100.0).alias("fidelity"), delay.alias("delay_ms"))
     third = rows.select("match", "pair", "segment", F.lit(0.95).alias("fidelity"), F.lit(0).cast("long").alias("delay_ms"))  # settled by then
-    return delays.rechecked(started(spark, d), second, third).drop("more")
+    return delays.rechecked(started(rows), second, third).drop("more")
 
 
 @query("""WITH e AS (SELECT user_id // 3 AS match, user_id % 3 AS pair, event_id AS segment, (event_id % 11) / 100.0::DOUBLE * (CASE WHEN user_id // 3 % 3 = 0 THEN 0 ELSE user_id % 3 END) + CASE WHEN user_id // 3 % 5 = 1 THEN user_id % 3 * 0.4 ELSE 0.01 END::DOUBLE AS d FROM events),
