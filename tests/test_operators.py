@@ -685,6 +685,48 @@ def test_two_long_signals_in_blocks(spark):
     assert {x.key: x.lag for x in both} == want and {x.strategy for x in both} == {"full", "blocks"}
 
 
+@pytest.mark.parametrize("span", [16, 200, 1 << 17])
+def test_signals_of_many_blocks(spark, monkeypatch, span):
+    """Every lag of signals of many blocks against plain sums, whatever a task holds; a key of few blocks goes the other way."""
+    monkeypatch.setattr(correlation, "SPAN", {False: span, True: span})
+    r = np.random.default_rng(5)
+    sizes = {"a": (203, 131), "b": (90, 3), "c": (1, 160), "d": (17, 20), "e": (96, 96), "f": (12, 0)}
+    left, right = ({k: r.normal(size=v[i]) for k, v in sizes.items()} for i in (0, 1))
+    sides, about = correlation.both(as_blocks(spark, left, 6, "double"), as_blocks(spark, right, 6, "double"))
+    got = {}
+    for x in correlation.curve(sides, about, False, 6).collect():
+        for i, v in enumerate(x["values"]):
+            assert got.setdefault((x.key, x.start + i * x.step), v) == v
+    want = {(k, i - len(right[k]) + 1): v for k in "abcde" for i, v in enumerate(np.correlate(left[k], right[k], "full"))}
+    got = {k: v for k, v in got.items() if k in want or abs(v) > 1e-9}
+    assert got == pytest.approx(want)
+    words, other = ({k: r.integers(0, 1 << 32, v[i]) for k, v in sizes.items()} for i in (0, 1))
+    monkeypatch.setattr(correlation, "FEW", {True: 8})
+    sides, about = correlation.both(as_blocks(spark, words, 6, "long"), as_blocks(spark, other, 6, "long"))
+    got = {(x.key, x.start + i * x.step): round(v) for x in correlation.curve(sides, about, True, 6).collect() for i, v in enumerate(x["values"])}
+    planes = lambda x: (x[:, None] >> np.arange(32) & 1) * 2 - 1
+    want = {(k, i - j): 0 for k in "abcde" for i in range(sizes[k][0]) for j in range(sizes[k][1])}
+    for k in "abcde":
+        for i, row in enumerate(planes(words[k]) @ planes(other[k]).T):
+            for j, v in enumerate(row.tolist()):
+                want[k, i - j] += v
+    assert {k: v for k, v in got.items() if k in want or v} == want
+
+
+def test_what_long_signals_send_grows_with_them(spark, monkeypatch):
+    """Values that go into Arrow tasks, for signals of 64 and 256 blocks."""
+    kind, seen = type(spark.range(0)), []
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, *a, **k: (seen.append(df), plain(df, *a, **k))[1])
+    r, sent = np.random.default_rng(1), []
+    for n in (512, 2048):
+        seen.clear()
+        x = {"k": r.normal(size=n)}
+        assert [y.lag for y in correlation.lag(as_blocks(spark, x, 8, "double"), as_blocks(spark, {"k": x["k"][5:]}, 8, "double"), 8).collect()] == [5]
+        sent.append(sum(df.agg(F.sum(F.size("values"))).first()[0] or 0 for df in seen))
+    assert sent[1] < 5 * sent[0]
+
+
 def test_running_over_pieces(spark, monkeypatch):
     """One group with most rows: shared out by pieces, equal to plain running values."""
     r = random.Random(3)
