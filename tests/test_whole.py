@@ -2,8 +2,12 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from tests.test_operators import knocked_out
-from tracklake.operators import merging, whole
+from tracklake.operators import delays, measuring, merging, whole
+from tracklake.plans.queries import words_of
 
 
 def test_files_of_the_same_sound(spark):
@@ -55,3 +59,35 @@ def test_forced_winner_meets_all(spark):
     assert sorted(asked) == [(1, 1, 3), (1, 2, 3), (1, 3, 4)]
     assert {(r.winner, r.loser) for r in edges.collect()} == {(3, 1), (3, 4)}
     assert {r.name for r in done.collect()} == {2, 3}
+
+
+def test_words_of_long_and_torn_sound(spark):
+    """Words of more octets than a piece holds, with places missing, against plain sums."""
+    r = random.Random(2)
+    rows = [(k, n, r.uniform(-1, 1)) for k, ends in (("a", range(3, 9000)), ("b", range(4080, 4140)), ("c", range(10))) for n in ends if not (k == "a" and 4200 <= n < 4260)]
+    octets = {}
+    for k, n, v in rows:
+        octets[k, n // 8] = octets.get((k, n // 8), 0) + ((1 << n % 8) if v > 0 else 0)
+    want = {(k, q, sum(octets[k, q + i] << 8 * i for i in range(4))) for k, q in octets if all((k, q + i) in octets for i in range(4))}
+    assert {tuple(x) for x in words_of(spark.createDataFrame(rows, "key string, n long, value double").repartition(5), ["key"]).collect()} == want
+
+
+def test_only_sound_in_reach_is_measured(spark, monkeypatch):
+    """A long recording: what meets in a round is the grid and what delays may reach, and the decision is that of the whole."""
+    r = np.random.default_rng(6)
+    sound = r.normal(size=20_000)
+    rows = [(1, file, file, n, float(v)) for file, late in ((1, 0), (2, 80)) for n, v in enumerate(sound, late)]
+    samples = spark.createDataFrame(rows, "grp long, file long, ord long, n long, value double")
+    grid = spark.createDataFrame([(1, k, float(b), 8.0) for k, b in enumerate((20, 29, 38))], "grp long, segment long, begin_s double, length_s double")
+    sounds = whole.Sounds(words_of(samples, ["grp", "file", "ord"]), samples, grid, 8.0, 64.0)
+    pairs = spark.createDataFrame([(7, 1, 1, 2)], "match long, grp long, a long, b long")
+    tracks = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "grp long, file long, ord long")
+    near, all_ = whole.heard(sounds, pairs, tracks), whole.heard(sounds, pairs, tracks, True)
+    assert all_.samples.count() == 40_000
+    least, most, n = near.samples.agg(F.min("n"), F.max("n"), F.count("*")).first()
+    assert (20 - 17) * 64 - 3 < least <= (20 - 17) * 64 and (46 + 17) * 64 <= most < (46 + 17) * 64 + 3 and n == 2 * (most - least + 1)
+    asked, plain = [], delays.summary
+    monkeypatch.setattr(delays, "summary", lambda *a, **k: (asked.append(1), plain(*a, **k))[1])
+    got = [tuple(x) for x in measuring.decided(near).collect()]
+    assert len(asked) <= 3  # each round of words is summed up once
+    assert got == [tuple(x) for x in measuring.decided(all_).collect()] == [(7, 1250, 1250.0, None)]

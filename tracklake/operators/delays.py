@@ -176,14 +176,15 @@ def middle(low: Column, high: Column) -> Column:
     return F.bround((low + high) / 2, 0).cast("long")
 
 
-def combined(first: DataFrame, fine_pair: DataFrame, fine_match: DataFrame) -> DataFrame:
+def combined(first: DataFrame, fine_pair: DataFrame, fine_match: DataFrame, one: DataFrame | None = None) -> DataFrame:
     """Test 1 of all pairs of a match: match, ignored (pairs), delay_ms (null where it is incompatible), reason, and the
     least and largest delay of its pairs.
 
     first: match, pair, segment, fidelity, delay_ms. fine_pair: match, pair, delay_s measured at the middle of a pair that
     has two near delays; fine_match: match, delay_s measured at the middle of two near delays of the match.
+    one: what `stage_one` says of first, if known.
     """
-    one = stage_one(first, PAIR).join(fine_pair.select(*PAIR, F.col("delay_s").alias("_fine")), list(PAIR), "left")
+    one = (stage_one(first, PAIR) if one is None else one).join(fine_pair.select(*PAIR, F.col("delay_s").alias("_fine")), list(PAIR), "left")
     span = first.groupBy(*PAIR).agg(F.min("delay_ms").alias("low"), F.max("delay_ms").alias("high"))
     one = one.join(span, list(PAIR)).withColumn("_found", F.when(F.col("verdict") == "adjust", settled(middle(F.col("low"), F.col("high")), F.col("_fine"))))
     used = (F.col("verdict") == "accept") | F.col("_found").isNotNull()
@@ -198,16 +199,18 @@ def combined(first: DataFrame, fine_pair: DataFrame, fine_match: DataFrame) -> D
     return s.select("match", "ignored", delay.alias("delay_ms"), reason.alias("reason"), "low", "high")
 
 
-def rechecked(start: DataFrame, second: DataFrame, third: DataFrame) -> DataFrame:
+def rechecked(start: DataFrame, second: DataFrame, third: DataFrame | None, checked: DataFrame | None = None) -> DataFrame:
     """Tests 2 and 3: match, delay_ms (null where incompatible), test (the last one looked at), more (what test 2 adds).
 
     start: match, ignored, delay_ms, as of `combined`. second: rows measured with that delay applied; third: with the
-    delay that test 2 adds applied too. Of several delays in test 2 the least is added.
+    delay that test 2 adds applied too (None: none is). Of several delays in test 2 the least is added. checked: what
+    `stage_check` says of second, if known and second has no other rows than those of matches and pairs in use.
     """
     begun = start.where("delay_ms is not null")
     keep = lambda rows: rows.join(begun.select("match", "ignored"), "match").where(~F.array_contains("ignored", F.col("pair"))).drop("ignored")
-    two = stage_check(keep(second), keys=PAIR).groupBy("match").agg(F.bool_or(F.col("verdict") == "incompatible").alias("bad"), F.countDistinct("delay_ms").alias("kinds"), F.min("delay_ms").alias("more"))
-    three = stage_check(keep(third), True, PAIR, "match").groupBy("match").agg(
+    two = (stage_check(keep(second), keys=PAIR) if checked is None else checked).groupBy("match").agg(F.bool_or(F.col("verdict") == "incompatible").alias("bad"), F.countDistinct("delay_ms").alias("kinds"), F.min("delay_ms").alias("more"))
+    none = start.select("match", *(F.lit(None).cast(t).alias(c) for c, t in (("verdict", "string"), ("delay_ms", "long"), ("distinct", "long"), ("low", "long"), ("high", "long"), ("mean_fidelity", "double"), ("pair", "string")))).limit(0)
+    three = (none if third is None else stage_check(keep(third), True, PAIR, "match")).groupBy("match").agg(
         F.bool_or(F.col("verdict") == "incompatible").alias("bad3"), F.bool_and(F.col("delay_ms") == 0).alias("still"),
         F.bool_and((F.col("distinct") <= 2) & (F.abs("low") < CHECK_MS) & (F.abs("high") < CHECK_MS)).alias("small"), F.max_by("mean_fidelity", "pair").alias("mean"))
     s = begun.join(two, "match", "left").join(three, "match", "left")

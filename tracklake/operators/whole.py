@@ -66,13 +66,16 @@ def same_sound(tracks: DataFrame, forced: DataFrame | None = None) -> DataFrame:
     return placed.select("grp", "file", "representative", F.bround((F.col("_r") - F.col("_d")) * 1000, 0).cast("long").alias("delay_ms"))
 
 
-def heard(sounds: Sounds, pairs: DataFrame, tracks: DataFrame) -> measuring.Tracks:
-    """The sound of pairs (match, grp, a, b) of files, by the tracks (grp, file, ord) that count."""
+def heard(sounds: Sounds, pairs: DataFrame, tracks: DataFrame, all_: bool = False) -> measuring.Tracks:
+    """The sound of pairs (match, grp, a, b) of files, by the tracks (grp, file, ord) that count; without the places that
+    `measuring.decided` can't read, unless all are wanted."""
     sides = pairs.select("match", "grp", F.col("a").alias("file"), F.lit(1).alias("side")).unionByName(pairs.select("match", "grp", F.col("b").alias("file"), F.lit(2).alias("side")))
-    wanted = cut(sides.join(tracks, ["grp", "file"]))
-    own = lambda rows: cut(rows.join(wanted, ["grp", "file", "ord"]).select("match", "side", F.col("ord").cast("string").alias("track"), "n", "value"))
-    grid = pairs.select("match", "grp").join(sounds.grid, "grp").select("match", "segment", "begin_s", "length_s")
-    return measuring.Tracks(own(sounds.words), own(sounds.samples), cut(grid), sounds.word_rate, sounds.sample_rate)
+    grid = cut(pairs.select("match", "grp").join(sounds.grid, "grp").select("match", "segment", "begin_s", "length_s"))
+    wanted, on = sides.join(tracks, ["grp", "file"]), ["grp", "file", "ord"]
+    wanted = cut(wanted if all_ else wanted.join(measuring.reach(grid), "match"))
+    near = lambda rows, rate: rows.join(wanted, on) if all_ else measuring.within(rows, wanted, on, rate)
+    own = lambda rows, rate: cut(near(rows, rate).select("match", "side", F.col("ord").cast("string").alias("track"), "n", "value"))
+    return measuring.Tracks(own(sounds.words, sounds.word_rate), own(sounds.samples, sounds.sample_rate), grid, sounds.word_rate, sounds.sample_rate)
 
 
 def compared(sounds: Sounds, tracks: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -142,7 +145,12 @@ def alike(sounds: Sounds, kept: DataFrame, delays: DataFrame) -> DataFrame:
     i, j = (at.select("grp", "language", F.col("ord").alias(o), F.col("delay_ms").alias(f"_{o}")) for o in ("i", "j"))
     match = cut(at.select("grp").distinct().withColumn("match", F.monotonically_increasing_id()))
     pairs = cut(i.join(j, ["grp", "language"]).where("i < j").join(match, "grp"))
-    own = sounds.words.join(at.select("grp", "file", "ord"), ["grp", "file", "ord"], "left_semi").join(match, "grp").select("match", F.col("ord").cast("string").alias("track"), "n", "value")
+    # the second track of a pair is read at the difference of two delays
+    apart = at.groupBy("grp").agg(((F.max("delay_ms") - F.min("delay_ms")) / 1000 + 1).alias("_d"))
+    bounds = sounds.grid.groupBy("grp").agg(F.min("begin_s").alias("_b"), F.max(F.col("begin_s") + F.col("length_s")).alias("_e")).join(apart, "grp")
+    bounds = bounds.select("grp", (F.col("_b") - F.col("_d")).alias("low_s"), (F.col("_e") + F.col("_d")).alias("high_s"))
+    there = cut(at.select("grp", "file", "ord").join(match, "grp").join(bounds, "grp"))
+    own = measuring.within(sounds.words, there, ["grp", "file", "ord"], sounds.word_rate).select("match", F.col("ord").cast("string").alias("track"), "n", "value")
     words = cut(own.withColumn("side", F.explode(F.array(F.lit(1), F.lit(2)))))
     t = measuring.Tracks(words, words, cut(match.join(sounds.grid, "grp").select("match", "segment", "begin_s", "length_s")), sounds.word_rate, sounds.sample_rate)
     pair = F.concat_ws("-", "i", "j")
@@ -206,7 +214,7 @@ def torn(sounds: Sounds, able: DataFrame, rejected: DataFrame, done: DataFrame,
     root = done.join(out, ["grp", "name"], "left_anti").select("grp", F.col("name").alias("root"))
     pairs = rejected.where("reason = 'not compatible'").join(root, "grp").select("grp", F.col("root").alias("a"), F.col("file").alias("b"))
     p = cut(pairs.withColumn("match", F.monotonically_increasing_id()))
-    t = heard(sounds, p, able.select("grp", "file", "ord"))
+    t = heard(sounds, p, able.select("grp", "file", "ord"), True)
     length = t.samples.groupBy("match", "side").agg((F.max("n") + 1).alias("_n")).groupBy("match").agg((F.min("_n") / t.sample_rate).alias("duration_s"))
     fit = probes.step(probes.measured(t, cut(probes.spread_over(length))), "match", "center_s", "delay_s")
     return p.join(fit, "match").select("grp", F.col("b").alias("file"), F.col("a").alias("root"), "kind", "at", "before", "after")

@@ -130,8 +130,8 @@ def candidates_tried(spark, d):
 
 def whole_merge(spark, d) -> whole.Merged:
     """Five files a label: its vectors as sound, torn; whole; later; the third one's sound again, later by a tag; another language."""
-    some, sides = sounded(spark, d, F.lit(0))
-    one = sides.where("side = 1").select(F.col("match").alias("grp"), "n", "value")
+    some, sides = sounded(spark, d, None)
+    one = sides.select(F.col("match").alias("grp"), "n", "value")
     later = F.col("grp") % 5 * 40
     make = lambda file, by: one.select("grp", F.lit(file).cast("long").alias("file"), F.lit(file * 10 + 1).cast("long").alias("ord"), (F.col("n") + by).alias("n"), "value")
     tear = F.when(F.col("n") >= 22 * 64, 96).otherwise(0)

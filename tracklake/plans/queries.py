@@ -284,24 +284,29 @@ def long_lags(spark, d):
     return correlation.chosen_lag(correlation.blocks(cut_off(-1), "value", 256), correlation.blocks(cut_off(1), "value", 256), 18.0 * 512, 256)
 
 
-def sounded(spark: SparkSession, d: str, tear: Column) -> tuple[DataFrame, DataFrame]:
+def sounded(spark: SparkSession, d: str, tear: Column | None) -> tuple[DataFrame, DataFrame]:
     """Each label's vectors as a recording of 64 samples a second, and the same again, starting later by some five words of its
-    fingerprint and by the tear: (match, c, its seconds) and samples."""
+    fingerprint and by the tear (not again without one): (match, c, its seconds) and samples."""
     rows = table(spark, d, "embeddings").where("label is not null").select(F.col("label").cast("long").alias("match"), "vec_id", "embedding")
     some = rows.groupBy("match").agg(F.count("*").alias("c")).where("c >= 45")
     v = numbered(rows.join(some, "match", "left_semi"), ["match"], "vec_id", "v")
     one = v.select("match", "v", F.posexplode("embedding").alias("p", "value")).select("match", F.lit(1).alias("side"), ((F.col("v") - 1) * 64 + F.col("p")).alias("n"), F.col("value").cast("double").alias("value"))
     one = one.join(F.broadcast(some), "match") if some.limit(4096).count() < 4096 else one.join(some, "match")
-    moved = one.withColumns({"n": F.col("n") + F.col("match") % 5 * 40 + tear, "side": F.lit(2)})
-    return some, cut(one.unionByName(moved).drop("c").withColumn("track", F.lit("a")))
+    if tear is not None:
+        one = one.unionByName(one.withColumns({"n": F.col("n") + F.col("match") % 5 * 40 + tear, "side": F.lit(2)}))
+    return some, cut(one.drop("c").withColumn("track", F.lit("a")))
 
 
 def words_of(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Words of the signs of 32 samples (n, value), one begun every 8 samples."""
     octets = samples.groupBy(*keys, F.floor(F.col("n") / 8).alias("q")).agg(F.sum(F.when(F.col("value") > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("n") % 8).cast("int"))).otherwise(0)).alias("o"))
-    spread_ = octets.select(*keys, "q", "o", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-    words = spread_.groupBy(*keys, (F.col("q") - F.col("k")).alias("n")).agg(F.sum(F.call_function("shiftleft", F.col("o"), F.col("k") * 8)).alias("value"), F.count("*").alias("c"))
-    return words.where("c = 4 and n >= 0").drop("c")
+    # pieces of 512 octets, with the three that follow them
+    dealt = octets.withColumns({"_at": F.floor(F.col("q") / 512), "_own": F.lit(True)})
+    dealt = dealt.unionByName(dealt.where("pmod(q, 512) < 3").withColumns({"_at": F.col("_at") - 1, "_own": F.lit(False)}))
+    w = Window.partitionBy(*keys, "_at").orderBy("q")
+    value = sum((F.call_function("shiftleft", F.lead("o", k).over(w), F.lit(8 * k)) for k in (1, 2, 3)), F.col("o"))
+    words = dealt.withColumns({"value": value, "_last": F.lead("q", 3).over(w)})
+    return words.where("_own and _last = q + 3 and q >= 0").select(*keys, F.col("q").alias("n"), "value")
 
 
 def recorded(spark: SparkSession, d: str) -> measuring.Tracks:
@@ -317,7 +322,7 @@ def recorded(spark: SparkSession, d: str) -> measuring.Tracks:
 FROM (SELECT label::BIGINT AS match FROM embeddings WHERE label IS NOT NULL GROUP BY label HAVING count(*) >= 45)""")
 def measured_delays(spark, d):
     """Fingerprints and samples in, delays and reasons out: no measurement is handed in."""
-    return measuring.decided(recorded(spark, d))
+    return measuring.decided(measuring.reached(recorded(spark, d)))
 
 
 def shifted_signals(spark: SparkSession, d: str) -> DataFrame:
