@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklake.llm import langid, near_dedup, packing, pii, suffix_dedup
-from tracklake.llm.common import cut
+from tracklake.llm.common import tidied
 from tracklake.llm.entry import WORDS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -56,10 +56,12 @@ STAGES = [("language", language), ("near_duplicates", near), ("repeated_passages
 ORACLE_SQL = None
 
 
+@tidied
+def up_to(spark: SparkSession, sf_dir: str, last: int) -> DataFrame:
+    """What a stage keeps; the table of the one before goes when it is written."""
+    docs = up_to(spark, sf_dir, last - 1) if last else spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return STAGES[last][1](spark, docs, sf_dir)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = cut(docs)
-    return docs
+    return STAGES[-1][1](spark, up_to(spark, sf_dir, len(STAGES) - 2), sf_dir)

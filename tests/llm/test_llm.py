@@ -3,8 +3,10 @@
 import array
 import base64
 import hashlib
+import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -18,6 +20,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.oracle import connect, same
 from tracklake.llm import ann, bpe, common, entry, langid, media, near_dedup, packing, pii, resample, suffix_dedup, url_rules
+from tracklake.sources import tables
 
 SF = "/root/testdata/sf0.001"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -757,3 +760,25 @@ def test_pipeline_against_brute_force(spark, tmp_path, rows):
     assert all(r.n_chars == len(r.text) for r in got) and want[9002] == "call me at [PHONE] now, or ring [PHONE] or mail [EMAIL], now"
     final = corpus_pipeline.run(spark, str(tmp_path / "sf"))
     assert {r.doc_id for r in final.select("doc_id").distinct().collect()} == set(want)
+
+
+def shuffled(spark):
+    """The shuffle files of a local session."""
+    places = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f.name for d in places for f in pathlib.Path(d).rglob("shuffle_*.data")}
+
+
+def test_tables_and_shuffles_go_once_done_with(spark, docs, rows):
+    """Only the last table of an operator stays, and a table's shuffle files go when it is written."""
+    place, before = pathlib.Path(tables.shared_dir(spark)), shuffled(spark)
+    there = set(place.iterdir())
+    left = suffix_dedup.remove_repeats(docs)
+    assert len(set(place.iterdir()) - there) == 1
+    for _ in range(100):
+        if shuffled(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled(spark) <= before
+    near = near_dedup.near_duplicates(docs)
+    assert len(set(place.iterdir()) - there) == 2
+    assert left.count() == near.count() == len(rows)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import U, cut, looked_up, mix, rows, shingles, slices, starts, text_only, utf8, words
+from tracklake.llm.common import U, cut, looked_up, mix, rows, shingles, slices, starts, text_only, tidied, utf8, words
 
 VALUES, TREES, DEPTH, REGION, LEADERS, SALTS = 64, 16, 8, 24, 3, 32
 DEEP, BLOCK, HELD, SURE = 4, 512, 200_000, 6
@@ -423,6 +423,7 @@ def dealt(trees: DataFrame, large: DataFrame) -> DataFrame:
     return marked.repartitionByRange(*RUN, *rest).select(*trees.columns)
 
 
+@tidied
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     sets = cut(text_only(docs).mapInArrow(_sets(k), SETS))
